@@ -23,9 +23,21 @@ def whole(value: Column) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Half-even rounding to ``digits`` places, done on the scaled number."""
+    """Half-even rounding to ``digits`` places of the exact binary value.
+
+    The scaled product can land on a tie only because it was itself rounded. Splitting
+    the value in two halves gives the product's exact error, which breaks such ties.
+    """
     scale = float(10**digits)
-    return F.bround(value.cast("double") * scale) / scale
+    x = value.cast("double")
+    y = x * scale
+    big = x * 134217729.0  # 2**27 + 1
+    high = big - (big - x)
+    error = (high * scale - y) + (x - high) * scale
+    floor = F.floor(y).cast("double")
+    tie = (y - floor) == 0.5
+    near = F.when(tie & (error > 0), floor + 1).when(tie & (error < 0), floor).otherwise(F.bround(y))
+    return near / scale
 
 
 def ask_price(exact: Column, low: Column, high: Column) -> Column:

@@ -22,6 +22,7 @@ from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
 from parcelscope.functions.payload import internal_area
 from parcelscope.operators.skew import first_k
+from parcelscope.session import settle
 
 PROFILE = ("area", "kind", "beds")
 
@@ -134,7 +135,8 @@ def profile_comps(
 
     scored = F.filter(F.transform(F.filter("pool", fits), ranked), lambda c: c["score"] >= rule.min_score)
     keep = rule.keep + 1 if exclude_self else rule.keep  # one spare entry per subject
-    return rows.select(*PROFILE, F.slice(F.sort_array(scored), 1, keep).alias("comps"))
+    best = rows.select(*PROFILE, F.slice(F.sort_array(scored), 1, keep).alias("comps"))
+    return settle(best, f"{rule.mode}-profiles")
 
 
 def attach(subjects: DataFrame, per_profile: DataFrame) -> DataFrame:

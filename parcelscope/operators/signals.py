@@ -65,7 +65,7 @@ def _rates(name: str) -> list[Column]:
 
 def rent_evidence(per_profile: DataFrame) -> DataFrame:
     rents = F.transform("comps", lambda c: c["price"])
-    return per_profile.select(*C.PROFILE, F.size(rents).alias("rents_n"), N.array_median(rents).alias("rent_median"))
+    return per_profile.select(*C.PROFILE, F.size(rents).alias("rents_n"), N.array_median(rents).alias("rents_median"))
 
 
 def comparable_signal() -> Column:
@@ -105,7 +105,7 @@ def hedonic_reasons(text: Column, terms=vocab.HEDONIC) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), label) for p, _, label in terms]))
 
 
-def hedonic_text(listing: str = "") -> Column:
+def hedonic_text() -> Column:
     return X.blob(F.col("description"), X.joined(F.col("features")), F.col("headline"))
 
 
@@ -121,7 +121,7 @@ def hedonic_signal(adjustment: Column) -> Column:
 
 
 def yield_signal(band: Column) -> Column:
-    annual = F.col("rent_median") * 52
+    annual = F.col("rents_median") * 52
     high, low = annual / band["low"], annual / band["high"]
     n = F.col("rents_n")
     return signal(
@@ -161,16 +161,24 @@ def signals(
     subjects: DataFrame,
     neighbours: DataFrame,
     cache: DataFrame | None = None,
-    sold_comps: DataFrame | None = None,
-    rent_comps: DataFrame | None = None,
     extra: Sequence = (),
 ) -> DataFrame:
-    """Subjects with ``signals``: heaviest first. ``extra``: functions subjects -> (id, signal)."""
-    sold = C.profile_comps(listings, subjects, neighbours, C.SOLD) if sold_comps is None else sold_comps
-    rent = C.profile_comps(listings, subjects, neighbours, C.RENT) if rent_comps is None else rent_comps
+    """Subjects with their comparable evidence and ``signals``."""
+    sold = C.profile_comps(listings, subjects, neighbours, C.SOLD)
+    rent = C.profile_comps(listings, subjects, neighbours, C.RENT)
     rows = C.attach(C.profiled(subjects), sold_evidence(sold))
     rows = C.attach(rows, rent_evidence(rent))
-    band = F.col("yield_band") if "yield_band" in subjects.columns else F.lit(None).cast("array<double>")
+    return with_signals(rows, subjects, cache, extra)
+
+
+def with_signals(
+    rows: DataFrame, subjects: DataFrame, cache: DataFrame | None = None, extra: Sequence = ()
+) -> DataFrame:
+    """Add ``signals``, heaviest first, to subject rows that carry the evidence columns.
+
+    ``extra``: value providers, functions from the subjects to (id, signal struct).
+    """
+    band = F.col("yield_band") if "yield_band" in rows.columns else F.lit(None).cast("array<double>")
     two = F.when(F.size(band) == 2, band)
     rows = (
         rows.withColumn("own_area", internal_area(F.col("raw_json")))
@@ -190,13 +198,14 @@ def signals(
         value = next(c for c in est.columns if c != "id")
         rows = rows.join(est.select("id", F.col(value).alias(f"_p{i}")), "id", "left")
         parts.append(F.col(f"_p{i}").cast(SIGNAL))
-    listed = F.array_compact(F.array(*parts))
+    fields = ("method", "point", "low", "high", "confidence", "n", "provider", "source")
     weighed = F.transform(
-        listed,
+        F.array_compact(F.array(*parts)),
         lambda s, i: F.struct(
-            (-L.signal_weight(s["method"], s["confidence"])).alias("order"), i.alias("position"),
+            (-L.signal_weight(s["method"], s["confidence"])).alias("order"),
+            i.alias("position"),
             L.signal_weight(s["method"], s["confidence"]).alias("weight"),
-            *[s[f].alias(f) for f in ("method", "point", "low", "high", "confidence", "n", "provider", "source")],
+            *[s[f].alias(f) for f in fields],
         ),
     )
     return rows.withColumn("signals", F.sort_array(weighed))
@@ -264,9 +273,9 @@ def ask_position(ask: Column, estimate: Column) -> Column:
     return F.when(N.present(ask).isNotNull() & estimate.isNotNull(), read)
 
 
-def valuation_case(listings: DataFrame, subjects: DataFrame, neighbours: DataFrame, cache: DataFrame | None = None, **parts) -> DataFrame:
+def valuation_case(listings: DataFrame, subjects: DataFrame, neighbours: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """Reconciled estimate and ask position per subject."""
-    rows = reconcile(signals(listings, subjects, neighbours, cache, **parts))
+    rows = reconcile(signals(listings, subjects, neighbours, cache))
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
     return rows.withColumn("ask", ask).withColumn("asking", ask_position(F.col("ask"), F.col("estimate")))
 
