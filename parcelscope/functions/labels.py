@@ -81,8 +81,8 @@ def yield_band(low: Column, high: Column) -> Column:
 
 
 def guide_read(delta: Column) -> Column:
-    pct = F.format_string("%.1f", F.abs(delta) * 100)
-    signed = F.format_string("%.1f", delta * 100)
+    pct = F.format_string("%.1f", rounded(F.abs(delta) * 100, 1))
+    signed = F.format_string("%.1f", rounded(delta * 100, 1))
     return (
         F.when(delta.isNull(), "No sold-guide evidence yet")
         .when(delta >= 0.10, F.concat(F.lit("Sold results average "), signed, F.lit("% above guide midpoint")))

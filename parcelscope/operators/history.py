@@ -177,14 +177,19 @@ def lifecycle_events(
     An off-market sighting replaces price and status events by one ``sold``, unless the
     latest event already is ``sold``. A live sighting right after a disappearance adds
     ``relisted``.
+
+    An optional column ``carried`` marks the last sighting of an earlier batch: it holds
+    the latest event type so far ('' for none) and emits nothing itself.
     """
+    if "carried" not in observations.columns:
+        observations = observations.withColumn("carried", F.lit(None).cast("string"))
     seen = with_last_sighting(observations, chunk)
     live = F.col("off").isNull()
     known = F.col("prev").isNotNull()
     changes = [F.when(live & known, _price_event()), F.when(live & known, _status_event())]
     late = [F.when(known, _inspection_event())] if "inspections" in seen.columns else []
     rows = seen.select(
-        "id", *ORDER, "off", "status",
+        "id", *ORDER, "off", "status", "carried",
         F.lit(0).alias("kind"),
         (F.col("off").isNotNull() & F.col("moved")).alias("left"),
         F.array_compact(F.array(*changes)).alias("changes"),
@@ -215,9 +220,11 @@ def lifecycle_events(
     )
     vanished = F.col("kind") == 1
     leaving = F.coalesce("left", F.lit(False))
-    rows = rows.where(vanished | leaving | (F.size("events") > 0)).withColumn(
+    carried = F.col("carried").isNotNull()
+    rows = rows.where(vanished | leaving | carried | (F.size("events") > 0)).withColumn(
         "closing",
-        F.when(vanished, "withdrawn_or_stale")
+        F.when(carried, F.nullif("carried", F.lit("")))
+        .when(vanished, "withdrawn_or_stale")
         .when(F.size("events") > 0, F.element_at("events", -1)["event_type"])
         .otherwise("sold"),
     )
@@ -240,7 +247,7 @@ def lifecycle_events(
         _event(0, F.lit("withdrawn_or_stale"), F.lit("seen in previous run"), F.lit("missing from latest run"), F.lit(vocab.STALE_TEXT)),
     )
     every = F.concat(F.array_compact(F.array(stale_event, sold)), F.coalesce("events", no_events))
-    return rows.select("id", *ORDER, F.explode(every).alias("e")).select("id", *ORDER, "e.*")
+    return rows.where(~carried).select("id", *ORDER, F.explode(every).alias("e")).select("id", *ORDER, "e.*")
 
 
 def latest_event(events: DataFrame) -> DataFrame:

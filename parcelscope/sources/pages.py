@@ -245,8 +245,15 @@ def media(detail: Column) -> Column:
     return F.filter(numbered, lambda m: F.coalesce(m["url"], F.lit("")) != "")
 
 
-def detail_listing(listing_id: Column, detail: Column, fallback: Column) -> Column:
-    """Normalized detail block; a field it lacks comes from the card (may be NULL)."""
+def _filled_in(raw: Column) -> Column:
+    return F.coalesce(~raw.isin("", "{}", "[]", "null", "false"), F.lit(False))
+
+
+def detail_listing(listing_id: Column, detail: Column, fallback: Column, bare: Column) -> Column:
+    """Normalized detail block; a field it lacks comes from the card (may be NULL).
+
+    ``bare``: there is no detail block at all, only the card.
+    """
     d, c = detail, fallback
     address, price = d["displayableAddress"], d["priceDetails"]
     sold = d["soldDetails"]
@@ -303,8 +310,9 @@ def detail_listing(listing_id: Column, detail: Column, fallback: Column) -> Colu
         filled(people, c["agents"]).alias("agents"),
         d["agency"]["name"].alias("agency_name"),
         d["agency"]["branding"]["logo"]["url"].alias("agency_logo"),
-        F.coalesce(times, F.array().cast(f"array<{schema.INTERVAL}>")).alias("inspections"),
-        d["auctionDetails"].isNotNull().alias("auction"),
+        # a bare card has one open time of its own; a detail block never borrows it
+        F.coalesce(F.when(bare, c["inspections"]), times, F.array().cast(f"array<{schema.INTERVAL}>")).alias("inspections"),
+        _filled_in(F.when(bare, c["auction"]).otherwise(d["auctionDetails"])).alias("auction"),
         sold["soldPrice"]["rawValues"]["exactPrice"].alias("sold_price"),
         F.to_date(F.substring(sold["soldDate"]["isoDate"], 1, 10)).alias("sold_date"),
         sold["saleMethod"].alias("sale_method"),
@@ -343,9 +351,10 @@ def detail_pages(pages: DataFrame, wanted: str | None = None) -> DataFrame:
     )
     rows = rows.withColumn("c", F.when(F.col("_raw").isNotNull(), card(F.col("_id"), F.col("_raw"))))
     rows = rows.where(F.col("d").isNotNull() | F.col("c").isNotNull())
-    # with an empty detail block every field falls back to the card
-    empty = F.from_json(F.lit("{}"), schema.DETAIL)
-    rows = rows.withColumn("l", detail_listing(F.coalesce(F.when(F.col("d").isNull(), F.col("c.id")), F.col("_id")), F.coalesce("d", empty), F.col("c")))
+    bare = F.col("d").isNull()
+    own_id = F.when(bare, F.col("c.id")).otherwise(F.col("_id"))
+    block = F.coalesce("d", F.from_json(F.lit("{}"), schema.DETAIL))
+    rows = rows.withColumn("l", detail_listing(own_id, block, F.col("c"), bare))
     return rows.select("source_url", "blocked", "l.*")
 
 

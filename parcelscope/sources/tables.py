@@ -214,7 +214,7 @@ def observation_columns() -> list[Column]:
     sold = F.col("event_type") == "purchase"
     return [
         F.col("user_id").cast("string").alias("id"),
-        F.col("ts").alias("observed_at"),
+        F.col("ts").cast("timestamp").alias("observed_at"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("$"), cents.cast("string")).alias("price_display"),
         cents.alias("price_from"),
@@ -238,7 +238,7 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as the price history of the listings; ``seq`` is a stable row order."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("id"),
-        F.col("l_shipdate").alias("observed_at"),
+        F.col("l_shipdate").cast("timestamp").alias("observed_at"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
         F.lit(None).cast("string").alias("price_display"),
         whole(F.col("l_extendedprice")).alias("price_from"),
@@ -268,7 +268,7 @@ def run_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(
         F.col("event_type").alias("hunt"),
-        (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).alias("run_at"),
+        (F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).alias("run_at"),
         F.col("user_id").cast("string").alias("id"),
     ).agg((F.max("value") > 100).alias("off_market"))
 
@@ -327,9 +327,9 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").alias("id"),
         F.col("n_name").alias("suburb"),
         F.concat(F.col("user_id").cast("string"), F.lit(" Example St")).alias("address"),
-        F.col("ts").alias("start"),
+        F.col("ts").cast("timestamp").alias("start"),
         F.when(
-            F.col("event_id") % 10 != 0, F.timestamp_seconds(F.unix_timestamp("ts") + F.floor("value").cast("bigint") * 60)
+            F.col("event_id") % 10 != 0, F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")) + F.floor("value").cast("bigint") * 60)
         ).alias("end"),
         F.col("value").alias("fit_score"),
         F.when(F.col("event_id") % 8 == 0, "pass").otherwise("inspect").alias("action"),
@@ -348,3 +348,104 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 4 == 0, F.lit(365)).alias("freshness_days"),
         F.col("o_orderkey").alias("seq"),
     )
+
+
+# ---- listings as captured pages ---------------------------------------------------
+
+PAGE_SIZE = 20
+
+
+def _script(kind: str, body: Column) -> Column:
+    return F.concat(F.lit(f"<script {kind}>"), body, F.lit("</script>"))
+
+
+def _card_json() -> Column:
+    tag = F.when(F.col("mode") == "sold", F.struct(
+        F.concat(F.lit("Sold at auction "), F.date_format("last_seen", "d MMM yyyy")).alias("tagText"),
+        F.lit("is-sold").alias("tagClassName"),
+    ))
+    model = F.struct(
+        F.concat(F.lit("/"), F.col("id")).alias("url"),
+        F.when(F.col("listing_key") % 2 == 0, F.col("price_display")).alias("price"),
+        F.col("price_display").alias("displayPrice"),
+        F.struct(F.col("address_display").alias("displayAddress"), "suburb", "state", "postcode").alias("address"),
+        F.struct(
+            "beds", "baths", F.col("cars").alias("parking"), F.lit(1.0).alias("cars"),
+            F.col("property_type").alias("propertyTypeFormatted"),
+        ).alias("features"),
+        F.struct(F.transform("agents", lambda a: F.struct(a["name"].alias("agentName"))).alias("agents")).alias("branding"),
+        F.transform("images", lambda i: i["url"]).alias("images"),
+        tag.alias("tags"),
+    )
+    return F.to_json(F.struct(F.col("id"), F.lit("listing").alias("listingType"), model.alias("listingModel")))
+
+
+def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with portal ids (five digits up), as they appear on captured pages."""
+    rows = listings(spark, sf_dir)
+    return rows.withColumn("id", (F.col("listing_key") + 10000).cast("string"))
+
+
+def captured_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search result pages of ``PAGE_SIZE`` listings with their embedded data."""
+    rows = page_listings(spark, sf_dir).select(
+        F.floor(F.col("listing_key") / PAGE_SIZE).alias("page_no"),
+        F.struct("listing_key", "id", _card_json().alias("card")).alias("c"),
+    )
+    pages = rows.groupBy("page_no").agg(F.sort_array(F.collect_list("c")).alias("cards"))  # PAGE_SIZE at most
+    ids = F.transform("cards", lambda c: c["id"])
+    # the map's values are JSON texts already, so the object is put together as text
+    cards = F.concat(
+        F.lit("{"),
+        F.array_join(F.transform("cards", lambda c: F.concat(F.lit('"'), c["id"], F.lit('":'), c["card"])), ","),
+        F.lit("}"),
+    )
+    nexts = F.concat(
+        F.lit('{"props":{"pageProps":{"componentProps":{"listingSearchResultIds":['), F.array_join(ids, ","),
+        F.lit('],"totalListings":'), (F.col("page_no") * 3 + 40).cast("string"), F.lit(',"listingsMap":'), cards, F.lit("}}}}"),
+    )
+    digital = F.concat(
+        F.lit('var digitalData = {"page":{"pageInfo":{"search":{"resultsRecords":"'), F.array_join(F.reverse(ids), ", "),
+        F.lit('"}}}};'),
+    )
+    event = F.concat(
+        F.lit('{"@type":"Event","name":"Open home","startDate":"2026-06-06","location":{"address":"'),
+        F.element_at("cards", 1)["id"], F.lit(' Example St"}}'),
+    )
+    html = F.concat(
+        F.lit("<html><head>"), F.when(F.col("page_no") % 3 == 0, _script("", digital)).otherwise(""),
+        _script('type="application/ld+json"', event), F.lit("</head><body>"),
+        _script('id="__NEXT_DATA__" type="application/json"', nexts), F.lit("</body></html>"),
+    )
+    return pages.select(F.concat(F.lit("https://listings.example/sale/page-"), F.col("page_no").cast("string")).alias("url"), html.alias("html"))
+
+
+def captured_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One detail page per listing, carrying the detail block and the search card."""
+    day = lambda c: F.struct(F.col(c).cast("string").alias("isoDate"))
+    detail = F.struct(
+        F.col("id").alias("listingId"), F.col("status").alias("status"), F.col("headline"), F.col("description"),
+        F.struct(
+            F.col("price_display").alias("displayPrice"),
+            F.struct(F.col("price_from").alias("from"), F.col("price_to").alias("to")).alias("rawValues"),
+        ).alias("priceDetails"),
+        F.when(F.col("listing_key") % 4 != 0, F.col("beds")).alias("bedrooms"),
+        F.array("property_type").alias("propertyTypes"), F.col("features"),
+        F.col("structured_features").alias("structuredFeatures"),
+        F.transform("agents", lambda a: F.struct(a["name"].alias("fullName"), a["mobile"].alias("mobileNumber"))).alias("agents"),
+        F.struct(F.transform("inspections", lambda i: F.struct(
+            F.struct(i["start"].alias("isoDate")).alias("openingDateTime"),
+            F.struct(i["end"].alias("isoDate")).alias("closingDateTime"),
+        )).alias("inspections")).alias("inspectionDetails"),
+        F.when(F.col("sold_price").isNotNull(), F.struct(
+            F.struct(F.struct(F.col("sold_price").alias("exactPrice")).alias("rawValues")).alias("soldPrice"),
+            day("sold_date").alias("soldDate"), F.col("sale_method").alias("saleMethod"),
+        )).alias("soldDetails"),
+        F.transform("images", lambda i: F.struct(i["url"].alias("url"), i["type"].alias("type"))).alias("largeMedia"),
+    )
+    nexts = F.concat(
+        F.lit('{"props":{"pageProps":{"componentProps":{"listingId":"'), F.col("id"), F.lit('","listingsMap":{"'), F.col("id"),
+        F.lit('":'), _card_json(), F.lit('},"rootGraphQuery":{"listingByIdV2":'), F.to_json(detail), F.lit("}}}}}"),
+    )
+    html = F.concat(F.lit("<html><body>"), _script('id="__NEXT_DATA__" type="application/json"', nexts), F.lit("</body></html>"))
+    return page_listings(spark, sf_dir).select(F.concat(F.lit("https://listings.example/"), F.col("id")).alias("url"), html.alias("html"))
