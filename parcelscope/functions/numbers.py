@@ -6,6 +6,8 @@ any ``coalesce``. Rounding is half-even throughout.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from parcelscope import vocab
@@ -22,6 +24,11 @@ def whole(value: Column) -> Column:
     return F.bround(value.cast("double")).cast("bigint")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once inside an expression that uses it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rounded(value: Column, digits: int) -> Column:
     """Half-even rounding to ``digits`` places of the exact binary value.
 
@@ -29,15 +36,16 @@ def rounded(value: Column, digits: int) -> Column:
     the value in two halves gives the product's exact error, which breaks such ties.
     """
     scale = float(10**digits)
-    x = value.cast("double")
-    y = x * scale
-    big = x * 134217729.0  # 2**27 + 1
-    high = big - (big - x)
-    error = (high * scale - y) + (x - high) * scale
-    floor = F.floor(y).cast("double")
-    tie = (y - floor) == 0.5
-    near = F.when(tie & (error > 0), floor + 1).when(tie & (error < 0), floor).otherwise(F.bround(y))
-    return near / scale
+
+    def near(x: Column) -> Column:
+        y = x * scale
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # upper half of the mantissa (2**27 + 1)
+        error = (high * scale - y) + (x - high) * scale
+        floor = F.floor(y)
+        up = F.when(error > 0, floor + 1).when(error < 0, floor).otherwise(F.bround(y))
+        return F.when(y - floor == 0.5, up).otherwise(F.bround(y)) / scale
+
+    return let(value.cast("double"), near)
 
 
 def ask_price(exact: Column, low: Column, high: Column) -> Column:
@@ -58,19 +66,19 @@ def effective_price(sold: Column, low: Column, high: Column, display: Column) ->
 
 def display_price(text: Column, min_amount: float = 1000) -> Column:
     """Mean of every dollar amount in a guide text (m/k suffixes, small ones dropped)."""
-    amounts = F.regexp_extract_all(text, F.lit(_DOLLARS), F.lit(1))
-    suffixes = F.regexp_extract_all(text, F.lit(_DOLLARS), F.lit(2))
-    values = F.filter(
-        F.zip_with(
-            amounts,
-            suffixes,
-            lambda a, s: F.regexp_replace(a, ",", "").try_cast("double")
-            * F.when(F.lower(s) == "m", 1e6).when(F.lower(s) == "k", 1e3).otherwise(1.0),
-        ),
-        lambda v: v >= min_amount,
-    )
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(values) > 0, total / F.size(values))
+
+    def amount(number: Column, suffix: Column) -> Column:
+        unit = F.when(F.lower(suffix) == "m", 1e6).when(F.lower(suffix) == "k", 1e3).otherwise(1.0)
+        return F.regexp_replace(number, ",", "").try_cast("double") * unit
+
+    def found(group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(_DOLLARS), F.lit(group))
+
+    def mean(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(F.size(values) > 0, total / F.size(values))
+
+    return let(F.filter(F.zip_with(found(1), found(2), amount), lambda v: v >= min_amount), mean)
 
 
 def first_amount(text: Column, min_amount: int = 10_000) -> Column:

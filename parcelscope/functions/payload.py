@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from parcelscope import vocab
+from parcelscope.functions.numbers import let
 
 NUMBER = r"[\d,]+(?:\.\d+)?"
 
 
+FIELDS = "map<string,string>"
+
+
 def number_in(text: Column) -> Column:
     """A number, or the first number run inside a text."""
-    plain = text.try_cast("double")
-    run = F.regexp_replace(F.regexp_extract(text, NUMBER, 0), ",", "").try_cast("double")
-    return F.coalesce(plain, run)
+
+    def read(t: Column) -> Column:
+        run = F.regexp_replace(F.regexp_extract(t, NUMBER, 0), ",", "").try_cast("double")
+        return F.coalesce(t.try_cast("double"), run)
+
+    return let(text, read)
 
 
 def internal_area(raw: Column) -> Column:
@@ -22,11 +29,17 @@ def internal_area(raw: Column) -> Column:
     Each key holds a number, a text with a number, or an object with the number under one
     of its value keys.
     """
-    doc = F.coalesce(F.get_json_object(raw, "$.listing"), raw)
-    found = []
-    for key in vocab.AREA_KEYS:
-        direct = F.get_json_object(doc, f"$.{key}")
-        inner = F.coalesce(*[F.get_json_object(direct, f"$.{k}") for k in vocab.AREA_VALUE_KEYS])
-        value = F.when(direct.startswith("{"), number_in(inner)).otherwise(number_in(direct))
-        found.append(F.when(value > 0, value))
-    return F.coalesce(*found)
+
+    def inner(value: Column) -> Column:
+        keyed = F.from_json(F.when(value.startswith("{"), value), FIELDS)
+        own = let(keyed, lambda m: F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in vocab.AREA_VALUE_KEYS]))
+        return number_in(F.when(value.startswith("{"), own).otherwise(value))
+
+    def first(fields: Column) -> Column:
+        wanted = F.array(*[F.try_element_at(fields, F.lit(k)) for k in vocab.AREA_KEYS])
+        return F.get(F.filter(F.transform(F.array_compact(wanted), inner), lambda v: v > 0), F.lit(0))
+
+    def unwrapped(doc: Column) -> Column:
+        return F.coalesce(F.from_json(F.try_element_at(doc, F.lit("listing")), FIELDS), doc)
+
+    return let(let(F.from_json(raw, FIELDS), unwrapped), first)

@@ -8,7 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope.functions import numbers as N
-from parcelscope.operators.skew import group_profile
+from parcelscope.operators.skew import first_k, group_profile
+from parcelscope.session import settle
 
 AREA = ("suburb", "state", "postcode")
 
@@ -50,10 +51,13 @@ def area_rank(
     ).where(F.col("price").isNotNull())
     if budget_min:
         priced = priced.where(F.col("price") >= budget_min)
-    areas = group_profile(priced, AREA, {"price": F.col("price"), "beds": F.col("beds")})
-    busiest = areas.agg(F.max("price_n")).scalar()
-    activity = F.col("price_n") / busiest
-    afford = N.affordability(F.col("price_median"), F.lit(budget_max).cast("double"))
+    # one row per area; the busiest one is looked up over all of them, small ones included
+    areas = settle(group_profile(priced, AREA, {"price": F.col("price"), "beds": F.col("beds")}), "areas")
+    busiest = areas.agg(F.max("price_n")).first()[0] or 1
+    areas = areas.withColumn("activity", F.col("price_n") / float(busiest)).withColumn(
+        "affordability", N.affordability(F.col("price_median"), F.lit(budget_max).cast("double"))
+    )
+    activity, afford = F.col("activity"), F.col("affordability")
     score = F.when(afford.isNotNull(), afford * (0.4 + 0.6 * activity)).otherwise(activity)
     return (
         areas.where(F.col("price_n") >= min_count)
@@ -214,8 +218,6 @@ def search(listings: DataFrame, searches: DataFrame) -> DataFrame:
 
 def search_page(matches: DataFrame, sort: str = "id", page: int = 1, size: int = 20) -> DataFrame:
     """One result page per search, in the search's order."""
-    from parcelscope.operators.skew import first_k
-
     order = {
         "price-asc": [F.asc_nulls_last("price_from"), F.col("id")],
         "price-desc": [F.desc_nulls_last("price_from"), F.col("id")],

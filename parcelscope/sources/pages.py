@@ -169,10 +169,18 @@ def _set(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def card(listing_id: Column, raw: Column) -> Column:
-    """Normalized search card; the model may sit under ``listingModel`` or at the top."""
-    outer = F.from_json(raw, schema.CARD)
-    inner = F.from_json(F.coalesce(outer["listingModel"], raw), schema.CARD_MODEL)
+def with_card(rows: DataFrame, listing_id: Column, raw: Column, out: str = "c") -> DataFrame:
+    """Add the normalized search card; its model may sit under ``listingModel`` or at the top.
+
+    The two parses are columns of their own, so that each text is parsed once.
+    """
+    rows = rows.withColumn("_outer", F.from_json(raw, schema.CARD)).withColumn(
+        "_model", F.from_json(F.coalesce("_outer.listingModel", raw), schema.CARD_MODEL)
+    )
+    return rows.withColumn(out, F.when(raw.isNotNull(), _card(listing_id, raw, F.col("_outer"), F.col("_model")))).drop("_outer", "_model")
+
+
+def _card(listing_id: Column, raw: Column, outer: Column, inner: Column) -> Column:
     f, b = inner["features"], inner["branding"]
     people = F.transform(
         b["agents"],
@@ -228,8 +236,8 @@ def search_cards(pages: DataFrame, limit: int | None = None) -> DataFrame:
     rows = search_pages(pages, limit)
     rows = rows.select("url", F.posexplode("listing_ids").alias("position", "_id"), "listings_map")
     rows = rows.withColumn("_raw", F.try_element_at("listings_map", "_id")).where(F.col("_raw").startswith("{"))
-    found = rows.select(F.col("url").alias("source_url"), "position", card(F.col("_id"), F.col("_raw")).alias("c"))
-    return found.select("source_url", "position", "c.*")
+    found = with_card(rows, F.col("_id"), F.col("_raw"))
+    return found.select(F.col("url").alias("source_url"), "position", "c.*")
 
 
 def media(detail: Column) -> Column:
@@ -349,12 +357,12 @@ def detail_pages(pages: DataFrame, wanted: str | None = None) -> DataFrame:
         F.coalesce(asked, own, F.lit("")).alias("_id"),
         F.when(detail_text.isNotNull(), F.try_element_at(cmap, own)).otherwise(chosen).alias("_raw"),
     )
-    rows = rows.withColumn("c", F.when(F.col("_raw").isNotNull(), card(F.col("_id"), F.col("_raw"))))
-    rows = rows.where(F.col("d").isNotNull() | F.col("c").isNotNull())
+    rows = with_card(rows, F.col("_id"), F.col("_raw"))
     bare = F.col("d").isNull()
     own_id = F.when(bare, F.col("c.id")).otherwise(F.col("_id"))
-    block = F.coalesce("d", F.from_json(F.lit("{}"), schema.DETAIL))
-    rows = rows.withColumn("l", detail_listing(own_id, block, F.col("c"), bare))
+    found = F.when(~bare | F.col("c").isNotNull(), detail_listing(own_id, F.col("d"), F.col("c"), bare))
+    # exploding drops pages without a listing; a filter would be pushed below the parses and repeat them
+    rows = rows.select("source_url", "blocked", F.explode(F.array_compact(F.array(found))).alias("l"))
     return rows.select("source_url", "blocked", "l.*")
 
 

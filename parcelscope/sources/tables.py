@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelscope.functions.numbers import whole
+from parcelscope.session import settle
 
 # Short listing phrases; a listing takes a few of them by its key.
 PHRASES = (
@@ -417,7 +418,8 @@ def captured_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _script('type="application/ld+json"', event), F.lit("</head><body>"),
         _script('id="__NEXT_DATA__" type="application/json"', nexts), F.lit("</body></html>"),
     )
-    return pages.select(F.concat(F.lit("https://listings.example/sale/page-"), F.col("page_no").cast("string")).alias("url"), html.alias("html"))
+    url = F.concat(F.lit("https://listings.example/sale/page-"), F.col("page_no").cast("string"))
+    return settle(pages.select(url.alias("url"), html.alias("html")), "search-pages")
 
 
 def captured_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,4 +450,5 @@ def captured_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('":'), _card_json(), F.lit('},"rootGraphQuery":{"listingByIdV2":'), F.to_json(detail), F.lit("}}}}}"),
     )
     html = F.concat(F.lit("<html><body>"), _script('id="__NEXT_DATA__" type="application/json"', nexts), F.lit("</body></html>"))
-    return page_listings(spark, sf_dir).select(F.concat(F.lit("https://listings.example/"), F.col("id")).alias("url"), html.alias("html"))
+    url = F.concat(F.lit("https://listings.example/"), F.col("id"))
+    return settle(page_listings(spark, sf_dir).select(url.alias("url"), html.alias("html")), "detail-pages")
