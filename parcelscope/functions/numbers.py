@@ -133,7 +133,8 @@ def affordability(median: Column, budget: Column) -> Column:
     """1 up to 80% of budget, 0 from 130%, a straight ramp between."""
     ratio = present(median) / present(budget)
     ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - (ratio - 0.8) / 0.5))
-    return F.when(ratio <= 0.8, 1.0).when(ratio >= 1.3, 0.0).otherwise(ramp)
+    # least and greatest skip NULLs, so a missing ratio must not reach the ramp
+    return F.when(ratio <= 0.8, 1.0).when(ratio >= 1.3, 0.0).when(ratio.isNotNull(), ramp)
 
 
 def array_median(values: Column) -> Column:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # folder of a local session that names none
 
 
 def local_session(cores: str = "*", name: str = "parcelscope") -> SparkSession:
@@ -39,8 +40,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="parcelscope-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="parcelscope-")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
