@@ -85,13 +85,13 @@ def joined(values: Column, sep: str = " ") -> Column:
 
 
 def has(text: Column, pattern: str) -> Column:
-    """Pattern test with Unicode word characters, as in the vocabularies."""
-    return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
+    """Pattern test on lower-case text, with Unicode word characters."""
+    return F.coalesce(text.rlike("(?U)" + pattern), F.lit(False))
 
 
 def evidence(text: Column, pattern: str) -> Column:
-    """The matched words, or NULL."""
-    return truthy(F.regexp_extract(text, "(?iU)" + pattern, 0))
+    """The matched words of a lower-case text, or NULL."""
+    return truthy(F.regexp_extract(text, "(?U)" + pattern, 0))
 
 
 def parse_time(text: Column) -> Column:

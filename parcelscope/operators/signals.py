@@ -216,9 +216,11 @@ def reconcile(rows: DataFrame) -> DataFrame:
     usable = F.filter(
         "signals", lambda s: (s["weight"] > 0) & N.present(N.best_point(s["point"], s["low"], s["high"])).isNotNull()
     )
+    # added up in the order the signals were built, not by weight
     best = F.transform(
         usable,
         lambda s: F.struct(
+            s["position"].alias("position"),
             s["weight"].alias("w"),
             N.best_point(s["point"], s["low"], s["high"]).alias("p"),
             F.coalesce(
@@ -230,7 +232,7 @@ def reconcile(rows: DataFrame) -> DataFrame:
     def total(of) -> Column:
         return F.aggregate("_u", F.lit(0.0), lambda acc, s: acc + of(s))
 
-    rows = rows.withColumn("_u", best)
+    rows = rows.withColumn("_u", F.sort_array(best))
     n = F.size("_u")
     rows = rows.withColumn("_w", total(lambda s: s["w"])).withColumn("_mean", total(lambda s: s["p"]) / n)
     rows = (

@@ -512,8 +512,12 @@ sig0 AS (
   UNION ALL SELECT s.id, 4, 'yield_implied', round_even((annual / ylo + annual / yhi) / 2e0, 0), round_even(annual / yhi, 0), round_even(annual / ylo, 0), CASE WHEN n < 4 THEN 'low' ELSE 'medium' END, n FROM subj s JOIN rentm USING (area, kind, beds)
   UNION ALL SELECT id, 5, 'avm', point, low, high, confidence, 1 FROM cap WHERE point IS NOT NULL),
 sig AS (SELECT *, {_METHOD} * {_CONFW} AS weight FROM sig0),
-rec0 AS (SELECT id, count(*) AS c, sum(p * weight) / sum(weight) AS point, sum(coalesce((high - low) / 2e0, p * 0.04e0) * weight) / sum(weight) AS half, CASE WHEN count(*) > 1 THEN stddev_pop(p) ELSE 0e0 END AS sd
+recl AS (SELECT id, count(*) AS c, list({{'w': weight, 'p': p, 'h': coalesce((high - low) / 2e0, p * 0.04e0)}} ORDER BY pos) AS l
   FROM (SELECT *, {pt} AS p FROM sig) WHERE weight > 0 AND p <> 0 GROUP BY id),
+recm AS (SELECT *, list_sum(list_transform(l, lambda x: x.w)) AS tw, list_sum(list_transform(l, lambda x: x.p)) / c AS mean FROM recl),
+recd AS (SELECT *, list_transform(l, lambda x: x.p - mean) AS devs FROM recm),
+rec0 AS (SELECT id, c, list_sum(list_transform(l, lambda x: x.p * x.w)) / tw AS point, list_sum(list_transform(l, lambda x: x.h * x.w)) / tw AS half,
+  CASE WHEN c > 1 THEN sqrt(list_sum(list_transform(devs, lambda d: d * d)) / c) ELSE 0e0 END AS sd FROM recd),
 rec AS (SELECT id, {whole('point')} AS point, {whole('point - (half + sd * 0.5e0)')} AS low, {whole('point + (half + sd * 0.5e0)')} AS high, c AS signal_count, 1 - sd / point AS agr,
   CASE WHEN c >= 3 AND sd / point < 0.06e0 THEN 'high' WHEN c >= 2 AND sd / point < 0.12e0 THEN 'medium' ELSE 'low' END AS confidence FROM rec0),
 asks AS (SELECT s.id, s.ask, r.*, CASE WHEN s.ask < low THEN 'below' WHEN s.ask <= high THEN 'within' ELSE 'above' END AS side FROM subj s JOIN rec r USING (id) WHERE s.ask IS NOT NULL)"""
