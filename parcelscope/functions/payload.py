@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope import vocab
 from parcelscope.functions.numbers import let
@@ -43,3 +43,13 @@ def internal_area(raw: Column) -> Column:
         return F.coalesce(F.from_json(F.try_element_at(doc, F.lit("listing")), FIELDS), doc)
 
     return let(let(F.from_json(raw, FIELDS), unwrapped), first)
+
+
+def area_source(df: DataFrame) -> tuple[str, Column]:
+    """Column to carry along, and the internal area read from it.
+
+    Listings normalized at ingest hold ``internal_area``; others only the raw text.
+    """
+    if "internal_area" in df.columns:
+        return "internal_area", F.col("internal_area").cast("double")
+    return "raw_json", internal_area(F.col("raw_json"))

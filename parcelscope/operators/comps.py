@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
-from parcelscope.functions.payload import internal_area
+from parcelscope.functions.payload import area_source
 from parcelscope.operators.skew import first_k
 from parcelscope.session import settle
 
@@ -75,6 +75,7 @@ def reach(areas: DataFrame, neighbours: DataFrame) -> DataFrame:
 def pool(listings: DataFrame, areas: DataFrame, neighbours: DataFrame, rule: CompRule) -> DataFrame:
     """Per subject area (NULL: anywhere) the most recent rows, newest first, as an array."""
     dated = F.col("sold_date") if rule.mode == "sold" else F.col("last_seen")
+    carried, sqm = area_source(listings)  # raw text is parsed for the kept rows only
     rows = listings.where(F.col("mode") == rule.mode).select(
         F.lower("suburb").alias("candidate"),
         "id",
@@ -83,7 +84,7 @@ def pool(listings: DataFrame, areas: DataFrame, neighbours: DataFrame, rule: Com
         _price(rule).alias("price"),
         F.col("beds").cast("double").alias("beds"),
         X.type_canon(F.col("property_type")).alias("kind"),
-        F.col("raw_json"),
+        F.col(carried),
     )
     newest = [F.desc_nulls_last("recency"), F.col("id")]
     named = areas.where(F.col("area").isNotNull())
@@ -93,7 +94,7 @@ def pool(listings: DataFrame, areas: DataFrame, neighbours: DataFrame, rule: Com
     # a subject without an area looks at the newest rows anywhere
     anywhere = rows.orderBy(*newest).limit(rule.pool)
     anywhere = first_k(anywhere.withColumn("area", F.lit(None).cast("string")), ["area"], newest, rule.pool, "position")
-    entries = near.unionByName(anywhere).withColumn("sqm", internal_area(F.col("raw_json")))
+    entries = near.unionByName(anywhere).withColumn("sqm", sqm)
     entry = F.struct("position", "id", "candidate", "price", "beds", "kind", "dated", "sqm")
     return entries.groupBy("area").agg(F.sort_array(F.collect_list(entry)).alias("pool"))  # rule.pool at most
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
-from parcelscope.functions.payload import internal_area
+from parcelscope.functions.payload import area_source
 from parcelscope.operators import comps as C
 
 SIGNAL = "struct<method:string,point:double,low:double,high:double,confidence:string,n:int,provider:string,source:string>"
@@ -181,7 +181,7 @@ def with_signals(
     band = F.col("yield_band") if "yield_band" in rows.columns else F.lit(None).cast("array<double>")
     two = F.when(F.size(band) == 2, band)
     rows = (
-        rows.withColumn("own_area", internal_area(F.col("raw_json")))
+        rows.withColumn("own_area", area_source(rows)[1])
         .withColumn("adjustment", hedonic_adjustment(hedonic_text()))
         .withColumn("band", L.yield_band(F.get(two, F.lit(0)), F.get(two, F.lit(1))))
     )
