@@ -4,7 +4,8 @@ A text is cut only where no token can cross and nothing on one side changes the
 
 * ``byte level``: before a single white-space character between two others that are none;
   the pre-tokenizer gives that character to what follows or makes it a token of its own;
-* ``word level``: at blanks, tabs and line ends, which that tokenizer drops.
+* ``word level``: at blanks, tabs and line ends, which that tokenizer drops;
+* either: before a full stop or comma after a letter or digit, if the text has these marks only there.
 
 Equal pieces are encoded once; pieces not seen yet are encoded together, and the offsets
 of their tokens say which piece each id belongs to. Ids are kept as little-endian unsigned
@@ -19,9 +20,9 @@ from itertools import accumulate
 
 import numpy as np
 
-ROUGH = re.compile(r"\s\s|\x00")
+ROUGH = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S)(?=\s\S)")
-BLANKS = str.maketrans("\t\n\r", "   ")
+STRAY = re.compile(r"(?<![^\W_])[.,]")
 GROUP = 200  # pieces encoded in one call
 _CACHES: dict[tuple[str, int], PieceCache] = {}
 
@@ -34,14 +35,19 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; pieces met again move up
         one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a\tb"))
         self.word_level = one == two  # white space leaves no trace in the ids
 
     def pieces(self, text: str) -> list[str]:
+        if "\0" in text:
+            return text.split(" ") if self.word_level else SINGLE.split(text)
+        if not STRAY.search(text):
+            text = text.replace(",", "\0,").replace(".", "\0.")
         if self.word_level:
-            return text.translate(BLANKS).split(" ")
+            return text.replace("\n", "\0").replace(" ", "\0").split("\0")
         if ROUGH.search(text):
-            return SINGLE.split(text)
+            return [p for part in SINGLE.split(text) for p in part.split("\0")]
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def _joins(self, piece: str) -> bool:
@@ -73,8 +79,11 @@ class PieceCache:
         for at in range(0, len(texts), 256):
             cut = [self.pieces(t) for t in texts[at : at + 256]]
             if len(self.known) > self.limit:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             fresh = set().union(*cut).difference(self.known)
+            again = fresh.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            fresh -= again
             if fresh:
                 self._learn(sorted(fresh))
             out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
@@ -82,7 +91,7 @@ class PieceCache:
 
 
 def piece_cache(path: str, limit: int = 400_000) -> PieceCache:
-    """The worker's cache for a tokenizer file; it holds ``limit`` pieces and a batch at most."""
+    """The worker's cache for a tokenizer file; it holds two generations of ``limit`` pieces and a batch at most."""
     if (path, limit) not in _CACHES:
         _CACHES[path, limit] = PieceCache(path, limit)
     return _CACHES[path, limit]
