@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, eos: int = 1, cl
     seats = Window.partitionBy("sequence_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     again = again.withColumn("offset", F.coalesce(F.sum("length").over(seats), F.lit(0)))
 
-    rest = left.where("nth >= here - here % klass").select(*PIECE, *payload).coalesce(1)
+    rest = left.where("nth >= here - here % klass").select(*PIECE, *payload).repartition(1)
     rest = mapped(rest, fit, schema, capacity=capacity)
     filled = pieces.where(F.col("sequence_id").isNotNull())
     return filled.select(result).unionByName(again.select(result)).unionByName(rest.select(result))
