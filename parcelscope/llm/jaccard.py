@@ -201,7 +201,7 @@ def _judged(docs: DataFrame, size: int, threshold: float, trees: int, depth: int
 
 
 def jaccard_links(
-    docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.999, seed: int = 5
+    docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.9999, seed: int = 5
 ) -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links, n_linked_texts.
 
@@ -221,7 +221,7 @@ def jaccard_links(
     )
 
 
-def keep_one_near(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.999, seed: int = 5) -> DataFrame:
+def keep_one_near(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.9999, seed: int = 5) -> DataFrame:
     """The documents with one of each near-duplicate group, the one with the smallest doc_id, all columns kept.
 
     Documents without words all stay. Of equal rows (same doc_id and text) in a group one stays.

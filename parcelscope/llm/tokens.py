@@ -22,7 +22,7 @@ import numpy as np
 
 ROUGH = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S)(?=\s\S)")
-STRAY = re.compile(r"(?<![^\W_])[.,]")
+STRAY = re.compile("(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,]")  # not after a letter that stays one letter when normalised
 GROUP = 200  # pieces encoded in one call
 _CACHES: dict[tuple[str, int], PieceCache] = {}
 
