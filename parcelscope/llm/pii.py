@@ -270,7 +270,8 @@ def train_task(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
 
 def fit_chain(lines: DataFrame, most: int = 600) -> Chain:
     """A chain from labelled lines (words, tags), at most ``most`` with findings and as many without."""
-    return Chain.unpacked(mapped(lines.coalesce(1), train_task, "chain binary", most=most).first()[0])
+    row = mapped(lines.coalesce(1), train_task, "chain binary", most=most).first()
+    return Chain.unpacked(row[0]) if row else Chain.empty()
 
 
 def _spans(words: list[tuple[int, int]], tags: np.ndarray, text: str) -> Iterator[tuple[int, int, str]]:

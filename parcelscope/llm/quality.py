@@ -119,7 +119,8 @@ def fit_task(batches: Iterator[pa.RecordBatch], **settings: float) -> Iterator[p
 def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Column | None = None, rows: int = FIT_ROWS) -> np.ndarray:
     """Weights fitted on at most ``rows`` labelled documents for which ``train`` (of doc_id) holds."""
     sample = labelled_sample(docs, labels, label, train, rows)
-    return np.frombuffer(mapped(sample.coalesce(1), fit_task, "weights binary").first()[0], dtype=np.float32)
+    row = mapped(sample.coalesce(1), fit_task, "weights binary").first()
+    return np.frombuffer(row[0], dtype=np.float32) if row else np.zeros((FAMILIES << BITS) + 1, np.float32)
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Column:

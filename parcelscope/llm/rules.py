@@ -105,6 +105,10 @@ class Trees:
     def __init__(self, roots: list[int], feature: np.ndarray, limit: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray, depth: int, base: float):
         self.roots, self.feature, self.limit, self.left, self.right, self.value, self.depth, self.base = roots, feature, limit, left, right, value, depth, base
 
+    @classmethod
+    def keeping_all(cls) -> Trees:
+        return cls([0], np.zeros(1, int), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.zeros(1), 0, 30.0)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         rows = np.arange(len(x))[:, None]
         node = np.broadcast_to(np.array(self.roots, dtype=np.int64), (len(x), len(self.roots))).copy()
@@ -180,7 +184,7 @@ def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["turn"], r["doc_id"], r["text"]))
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
-        model = Trees([0], np.zeros(1, int), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.zeros(1), 0, 30.0)
+        model = Trees.keeping_all()
     else:
         parts = [statistics(data, off)[1] for _, _, data, off in slices(pa.array([r["text"] for r in rows], pa.string()))]
         model = grow(np.concatenate(parts), y, list(STATISTICS.values()))
@@ -193,6 +197,8 @@ def fit_trees(docs: DataFrame, labels: DataFrame, label: str = "quality", train:
     sample = labelled_sample(docs, labels, label, train, rows)
     schema = "roots array<long>, feature array<long>, lim array<double>, left array<long>, right array<long>, value array<double>, depth long, base double"
     r = mapped(sample.coalesce(1), fit_task, schema).first()
+    if r is None:
+        return Trees.keeping_all()
     return Trees(list(r.roots), np.array(r.feature, int), np.array(r.lim), np.array(r.left, int), np.array(r.right, int), np.array(r.value), r.depth, r.base)
 
 

@@ -90,7 +90,7 @@ class PieceCache:
         return out
 
 
-def piece_cache(path: str, limit: int = 400_000) -> PieceCache:
+def piece_cache(path: str, limit: int = 300_000) -> PieceCache:
     """The worker's cache for a tokenizer file; it holds two generations of ``limit`` pieces and a batch at most."""
     if (path, limit) not in _CACHES:
         _CACHES[path, limit] = PieceCache(path, limit)

@@ -17,7 +17,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 21  # text handled at once; one longer document is handled alone
+SLICE_BYTES = 1 << 20  # text handled at once; one longer document is handled alone
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 GRAM = np.random.default_rng(11).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
