@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelscope.session import settle
 
-__all__ = ["ascii_lower", "documents", "held_out", "known", "labelled_sample", "mapped", "ready", "settle", "table"]
+__all__ = ["ascii_lower", "documents", "held_out", "known", "labelled_sample", "mapped", "ready", "settle", "table", "text_sample"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,3 +62,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), known().alias("text"))
     found = chosen.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
     return found.orderBy("turn", "doc_id", F.xxhash64("text")).limit(rows)
+
+
+def text_sample(docs: DataFrame, groups: list[Column], rows: int) -> DataFrame:
+    """(text) of about ``rows`` distinct texts, and no more, of each group (a condition on ``text``), by hash.
+
+    The groups are counted; the share of hash values that is wanted follows. So nothing is
+    ordered, and only the sample itself is shuffled.
+    """
+    texts = docs.select(known().alias("text")).withColumn("turn", F.xxhash64("text"))
+    sizes = texts.agg(*[F.count(F.when(g, True)).alias(str(i)) for i, g in enumerate(groups)]).first()
+    picks = []
+    for group, n in zip(groups, sizes, strict=True):
+        upto = min((1 << 63) - 1, int((1 << 64) * min(1.0, rows / max(1, n))) - (1 << 63))
+        few = texts.where(F.col("turn") <= upto).where(group)
+        picks.append(few.groupBy("turn").agg(F.min("text").alias("text")).limit(rows).select("text"))
+    return functools.reduce(DataFrame.unionByName, picks)

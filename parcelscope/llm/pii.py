@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import known, mapped, ready
+from .base import known, mapped, ready, text_sample
 from .words import slices
 
 # Fixed patterns.
@@ -253,9 +253,8 @@ def lines_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_lines(docs: DataFrame, rows: int = FIT_LINES) -> DataFrame:
-    """(words, tags) of lines with a digit or @ of at most ``rows`` documents, by hash of the text."""
-    texts = docs.select(known().alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("turn", F.xxhash64("text"))
-    return mapped(texts.orderBy("turn").limit(rows).select("text"), lines_task, "words array<string>, tags array<int>")
+    """(words, tags) of lines with a digit or @ of at most ``rows`` texts that have one."""
+    return mapped(text_sample(docs, [F.col("text").rlike(r"[0-9@]")], rows), lines_task, "words array<string>, tags array<int>")
 
 
 def train_task(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
