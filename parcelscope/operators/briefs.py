@@ -12,20 +12,28 @@ BRIEF = (
 
 
 def with_brief(listings: DataFrame, briefs: DataFrame) -> DataFrame:
-    """Listings paired with the briefs that name their area.
+    """Listings paired with the briefs they fall under; see ``by_locality``."""
+    region = F.col("region") if "region" in briefs.columns else F.lit(None).cast("string")
+    asks = briefs.select(*BRIEF, F.col("suburbs").alias("_suburbs"), region.alias("_region"))
+    return by_locality(listings, asks, "_suburbs", "_region").drop("_suburbs", "_region")
 
-    An equi join on the area key: a brief meets the listings of its areas, not every
-    listing.
-    """
-    named = briefs.select(*BRIEF, F.explode("suburbs").alias("_s")).withColumn("_area", F.lower("_s"))
-    named = named.drop("_s").dropDuplicates(["brief_id", "_area"])
-    return listings.join(named, F.lower("suburb") == F.col("_area")).drop("_area")
 
+def by_locality(listings: DataFrame, asks: DataFrame, suburbs: str, region: str) -> DataFrame:
+    """Listings paired with briefs or searches: by area, else by region, else with all listings.
 
-def without_brief(listings: DataFrame) -> DataFrame:
-    """Listings with empty brief columns, for rule sets run without a brief."""
-    kinds = ("string", "string", "string", "int", "int", "int", "bigint", "bigint", "array<double>")
-    return listings.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(BRIEF, kinds, strict=True)])
+    One that names areas meets the listings of those, one that names a region only those
+    of the region, one without either every listing. A listing carries a key for each
+    form, so all are one equi join. Case does not matter.
+    """
+    plain = lambda c: F.lower(F.trim(c))
+    places = F.array_distinct(F.transform(suburbs, lambda x: F.concat(F.lit("a:"), plain(x))))
+    part = F.nullif(plain(F.col(region)), F.lit(""))
+    keys = F.when(F.coalesce(F.size(suburbs), F.lit(0)) > 0, places).otherwise(F.array(F.coalesce(F.concat(F.lit("r:"), part), F.lit("*"))))
+    asks = asks.withColumn("_key", F.explode(keys))
+    own = [F.concat(F.lit("a:"), plain(F.col("suburb"))), F.lit("*")]
+    if "region" in listings.columns:
+        own.append(F.concat(F.lit("r:"), plain(F.col("region"))))
+    return listings.withColumn("_key", F.explode(F.array_compact(F.array(*own)))).join(asks, "_key").drop("_key")
 
 
 def objective() -> Column:

@@ -78,10 +78,16 @@ def merge_state(current: DataFrame, update: DataFrame) -> DataFrame:
 
 
 def with_last_sighting(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Effective observations with ``prev``: the tracked fields of the sighting before."""
-    rows = effective(observations)
-    values = [*TRACKED, *(["inspections"] if "inspections" in rows.columns else [])]
-    rows = with_previous(rows, ["id"], ORDER, values, day() if chunk is None else chunk)
+    """Effective observations with ``prev``: the tracked fields of the sighting before.
+
+    With inspections also ``times``, those with a start (NULL for none), and ``prev_times``, the last known ones:
+    a sighting without times does not erase them.
+    """
+    rows, known = effective(observations), []
+    if "inspections" in rows.columns:
+        times = _intervals(F.col("inspections"))
+        rows, known = rows.withColumn("times", F.when(F.size(times) > 0, times)), ["times"]
+    rows = with_previous(rows, ["id"], ORDER, TRACKED, day() if chunk is None else chunk, known=known)
     changed = F.lit(False)
     for c in TRACKED:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"prev.{c}"))
@@ -145,9 +151,9 @@ def _interval_text(intervals: Column) -> Column:
 
 
 def _inspection_event() -> Column:
-    old, new = _intervals(F.col("prev.inspections")), _intervals(F.col("inspections"))
+    old, new = F.col("prev_times"), F.col("times")
     return F.when(
-        (F.size(old) > 0) & (F.size(new) > 0) & ~old.eqNullSafe(new),
+        old.isNotNull() & new.isNotNull() & ~old.eqNullSafe(new),
         _event(4, F.lit("inspection_change"), _interval_text(old), _interval_text(new), F.lit("Inspection times changed.")),
     )
 
@@ -203,10 +209,11 @@ def lifecycle_events(
             "id", "observed_at", F.lit(1).alias("kind"),
             F.lit(None).cast(seen.schema["seq"].dataType).alias("seq"),
         )
-        # sightings that can end a disappearance, next to the disappearances themselves
-        tokens = rows.where(F.col("off").isNull() | F.col("left")).unionByName(gone, allowMissingColumns=True)
+        # sightings that can end a disappearance or add an event after it, next to the disappearances themselves
+        speaks = F.col("off").isNull() | F.col("left") | (F.size("late") > 0)
+        tokens = rows.where(speaks).unionByName(gone, allowMissingColumns=True)
         tokens = with_previous(tokens, ["id"], order, ["kind"], grain, "before")
-        quiet = rows.where(F.col("off").isNotNull() & ~F.col("left"))
+        quiet = rows.where(~speaks)
         rows = tokens.withColumn(
             "back", (F.col("kind") == 0) & F.col("off").isNull() & F.coalesce(F.col("before.kind") == 1, F.lit(False))
         ).drop("before").unionByName(quiet.withColumn("back", F.lit(False)))

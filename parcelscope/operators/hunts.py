@@ -2,6 +2,8 @@
 
 ``runs``: hunt, run_at, total_results, blocked. ``members``: hunt, run_at, id, off_market.
 Seen sets are kept as first/last run per (hunt, listing), never as all memberships.
+A blocked run still records what it saw, and a listing first seen in it is new there; it
+only never says that a listing changed or is gone.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from parcelscope.operators.skew import first_k
 
 
 def calendar(runs: DataFrame) -> DataFrame:
-    """Usable runs of each hunt, numbered in time; blocked runs do not count."""
+    """Runs of each hunt, numbered in time, with the number of the next run that was not blocked."""
     w = Window.partitionBy("hunt").orderBy("run_at")
-    return runs.where(~F.col("blocked")).select(
-        "hunt", "run_at", F.row_number().over(w).alias("run_no")
-    )
+    numbered = runs.select("hunt", "run_at", "blocked", F.row_number().over(w).alias("run_no"))
+    usable = F.when(~F.col("blocked"), F.col("run_no"))
+    return numbered.select("hunt", "run_at", "run_no", F.min(usable).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next_open"))
 
 
 def presence(members: DataFrame, runs: DataFrame) -> DataFrame:
@@ -47,23 +49,20 @@ def new_listings(members: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _gaps(members: DataFrame, runs: DataFrame) -> DataFrame:
-    """Presence rows followed by at least one run without the listing."""
+    """Presence rows not followed by another one up to the next run that was not blocked."""
     w = Window.partitionBy("hunt", "id").orderBy("run_no")  # at most one row per run
-    ends = calendar(runs).groupBy("hunt").agg(F.max("run_no").alias("last_no"))
     following = presence(members, runs).select(
-        "hunt", "id", "run_no",
+        "hunt", "id", "next_open",
         F.lead("run_no").over(w).alias("next_no"),
         F.lead("run_at").over(w).alias("next_at"),
         F.lead("off_market").over(w).alias("next_off"),
     )
-    return following.join(ends, "hunt").where(
-        F.coalesce("next_no", F.col("last_no") + 1) > F.col("run_no") + 1
-    )
+    return following.where(F.col("next_open").isNotNull() & (F.col("next_no").isNull() | (F.col("next_no") > F.col("next_open"))))
 
 
 def vanished(members: DataFrame, runs: DataFrame) -> DataFrame:
-    """The first run that misses a listing after each presence; once per absence."""
-    gaps = _gaps(members, runs).select("hunt", "id", (F.col("run_no") + 1).alias("run_no"))
+    """The first usable run that misses a listing after each presence; once per absence."""
+    gaps = _gaps(members, runs).select("hunt", "id", F.col("next_open").alias("run_no"))
     return gaps.join(calendar(runs), ["hunt", "run_no"]).select("hunt", "run_at", "id")
 
 
@@ -89,25 +88,25 @@ def latest_diff(members: DataFrame, runs: DataFrame, events: DataFrame | None =
     """(hunt, id, section) of the latest run: new, changed or stale.
 
     ``events``: id, observed_at. A listing changed when it has an event after the
-    previous run. A blocked latest run yields nothing.
+    previous run. A blocked latest run yields new listings only.
     """
     spans = presence(members, runs).groupBy("hunt", "id").agg(
         F.min("run_at").alias("first_at"),
         F.max("run_at").alias("last_at"),
         F.max_by("off_market", "run_at").alias("off_market"),
     )
-    now = latest_runs(runs).where(~F.col("blocked")).select("hunt", "run_at", "previous_run_at")
+    now = latest_runs(runs).select("hunt", "run_at", "previous_run_at", "blocked")
     rows = spans.join(now, "hunt")
     if events is None:
         rows = rows.withColumn("event_at", F.lit(None).cast("timestamp"))
     else:
         rows = rows.join(events.groupBy("id").agg(F.max("observed_at").alias("event_at")), "id", "left")
-    here, live = F.col("last_at") == F.col("run_at"), ~F.col("off_market")
+    here, live, usable = F.col("last_at") == F.col("run_at"), ~F.col("off_market"), ~F.col("blocked")
     moved = F.col("event_at") > F.coalesce("previous_run_at", F.lit("0001-01-01").cast("timestamp"))
     section = (
-        F.when(~here, "stale")
+        F.when(~here & usable, "stale")
         .when((F.col("first_at") == F.col("run_at")) & live, "new")
-        .when((F.col("first_at") < F.col("run_at")) & live & moved, "changed")
+        .when(here & usable & (F.col("first_at") < F.col("run_at")) & live & moved, "changed")
     )
     return rows.select("hunt", "run_at", "id", section.alias("section")).where("section is not null")
 

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope.functions import numbers as N
+from parcelscope.operators.briefs import by_locality
 from parcelscope.operators.skew import first_k, group_profile
 from parcelscope.session import settle
 
@@ -178,18 +179,10 @@ def search(listings: DataFrame, searches: DataFrame) -> DataFrame:
 
     ``searches``: name, mode, suburbs, region, price_min/max, beds_min/max, baths_min,
     cars_min, ptypes, features, keywords, exclude_under_offer. NULL or empty means no
-    bound. Searches naming suburbs meet listings on the area key; those naming only a
-    region on the region key, so neither form pairs every search with every listing.
+    bound. How searches meet listings: ``briefs.by_locality``.
     """
     s = searches.select([F.col(c).alias(f"q_{c}") for c in searches.columns])
-    rows = listings.withColumn("_area", F.lower("suburb"))
-    by_area = s.where(F.size("q_suburbs") > 0).withColumn(
-        "_area", F.explode(F.array_distinct(F.transform("q_suburbs", lambda x: F.lower(x))))
-    )
-    by_region = s.where((F.coalesce(F.size("q_suburbs"), F.lit(0)) <= 0) & F.col("q_region").isNotNull())
-    pairs = rows.join(by_area, "_area").drop("_area").unionByName(
-        rows.join(by_region, rows["region"] == by_region["q_region"]).drop("_area")
-    )
+    pairs = by_locality(listings, s, "q_suburbs", "q_region")
 
     def at_least(value: str, bound: str) -> Column:
         return F.col(bound).isNull() | (F.col(value) >= F.col(bound))

@@ -130,12 +130,20 @@ def yield_signal(band: Column) -> Column:
     )
 
 
+ESTIMATE = ("provider", "method", "point", "low", "high", "confidence")
+
+
+def latest_estimates(captures: DataFrame, order: Sequence[str] = ("captured_at",)) -> DataFrame:
+    """The estimate cache: of all captures of a key the last by ``order``; ties by the record itself."""
+    record = F.struct(*[F.col(c) for c in ESTIMATE])
+    by = [F.col(c) for c in order if c in captures.columns]
+    last = captures.groupBy("key").agg(F.max_by(record, F.struct(*by, record)).alias("rec"))
+    return last.select("key", *[F.col(f"rec.{c}") for c in ESTIMATE])
+
+
 def captured_estimates(subjects: DataFrame, cache: DataFrame) -> DataFrame:
-    """(id, avm): the captured estimate found by id, else by address."""
-    records = cache.select(
-        "key",
-        F.struct(*[F.col(c) for c in ("provider", "method", "point", "low", "high", "confidence")]).alias("rec"),
-    )
+    """(id, avm): the captured estimate found by id, else by address; the last one of each key."""
+    records = latest_estimates(cache).select("key", F.struct(*[F.col(c) for c in ESTIMATE]).alias("rec"))
     by_id = records.select(F.col("key").alias("id"), F.col("rec").alias("by_id"))
     by_address = records.select(F.col("key").alias("_address"), F.col("rec").alias("by_address"))
     rows = (

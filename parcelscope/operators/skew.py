@@ -98,12 +98,14 @@ def with_previous(
     values: Sequence[str],
     chunk: Column,
     out: str = "prev",
+    known: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out``: struct of the previous row's ``values`` per key (NULL on the first).
 
     Keys are split into ``chunk`` pieces (a truncated time, say), so that one key's rows
     are spread over tasks; the last row of each piece is carried into the next one.
     ``order`` must sort ascending, be total within a key, and agree with ``chunk``.
+    For each column of ``known`` there is ``<out>_<column>``: its last value before the row that is not NULL.
     """
     keys, part = list(keys), [*keys, "_chunk"]
     packed = F.struct(*values)
@@ -112,15 +114,24 @@ def with_previous(
     here = rows.withColumn("_here", F.lag(packed).over(within)).withColumn(
         "_first", F.row_number().over(within) == 1
     )
-    carry = (
-        rows.groupBy(*part)
-        .agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-        .select(*part, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
+    past = (Window.unboundedPreceding, -1)
+    for c in known:
+        here = here.withColumn(f"_here_{c}", F.last(c, ignorenulls=True).over(within.rowsBetween(*past)))
+    pieces = Window.partitionBy(*keys).orderBy("_chunk")
+    tails = rows.groupBy(*part).agg(
+        F.max_by(packed, F.struct(*order)).alias("_tail"),
+        *[newest_known(c, order).alias(f"_tail_{c}") for c in known],
+    )
+    carry = tails.select(
+        *part,
+        F.lag("_tail").over(pieces).alias("_carry"),
+        *[F.last(f"_tail_{c}", ignorenulls=True).over(pieces.rowsBetween(*past)).alias(f"_carry_{c}") for c in known],
     )
     return (
         here.join(carry, part, "left")
         .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_here")))
-        .drop("_chunk", "_here", "_first", "_carry")
+        .withColumns({f"{out}_{c}": F.coalesce(f"_here_{c}", f"_carry_{c}") for c in known})
+        .drop("_chunk", "_here", "_first", "_carry", *[f"_{k}_{c}" for c in known for k in ("here", "carry")])
     )
 
 

@@ -123,6 +123,19 @@ def search_matches(spark, sf):
     return rows.select("q_name", "id", "mode", "suburb", "beds")
 
 
+@query
+def search_unbounded(spark, sf):
+    """Matches of searches that name a region only or no locality; counted, as those without any meet every listing."""
+    asks = B.searches(T.open_briefs(spark, sf)).withColumn("name", F.concat_ws("/", "brief_id", "name"))
+    rows = M.search(T.listings(spark, sf), asks)
+    return rows.groupBy("q_name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.countDistinct("suburb").alias("suburbs"))
+
+
+@query
+def cache_latest(spark, sf):
+    return S.latest_estimates(T.estimate_captures(spark, sf), ("captured_at", "seq"))
+
+
 @query
 def search_results(spark, sf):
     rows = M.search(T.listings(spark, sf), B.searches(T.briefs(spark, sf)))

@@ -27,7 +27,7 @@ def decide(
     rows = C.attach(rows, prefix(C.comp_stats(sold), "sold"))
     rows = C.attach(rows, prefix(C.comp_stats(rent), "rent"))
 
-    renting = F.coalesce(F.col("mode") == "rent", F.lit(False)) | F.col("objective").isin("rent", "renter")
+    renting = F.coalesce(F.col("mode") == "rent", F.lit(False)) | F.coalesce(F.lower("objective").isin("rent", "renter"), F.lit(False))
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
     side = lambda c: F.when(renting, F.col(f"rent_{c}")).otherwise(F.col(f"sold_{c}"))
     rows = rows.withColumn("ask", ask).withColumn("side", F.when(renting, "rent").otherwise("buy"))

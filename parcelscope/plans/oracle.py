@@ -149,7 +149,8 @@ obs AS (SELECT id, ts, seq, '$' || CAST(cents AS VARCHAR) AS disp, cents AS lo,
     CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:00:00') END AS open_at,
     CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:30:00') END AS close_at FROM obs0),
 seen AS (SELECT *, lag(disp) OVER w AS pdisp, lag(lo) OVER w AS plo, lag(hi) OVER w AS phi, lag(status) OVER w AS pstatus,
-    lag(open_at) OVER w AS popen, lag(close_at) OVER w AS pclose, row_number() OVER w = 1 AS is_first FROM obs WINDOW w AS (PARTITION BY id ORDER BY ts, seq)),
+    last_value(open_at IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS popen,
+    last_value(close_at IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pclose, row_number() OVER w = 1 AS is_first FROM obs WINDOW w AS (PARTITION BY id ORDER BY ts, seq)),
 moves AS (SELECT *, is_first OR disp IS DISTINCT FROM pdisp OR lo IS DISTINCT FROM plo OR hi IS DISTINCT FROM phi OR status IS DISTINCT FROM pstatus AS moved FROM seen)"""
 
 PRICE_EVENTS = """
@@ -171,19 +172,20 @@ RUNS = """
 members AS (SELECT event_type AS hunt, date_trunc('day', ts) + INTERVAL 1 DAY AS run_at, CAST(user_id AS VARCHAR) AS id, max(value) > 100 AS off
   FROM events GROUP BY ALL),
 runs AS (SELECT hunt, run_at, count(*) AS total_results, count(*) % 10 = 0 AS blocked FROM members GROUP BY ALL),
-cal AS (SELECT hunt, run_at, row_number() OVER (PARTITION BY hunt ORDER BY run_at) AS no FROM runs WHERE NOT blocked),
+cal0 AS (SELECT hunt, run_at, blocked, row_number() OVER (PARTITION BY hunt ORDER BY run_at) AS no FROM runs),
+cal AS (SELECT *, (SELECT min(y.no) FROM cal0 y WHERE y.hunt = c.hunt AND y.no > c.no AND NOT y.blocked) AS next_open FROM cal0 c),
 pres AS (SELECT m.*, c.no FROM members m JOIN cal c USING (hunt, run_at))"""
 
-# every run that misses a listing seen before, directly after a run that saw it
+# after each sighting the next run that is not blocked, if none up to it saw the listing
 GONE = """
-gone AS (SELECT c.hunt, c.run_at, p.id, c.no FROM pres p JOIN cal c ON c.hunt = p.hunt AND c.no = p.no + 1
-  WHERE NOT EXISTS (SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no = p.no + 1))"""
+gone AS (SELECT g.hunt, g.run_at, p.id, g.no FROM pres p JOIN cal c ON c.hunt = p.hunt AND c.no = p.no JOIN cal g ON g.hunt = c.hunt AND g.no = c.next_open
+  WHERE NOT EXISTS (SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no > p.no AND x.no <= g.no))"""
 
 STALE_TEXT, RELIST_TEXT = q(vocab.STALE_TEXT), q(vocab.RELIST_TEXT)
 
 LIFECYCLE = f"""
 tokens AS (
-  SELECT id, ts, 0 AS kind, seq, off, moved, status FROM moves WHERE NOT off OR moved
+  SELECT id, ts, 0 AS kind, seq, off, moved, status FROM moves m WHERE NOT off OR moved OR EXISTS (SELECT 1 FROM insp_ev i WHERE i.id = m.id AND i.seq = m.seq)
   UNION ALL SELECT DISTINCT id, run_at, 1, NULL, NULL, NULL, NULL FROM gone),
 tok2 AS (SELECT *, lag(kind) OVER (PARTITION BY id ORDER BY ts, kind, seq) AS before FROM tokens),
 relist_ev AS (SELECT id, ts, seq, 3 AS ord, 'relisted' AS event_type, 'withdrawn/stale' AS previous_value, status AS current_value, {RELIST_TEXT} AS summary
@@ -284,6 +286,13 @@ add("brief_searches", """SELECT brief_id, name, list_aggregate(list_sort(list_fi
   'beds_min=' || beds_min, 'beds_max=' || beds_max, 'baths_min=' || baths_min, 'cars_min=' || cars_min, 'exclude_under_offer=' || CAST(ex AS VARCHAR), 'sort=' || sort ], lambda x: x IS NOT NULL)), 'string_agg', '|') AS filters
   FROM searches""", BRIEFS, SEARCHES.split("\nmatches AS")[0].rstrip().rstrip(","))
 add("search_matches", "SELECT q_name, id, mode, suburb, beds FROM matches", LISTINGS_E, BRIEFS, SEARCHES)
+OPEN = SEARCHES.replace("FROM briefs", "FROM ob").replace("replace(lower(brief_area), '_', '-')", "regexp_replace(lower(brief_area), '[^a-z0-9]+', '-', 'g')").replace("s.name AS q_name", "s.brief_id || '/' || s.name AS q_name").replace(
+    "l.suburb = s.brief_area", "(s.brief_area = 'multi' OR lower(l.state) = lower(s.brief_area))")
+OPEN = "\nob AS (SELECT b.* REPLACE (CASE WHEN bk % 5 <> 0 THEN upper(r_name) ELSE 'multi' END AS brief_area) FROM briefs b JOIN region ON r_regionkey = bk % 5)," + OPEN
+add("search_unbounded", "SELECT q_name, count(*) AS n, min(id) AS first_id, count(DISTINCT suburb) AS suburbs FROM matches GROUP BY q_name", LISTINGS_E, BRIEFS, OPEN)
+add("cache_latest", f"""SELECT CAST(l_orderkey AS VARCHAR) AS key, l_returnflag AS provider, 'avm' AS method, CAST({whole('l_extendedprice')} AS DOUBLE) AS point,
+  CAST({whole('l_extendedprice * 0.5e0')} AS DOUBLE) AS low, CAST({whole('l_extendedprice * 2e0')} AS DOUBLE) AS high, CASE WHEN l_linestatus = 'F' THEN 'high' END AS confidence
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC, confidence DESC NULLS LAST) = 1""")
 add("search_results", """SELECT q_name, position, id, price_from FROM (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY price_from NULLS LAST, id) AS position FROM matches)
   WHERE position BETWEEN 6 AND 10""", LISTINGS_E, BRIEFS, SEARCHES)
 
@@ -318,7 +327,7 @@ add("tag_reads", """SELECT k AS id, status, CASE WHEN status IS NULL THEN NULL W
   FROM (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 6 IN (0, 1, 4) THEN 'sold' WHEN o_orderkey % 6 = 2 THEN 'leased'
     WHEN o_orderkey % 6 = 3 OR o_orderkey % 10 = 0 THEN 'off_market' END AS status FROM orders)""")
 TEXTS = """
-texts AS (SELECT l.* REPLACE (doc.text || '. ' || l.description AS description) FROM listings l JOIN documents doc ON doc.doc_id = l.k),
+texts AS (SELECT l.* REPLACE (coalesce(doc.text || '. ', '') || l.description AS description) FROM listings l LEFT JOIN documents doc ON doc.doc_id = l.k),
 blobs AS (SELECT *, lower(description || '  ' || headline || '  ' || f1 || '  ' || f2 || '  ' || sf) AS vblob,
   lower(headline || ' ' || description || ' ' || coalesce(price_display, '') || ' ' || status || ' ' || f1 || ' ' || f2 || ' Feature ' || sf || ' ') AS rblob,
   lower(description || ' ' || headline || ' ' || f1 || ' ' || f2) AS dblob, lower(description || ' ' || f1 || ' ' || f2 || ' ' || headline) AS hblob FROM texts)"""
@@ -358,15 +367,15 @@ add("media_table", """SELECT id, 'photo.jpg' AS url, 'photo' AS media_type, 0 AS
 add("new_listings", """SELECT hunt, epoch_us(run_at) AS run_us, id FROM pres p WHERE NOT off AND NOT EXISTS (
   SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no < p.no)""", RUNS)
 add("stale_listings", "SELECT hunt, epoch_us(run_at) AS run_us, id FROM gone", RUNS, GONE)
-add("relisted", """SELECT hunt, epoch_us(run_at) AS run_us, id FROM pres p WHERE NOT off AND EXISTS (SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no < p.no)
-  AND NOT EXISTS (SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no = p.no - 1)""", RUNS)
+add("relisted", """SELECT hunt, epoch_us(run_at) AS run_us, id FROM pres p WHERE NOT off AND EXISTS (SELECT 1 FROM gone g WHERE g.hunt = p.hunt AND g.id = p.id AND g.no < p.no
+  AND NOT EXISTS (SELECT 1 FROM pres x WHERE x.hunt = p.hunt AND x.id = p.id AND x.no > g.no AND x.no < p.no))""", RUNS, GONE)
 DIFF = """
 lastrun AS (SELECT hunt, run_at, blocked, total_results, lag(run_at) OVER w AS prev_at, row_number() OVER (PARTITION BY hunt ORDER BY run_at DESC) AS r FROM runs
   WINDOW w AS (PARTITION BY hunt ORDER BY run_at) QUALIFY r = 1),
 spans AS (SELECT hunt, id, min(run_at) AS f, max(run_at) AS l, arg_max(off, run_at) AS off FROM pres GROUP BY ALL),
-diff AS (SELECT hunt, run_at, id, CASE WHEN l < run_at THEN 'stale' WHEN f = run_at AND NOT off THEN 'new'
-    WHEN f < run_at AND NOT off AND EXISTS (SELECT 1 FROM {events} e WHERE e.id = spans.id AND e.ts > prev_at) THEN 'changed' END AS section
-  FROM spans JOIN lastrun USING (hunt) WHERE NOT blocked)"""
+diff AS (SELECT hunt, run_at, id, CASE WHEN l < run_at AND NOT blocked THEN 'stale' WHEN f = run_at AND NOT off THEN 'new'
+    WHEN NOT blocked AND l = run_at AND f < run_at AND NOT off AND EXISTS (SELECT 1 FROM {events} e WHERE e.id = spans.id AND e.ts > prev_at) THEN 'changed' END AS section
+  FROM spans JOIN lastrun USING (hunt))"""
 D1 = DIFF.format(events="price_ev")
 add("hunt_diff", "SELECT hunt, epoch_us(run_at) AS run_us, id, section FROM diff WHERE section IS NOT NULL", OBSERVATIONS, PRICE_EVENTS, RUNS, D1)
 add("changed_since", "SELECT hunt, epoch_us(run_at) AS run_us, id FROM diff WHERE section = 'changed'", OBSERVATIONS, PRICE_EVENTS, RUNS, D1)
@@ -698,17 +707,17 @@ add("folio", f"""SELECT brief_id, pos AS position, id, headline, address_display
 _SERIOUS = "top_severity IN ('dealbreaker', 'major')"
 RECOMMEND = f"""
 notes AS (SELECT *, CASE WHEN conf = 'none' THEN 'low' ELSE conf END AS overall, list_filter([
-    CASE WHEN conf IN ('none', 'low') OR nn < 4 THEN 'Comparable evidence is thin, so the price call can move quickly.' END,
-    CASE WHEN critical_count > 0 THEN 'Critical due-diligence items still need human verification.' END,
-    CASE WHEN {_SERIOUS} THEN 'Top risk may dominate the recommendation: ' || top_risk || '.' END,
-    CASE WHEN breaker THEN 'The action plan says pass; only revisit if the missing facts change.' END], lambda x: x IS NOT NULL) AS why,
-  CASE WHEN breaker THEN action || ' · ' || deadline || ' · ' || CASE top_risk WHEN 'Parking shortfall' THEN 'Brief requires ' || cars_min || '+ car space.' ELSE 'Listing text references a serious overlay that needs external confirmation.' END
-    WHEN has_visit THEN action || ' · next open · Check light, noise, building condition, floorplan feel and air-conditioning.'
-    ELSE action || ' · today · No open time is visible in the current listing data.' END AS step FROM ranked)"""
-add("recommendation", f"""SELECT a.brief_id, a.id AS standout, 'Lead with ' || a.address_display || '. It is the strongest current fit at ' || printf('%.1f', a.score) || '/10.' AS summary, a.overall AS confidence,
+    CASE WHEN conf IN ('none', 'low') OR nn < 4 THEN 'The comparables are thin; the price read may change.' END,
+    CASE WHEN critical_count > 0 THEN 'Critical checks are still open.' END,
+    CASE WHEN {_SERIOUS} THEN 'One risk may outweigh the rest: ' || top_risk || '.' END,
+    CASE WHEN breaker THEN 'The advice is to pass unless new facts turn up.' END], lambda x: x IS NOT NULL) AS why,
+  CASE WHEN breaker THEN action || ' · ' || deadline || ' · ' || CASE top_risk WHEN 'Parking shortfall' THEN 'The brief asks for ' || cars_min || ' or more car spaces.' ELSE 'The text names a planning overlay; check it with the council.' END
+    WHEN has_visit THEN action || ' · next open · Judge light, noise, state and layout on the spot.'
+    ELSE action || ' · today · There is no open time to go to.' END AS step FROM ranked)"""
+add("recommendation", f"""SELECT a.brief_id, a.id AS standout, 'Lead with ' || a.address_display || '. Its fit is the best at ' || printf('%.1f', a.score) || '/10.' AS summary, a.overall AS confidence,
   'Price read: ' || a.fairness || '.|Risk read: ' || a.top_risk || '.' AS reasons, CASE WHEN a.{_SERIOUS} THEN a.top_severity || ': ' || a.top_risk ELSE '' END AS watch,
-  a.step || '|Keep warm: ' || b.address_display || ' if the top pick fails due diligence.|Keep warm: ' || c.address_display || ' if the top pick fails due diligence.' AS next_actions,
-  CASE WHEN len(a.why) > 0 THEN list_aggregate(a.why[1:3], 'string_agg', '|') WHEN a.overall <> 'high' THEN 'Recommendation is useful, but not yet high-confidence.' ELSE '' END AS why_wrong
+  a.step || '|Keep warm: ' || b.address_display || ' in case the first choice falls through.|Keep warm: ' || c.address_display || ' in case the first choice falls through.' AS next_actions,
+  CASE WHEN len(a.why) > 0 THEN list_aggregate(a.why[1:3], 'string_agg', '|') WHEN a.overall <> 'high' THEN 'The pick is sound but not certain.' ELSE '' END AS why_wrong
   FROM notes a JOIN notes b ON b.brief_id = a.brief_id AND b.pos = 2 JOIN notes c ON c.brief_id = a.brief_id AND c.pos = 3 WHERE a.pos = 1""", DECISIONS, RANKED, RECOMMEND)
 add("actions", """SELECT brief_id, id, list_aggregate(list_filter([CASE WHEN breaker THEN 'pass' END, CASE WHEN has_visit THEN 'inspect' ELSE 'contact_agent' END,
   CASE WHEN renting THEN 'prepare_application' END, CASE WHEN renting THEN 'ask_property_manager' END, CASE WHEN NOT renting AND buying THEN 'request_contract' END,
@@ -757,7 +766,7 @@ add("page_class", f"""SELECT page_id, sha256(url) AS page_key, CAST(st AS BIGINT
   CASE WHEN {_any(vocab.CHALLENGE_MARKERS)} THEN 'akamai_challenge' WHEN mk THEN 'access_denied' WHEN length(h) < 200 THEN 'browser_down' WHEN st THEN 'empty_shell' WHEN length(h) < 20000 THEN 'akamai_challenge' ELSE 'ok' END AS page_class
   FROM (SELECT *, {_any(vocab.STRUCTURED_MARKERS)} AS st, {_any(vocab.BLOCK_MARKERS)} AS mk FROM (SELECT page_id, url, lower(html) AS h FROM pages))""")
 add("page_titles", r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
-add("page_status", f"""SELECT 'https://listings.example/sale/page-' || no AS url, 'ok' AS status, '' AS markers, no * 3 + 40 AS search_result_count, least(n, 5) AS returned,
+add("page_status", f"""SELECT 'https://listings.example/sale/page-' || no AS url, 'ok' AS status, '' AS markers, no * 3 + 40 AS search_result_count, n AS returned,
   list_aggregate(CASE WHEN no % 3 = 0 THEN list_reverse_sort(ids)[1:5] ELSE list_sort(ids)[1:5] END, 'string_agg', '|') AS sample
   FROM (SELECT o_orderkey // 20 AS no, count(*) AS n, list(CAST(o_orderkey + 10000 AS VARCHAR)) AS ids FROM orders GROUP BY ALL)
   UNION ALL SELECT url, CASE WHEN st = '' THEN 'blocked' ELSE 'blocked' END, CASE WHEN length(h) < 20000 OR {_any(vocab.BLOCK_MARKERS)} THEN {case([(_any(vocab.CHALLENGE_MARKERS), q('akamai_challenge')), (_any(vocab.BLOCK_MARKERS), q('access_denied')), ('length(h) < 200', q('browser_down'))], q('akamai_challenge'))} ELSE 'blocked' END, NULL, 0, ''

@@ -44,17 +44,17 @@ def doubts(confidence: Column, n: Column, critical: Column, top: Column, action:
     thin = confidence.isNull() | confidence.isin("none", "low") | (n < 4)
     notes = F.array_compact(
         F.array(
-            F.when(thin, "Comparable evidence is thin, so the price call can move quickly."),
-            F.when(critical > 0, "Critical due-diligence items still need human verification."),
+            F.when(thin, "The comparables are thin; the price read may change."),
+            F.when(critical > 0, "Critical checks are still open."),
             F.when(
                 top["severity"].isin(*SERIOUS),
-                F.concat(F.lit("Top risk may dominate the recommendation: "), top["label"], F.lit(".")),
+                F.concat(F.lit("One risk may outweigh the rest: "), top["label"], F.lit(".")),
             ),
-            F.when(action == "pass", "The action plan says pass; only revisit if the missing facts change."),
+            F.when(action == "pass", "The advice is to pass unless new facts turn up."),
         )
     )
     fallback = F.when(
-        overall != "high", F.array(F.lit("Recommendation is useful, but not yet high-confidence."))
+        overall != "high", F.array(F.lit("The pick is sound but not certain."))
     ).otherwise(F.array().cast("array<string>"))
     return F.slice(F.when(F.size(notes) > 0, notes).otherwise(fallback), 1, 3)
 
@@ -90,11 +90,11 @@ def recommendation(decisions: DataFrame) -> DataFrame:
     first = F.element_at("p", 1)
     warm = F.transform(
         F.filter(F.slice("p", 2, 2), lambda x: F.coalesce(x["address"], F.lit("")) != ""),
-        lambda x: F.concat(F.lit("Keep warm: "), x["address"], F.lit(" if the top pick fails due diligence.")),
+        lambda x: F.concat(F.lit("Keep warm: "), x["address"], F.lit(" in case the first choice falls through.")),
     )
     lead = F.concat(
         F.lit("Lead with "), F.coalesce(F.nullif(first["address"], F.lit("")), F.lit("the standout property")),
-        F.lit(". It is the strongest current fit at "), F.format_string("%.1f", first["fit"]), F.lit("/10."),
+        F.lit(". Its fit is the best at "), F.format_string("%.1f", first["fit"]), F.lit("/10."),
     )
     return picks.select(
         "brief_id", first["id"].alias("standout"), lead.alias("summary"), first["confidence"].alias("confidence"),

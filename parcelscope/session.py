@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,19 +32,27 @@ def local_session(cores: str = "*", name: str = "parcelscope") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of the shared folder the cluster names.
+    """The name of a new folder, not made yet, under the shared folder the cluster names.
 
     The setting is read from the session. Only a local master may fall back to a
     folder of its own; on a cluster a machine-local folder would not be visible to
-    the other executors, so a missing setting is an error there.
+    the other executors, so a missing setting is an error there. What is written there goes
+    when the session's process ends.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="parcelscope-")
-        _LOCAL[spark.sparkContext.applicationId] = root
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="parcelscope-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        root = _LOCAL[app]
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return f"{own.toString()}/data"
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:

@@ -369,11 +369,11 @@ def detail_pages(pages: DataFrame, wanted: str | None = None) -> DataFrame:
 # ---- page checks ------------------------------------------------------------------
 
 
-def availability(pages: DataFrame, limit: int = 5) -> DataFrame:
-    """Check record per captured search page: ok, blocked or failed, counts, sample ids."""
-    rows = search_pages(pages, limit)
+def availability(pages: DataFrame, sample: int = 5) -> DataFrame:
+    """Check record per captured search page: ok or blocked, counts of all ids, and the first ``sample`` of them."""
+    rows = search_pages(pages)
     status = F.when(F.size("blocked_markers") > 0, "blocked").otherwise("ok")
     return rows.select(
         "url", status.alias("status"), "blocked_markers", "search_result_count", F.col("count").alias("returned"),
-        F.slice("listing_ids", 1, 5).alias("sample_listing_ids"),
+        F.slice("listing_ids", 1, sample).alias("sample_listing_ids"),
     )

@@ -167,9 +167,9 @@ def _raw_area(key: Column) -> Column:
 
 
 def text_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings whose description is a whole document."""
+    """All listings; where a document has the listing's number, its whole text leads the description."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_key"), "text")
-    rows = listings(spark, sf_dir).join(docs, "listing_key")
+    rows = listings(spark, sf_dir).join(docs, "listing_key", "left")
     return rows.withColumn("description", F.concat_ws(". ", "text", "description")).drop("text")
 
 
@@ -319,6 +319,30 @@ def avm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_id.unionByName(by_address)
 
 
+def estimate_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem as a captured estimate of its listing; several a key."""
+    price = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("key"),
+        F.col("l_shipdate").alias("captured_at"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", price).alias("seq"),
+        F.col("l_returnflag").alias("provider"),
+        F.lit("avm").alias("method"),
+        whole(price).cast("double").alias("point"),
+        whole(price * 0.5).cast("double").alias("low"),
+        whole(price * 2).cast("double").alias("high"),
+        F.when(F.col("l_linestatus") == "F", "high").alias("confidence"),
+    )
+
+
+def open_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Briefs that name no suburb: each names a region, and every fifth no locality at all."""
+    k = F.regexp_extract("brief_id", r"(\d+)$", 1).cast("int")
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey"), F.upper("r_name").alias("r_name"))
+    rows = briefs(spark, sf_dir).withColumn("suburbs", F.array().cast("array<string>")).withColumn("_r", k % 5).drop("region")
+    return rows.join(names, F.col("_r") == F.col("r_regionkey")).withColumn("region", F.when(F.col("_r") != 0, F.col("r_name"))).drop("_r", "r_regionkey", "r_name")
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as inspection appointments of a person (the event type)."""
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("_k"), "n_name")

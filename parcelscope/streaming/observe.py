@@ -78,8 +78,13 @@ class ChangeLog:
         newest = F.max_by(F.struct(*fields, "carried"), F.struct(*H.ORDER))
         carried = F.max("carried")
         tail = rows.groupBy("id").agg(newest.alias("r"), carried.alias("_old")).join(kinds, "id", "left")
+        if "inspections" in fields:  # a sighting without times leaves the known ones in the state
+            timed = F.size(F.filter("inspections", lambda i: i["start"].isNotNull())) > 0
+            last = F.max_by("inspections", F.when(timed, F.struct(*H.ORDER)))
+            tail = tail.join(rows.groupBy("id").agg(last.alias("_times")), "id", "left")
+        kept = lambda c: F.coalesce("_times", f"r.{c}").alias(c) if c == "inspections" else F.col(f"r.{c}")
         tail = tail.select(
-            *[F.col(f"r.{c}") for c in fields],
+            *[kept(c) for c in fields],
             F.coalesce("_event", "_old", F.lit("")).alias("last_event"),
             F.lit(batch_id).cast("bigint").alias("batch"),
         )

@@ -31,7 +31,7 @@ def replay(rows, gone):
     out, state = [], {}
     steps = [(r[0], r[1], 0, r[2], r) for r in rows] + [(g[0], g[1], 1, 0, None) for g in gone]
     for id, at, kind, _, r in sorted(steps, key=lambda s: s[:4]):
-        st = state.setdefault(id, {"row": None, "last": None})
+        st = state.setdefault(id, {"row": None, "last": None, "times": ()})
         if kind == 1:
             if st["last"] != "withdrawn_or_stale":
                 out.append((id, at, "withdrawn_or_stale"))
@@ -54,12 +54,12 @@ def replay(rows, gone):
         if prior == "withdrawn_or_stale" and not off:
             emitted.append("relisted")
         if st["row"] is not None:
-            was, new = {tuple(x) for x in st["row"][1]}, {tuple(x) for x in r[11]}
+            was, new = {tuple(x) for x in st["times"]}, {tuple(x) for x in r[11]}
             if was and new and was != new:
                 emitted.append("inspection_change")
         out += [(id, at, e) for e in emitted]
         st["last"] = emitted[-1] if emitted else prior
-        st["row"] = (now, r[11])
+        st["row"], st["times"] = (now,), r[11] or st["times"]  # a sighting without times erases none
     return sorted(out)
 
 
@@ -80,7 +80,7 @@ def random_case(seed):
     return rows, gone
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 5])
 def test_events_match_sequential_replay(spark, seed):
     rows, gone = random_case(seed)
     shuffled = rows[:]
@@ -165,6 +165,33 @@ def test_blocked_run_marks_nothing(spark):
     assert (r.stale_count, r.new_count, r.changed_count, r.blocked) == (0, 0, 0, True)
 
 
+def test_blocked_runs_record_what_they_saw(spark):
+    """b is first seen in a blocked run, c in that run only."""
+    members, runs = _runs(spark, ["a", "bc", "ab"], blocked={1})
+    new = {(r.id, r.run_at.day) for r in U.new_listings(members, runs).collect()}
+    assert new == {("a", 1), ("b", 2), ("c", 2)}
+    assert {(r.id, r.section) for r in U.latest_diff(members, runs).collect()} == {("c", "stale")}
+    assert [(r.id, r.run_at.day) for r in U.vanished(members, runs).collect()] == [("c", 3)]
+    assert U.returned(members, runs).count() == 0
+    members, runs = _runs(spark, ["a", "ab"], blocked={1})
+    assert {(r.id, r.section) for r in U.latest_diff(members, runs).collect()} == {("b", "new")}
+
+
+def test_times_are_remembered(spark):
+    first, other = [("2026-06-06T10:00", None)], [("2026-06-06T11:00", None)]
+    rows = [row("a", 0, visits=first), row("a", 30), row("a", 60, visits=other)]
+    assert kinds(H.inspection_events(obs(spark, rows))) == [("a", "inspection_change")]
+
+
+def test_times_changed_while_off_market_hide_a_relist(spark):
+    tag = "Sold by private treaty 12 Jun 2026"
+    visits = [[("2026-06-06T%d:00" % h, None)] for h in (10, 11)]
+    rows = [row("a", 0, tag=tag, visits=visits[0]), row("a", 3, tag=tag, visits=visits[1]), row("a", 4)]
+    stale = spark.createDataFrame([("a", T0 + dt.timedelta(hours=2))], "id string, observed_at timestamp")
+    events = H.lifecycle_events(obs(spark, rows), stale)
+    assert "relisted" not in [k for _, k in kinds(events)] and "inspection_change" in [k for _, k in kinds(events)]
+
+
 def test_returned_after_gap(spark):
     members, runs = _runs(spark, ["a", "", "b", "a"])
     assert [(r.id, r.run_at.day) for r in U.returned(members, runs).collect()] == [("a", 4)]

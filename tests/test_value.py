@@ -158,3 +158,21 @@ def test_searches_from_brief(spark):
     assert set(got) == {"buy-zetland", "rent-zetland", "sold-zetland"}
     assert got["buy-zetland"]["price_max"] == "1100000" and "price_max" not in got["sold-zetland"]
     assert got["sold-zetland"]["sort"] == "solddate-desc" and "region" not in got["buy-zetland"]
+
+
+def test_briefs_without_a_suburb_meet_listings(spark):
+    rows = frame(spark, listing()).withColumn("region", F.lit("North"))
+    none = F.array().cast("array<string>")
+    plain = brief(spark).withColumn("suburbs", none).withColumn("region", F.lit(None).cast("string"))
+    assert B.with_brief(rows, plain).count() == 1
+    assert B.with_brief(rows, plain.withColumn("region", F.lit(" NORTH "))).count() == 1
+    assert B.with_brief(rows, plain.withColumn("region", F.lit("south"))).count() == 0
+
+
+def test_a_repeated_cache_key_gives_one_estimate(spark):
+    subjects = spark.createDataFrame([("1", "1 Example St")], "id string, address_display string")
+    kind = "key string, provider string, method string, point double, low double, high double, confidence string, captured_at date"
+    day = lambda d: __import__("datetime").date(2026, 1, d)
+    cache = spark.createDataFrame([("1", "p", "avm", 5.0, 4.0, 6.0, "high", day(1)), ("1", "q", "avm", 7.0, 6.0, 8.0, "high", day(2))], kind)
+    (got,) = S.captured_estimates(subjects, cache).collect()
+    assert got.avm.point == 7.0
