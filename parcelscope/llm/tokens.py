@@ -51,14 +51,12 @@ class PieceCache:
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def _joins(self, piece: str) -> bool:
-        """Whether the piece may stand right after another one in a joined text."""
-        if self.word_level:
-            return True
+        """Whether a byte-level piece may stand right after another one in a joined text."""
         return len(piece) > 1 and piece[0].isspace() and not piece[1].isspace() and not piece[-1].isspace()
 
-    def _learn(self, fresh: list[str]) -> None:
-        joint = [p for p in fresh if self._joins(p)]
-        alone = [p for p in fresh if not self._joins(p)]
+    def _learn(self, fresh: set[str]) -> None:
+        alone = [] if self.word_level else [p for p in fresh if not self._joins(p)]
+        joint = list(fresh.difference(alone))
         for at in range(0, len(alone), 1000):
             part = alone[at : at + 1000]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -85,7 +83,7 @@ class PieceCache:
             self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
             fresh -= again
             if fresh:
-                self._learn(sorted(fresh))
+                self._learn(fresh)
             out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
         return out
 
