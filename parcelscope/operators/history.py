@@ -80,8 +80,8 @@ def merge_state(current: DataFrame, update: DataFrame) -> DataFrame:
 def with_last_sighting(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Effective observations with ``prev``: the tracked fields of the sighting before.
 
-    With inspections also ``times``, those with a start (NULL for none), and ``prev_times``, the last known ones:
-    a sighting without times does not erase them.
+    With inspections also ``times``, those with a start (NULL for none), and ``prev_times``, the last known ones
+    (on sightings with times): a sighting without times does not erase them.
     """
     rows, known = effective(observations), []
     if "inspections" in rows.columns:
@@ -96,7 +96,7 @@ def with_last_sighting(observations: DataFrame, chunk: Column | None = None) ->
 
 def snapshots(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
     """First sightings and sightings where price or status moved."""
-    return with_last_sighting(observations, chunk).where("moved").select("id", *ORDER, *TRACKED)
+    return with_last_sighting(observations.drop("inspections"), chunk).where("moved").select("id", *ORDER, *TRACKED)
 
 
 def _event(ord_: int, kind: Column, before: Column, after: Column, summary: Column) -> Column:
@@ -160,12 +160,12 @@ def _inspection_event() -> Column:
 
 def price_events(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Drops, rises and changes between consecutive sightings (status and tags aside)."""
-    rows = with_last_sighting(observations, chunk).where(F.col("prev").isNotNull())
+    rows = with_last_sighting(observations.drop("inspections"), chunk).where(F.col("prev").isNotNull())
     return rows.select("id", *ORDER, _price_event().alias("e")).where("e is not null").select("id", *ORDER, "e.*")
 
 
 def status_events(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
-    rows = with_last_sighting(observations, chunk).where(F.col("prev").isNotNull())
+    rows = with_last_sighting(observations.drop("inspections"), chunk).where(F.col("prev").isNotNull())
     return rows.select("id", *ORDER, _status_event().alias("e")).where("e is not null").select("id", *ORDER, "e.*")
 
 
@@ -209,14 +209,13 @@ def lifecycle_events(
             "id", "observed_at", F.lit(1).alias("kind"),
             F.lit(None).cast(seen.schema["seq"].dataType).alias("seq"),
         )
-        # sightings that can end a disappearance or add an event after it, next to the disappearances themselves
-        speaks = F.col("off").isNull() | F.col("left") | (F.size("late") > 0)
-        tokens = rows.where(speaks).unionByName(gone, allowMissingColumns=True)
-        tokens = with_previous(tokens, ["id"], order, ["kind"], grain, "before")
-        quiet = rows.where(~speaks)
-        rows = tokens.withColumn(
-            "back", (F.col("kind") == 0) & F.col("off").isNull() & F.coalesce(F.col("before.kind") == 1, F.lit(False))
-        ).drop("before").unionByName(quiet.withColumn("back", F.lit(False)))
+        # tokens: disappearances, and sightings that can end one or add an event after it
+        vocal = (F.col("kind") == 1) | F.col("off").isNull() | F.col("left") | (F.size("late") > 0)
+        rows = rows.unionByName(gone, allowMissingColumns=True).withColumn("token", F.when(vocal, F.col("kind")))
+        rows = with_previous(rows, ["id"], order, ["kind"], grain, "before", known=["token"])
+        rows = rows.withColumn(
+            "back", (F.col("kind") == 0) & F.col("off").isNull() & F.coalesce(F.col("before_token") == 1, F.lit(False))
+        ).drop("before", "token", "before_token")
         relist = F.when(
             F.col("back"),
             _event(3, F.lit("relisted"), F.lit("withdrawn/stale"), F.coalesce("status", F.lit("active")), F.lit(vocab.RELIST_TEXT)),

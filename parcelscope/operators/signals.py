@@ -190,7 +190,9 @@ def with_signals(
     two = F.when(F.size(band) == 2, band)
     rows = (
         rows.withColumn("own_area", area_source(rows)[1])
-        .withColumn("adjustment", hedonic_adjustment(hedonic_text()))
+        .withColumn("_text", hedonic_text())
+        .withColumn("adjustment", hedonic_adjustment(F.col("_text")))
+        .drop("_text")
         .withColumn("band", L.yield_band(F.get(two, F.lit(0)), F.get(two, F.lit(1))))
     )
     parts = [
@@ -237,16 +239,18 @@ def reconcile(rows: DataFrame) -> DataFrame:
         ),
     )
 
-    def total(of) -> Column:
-        return F.aggregate("_u", F.lit(0.0), lambda acc, s: acc + of(s))
-
-    rows = rows.withColumn("_u", F.sort_array(best))
-    n = F.size("_u")
-    rows = rows.withColumn("_w", total(lambda s: s["w"])).withColumn("_mean", total(lambda s: s["p"]) / n)
+    parts = {"w": lambda s: s["w"], "p": lambda s: s["p"], "pw": lambda s: s["p"] * s["w"], "hw": lambda s: s["h"] * s["w"]}
+    none = F.struct(*[F.lit(0.0).alias(c) for c in parts])
+    rows = rows.withColumn("_u", F.sort_array(best)).withColumn(
+        "_sum", F.aggregate("_u", none, lambda acc, s: F.struct(*[(acc[c] + of(s)).alias(c) for c, of in parts.items()]))
+    )
+    n, weight = F.size("_u"), F.col("_sum.w")
+    rows = rows.withColumn("_mean", F.col("_sum.p") / n)
+    squares = F.aggregate("_u", F.lit(0.0), lambda acc, s: acc + (s["p"] - F.col("_mean")) * (s["p"] - F.col("_mean")))
     rows = (
-        rows.withColumn("_point", F.when(F.col("_w") > 0, total(lambda s: s["p"] * s["w"]) / F.col("_w")))
-        .withColumn("_sd", F.when(n > 1, F.sqrt(total(lambda s: (s["p"] - F.col("_mean")) * (s["p"] - F.col("_mean"))) / n)).otherwise(0.0))
-        .withColumn("_half", F.when(F.col("_w") > 0, total(lambda s: s["h"] * s["w"]) / F.col("_w")) + F.col("_sd") * 0.5)
+        rows.withColumn("_point", F.when(weight > 0, F.col("_sum.pw") / weight))
+        .withColumn("_sd", F.when(n > 1, F.sqrt(squares / n)).otherwise(0.0))
+        .withColumn("_half", F.when(weight > 0, F.col("_sum.hw") / weight) + F.col("_sd") * 0.5)
     )
     cov = F.coalesce(F.col("_sd") / N.present(F.col("_point")), F.lit(0.0))
     confidence = F.when((n >= 3) & (cov < 0.06), "high").when((n >= 2) & (cov < 0.12), "medium").otherwise("low")
@@ -258,7 +262,7 @@ def reconcile(rows: DataFrame) -> DataFrame:
         n.alias("signal_count"),
         N.rounded(1 - cov, 3).alias("agreement"),
     )
-    return rows.withColumn("estimate", F.when(n > 0, estimate)).drop("_u", "_w", "_mean", "_point", "_sd", "_half")
+    return rows.withColumn("estimate", F.when(n > 0, estimate)).drop("_u", "_sum", "_mean", "_point", "_sd", "_half")
 
 
 def ask_position(ask: Column, estimate: Column) -> Column:

@@ -103,35 +103,38 @@ def with_previous(
     """Add ``out``: struct of the previous row's ``values`` per key (NULL on the first).
 
     Keys are split into ``chunk`` pieces (a truncated time, say), so that one key's rows
-    are spread over tasks; the last row of each piece is carried into the next one.
+    are spread over tasks. A second window looks across the pieces; only the rows at the
+    edges of a key's pieces meet in it, a few of each. The input is read once, without a join.
     ``order`` must sort ascending, be total within a key, and agree with ``chunk``.
-    For each column of ``known`` there is ``<out>_<column>``: its last value before the row that is not NULL.
+    For each column of ``known`` there is ``<out>_<column>``, on rows that have the column
+    themselves: its last value before the row that is not NULL.
     """
-    keys, part = list(keys), [*keys, "_chunk"]
-    packed = F.struct(*values)
-    rows = df.withColumn("_chunk", chunk)
-    within = Window.partitionBy(*part).orderBy(*order)
-    here = rows.withColumn("_here", F.lag(packed).over(within)).withColumn(
-        "_first", F.row_number().over(within) == 1
-    )
+    keys, packed = list(keys), F.struct(*values)
     past = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = df.withColumn("_chunk", chunk).withColumns({
+        "_here": F.lag(packed).over(within),
+        "_first": F.row_number().over(within) == 1,
+        "_final": F.lead(F.lit(1)).over(within).isNull(),
+        **{f"_here_{c}": F.last(c, ignorenulls=True).over(within.rowsBetween(*past)) for c in known},
+    })
+    edge = F.col("_first") | F.col("_final")
     for c in known:
-        here = here.withColumn(f"_here_{c}", F.last(c, ignorenulls=True).over(within.rowsBetween(*past)))
-    pieces = Window.partitionBy(*keys).orderBy("_chunk")
-    tails = rows.groupBy(*part).agg(
-        F.max_by(packed, F.struct(*order)).alias("_tail"),
-        *[newest_known(c, order).alias(f"_tail_{c}") for c in known],
-    )
-    carry = tails.select(
-        *part,
-        F.lag("_tail").over(pieces).alias("_carry"),
-        *[F.last(f"_tail_{c}", ignorenulls=True).over(pieces.rowsBetween(*past)).alias(f"_carry_{c}") for c in known],
-    )
+        edge = edge | (F.col(c).isNotNull() & F.col(f"_here_{c}").isNull())
+    rows = rows.withColumn("_edge", edge).withColumn("_piece", F.when(~F.col("_edge"), F.col("_chunk")))
+    across = Window.partitionBy(*keys, "_edge", "_piece").orderBy(*order)
+
+    def tail(c: str) -> Column:
+        return F.when(F.col("_final"), F.coalesce(c, f"_here_{c}"))
+
+    rows = rows.withColumns({
+        "_carry": F.lag(packed).over(across),
+        **{f"_carry_{c}": F.last(tail(c), ignorenulls=True).over(across.rowsBetween(*past)) for c in known},
+    })
     return (
-        here.join(carry, part, "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_here")))
-        .withColumns({f"{out}_{c}": F.coalesce(f"_here_{c}", f"_carry_{c}") for c in known})
-        .drop("_chunk", "_here", "_first", "_carry", *[f"_{k}_{c}" for c in known for k in ("here", "carry")])
+        rows.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_here")))
+        .withColumns({f"{out}_{c}": F.when(F.col(c).isNotNull(), F.coalesce(f"_here_{c}", f"_carry_{c}")) for c in known})
+        .drop("_chunk", "_here", "_first", "_final", "_edge", "_piece", "_carry", *[f"_{k}_{c}" for c in known for k in ("here", "carry")])
     )
 
 

@@ -46,6 +46,21 @@ def test_with_previous_crosses_chunks(spark):
             before[k] = (s, v)
 
 
+def test_with_previous_remembers_known_values(spark):
+    """One key, many rows a piece (a hot day), values often missing."""
+    rng = random.Random(3)
+    rows = [("hot", 40 * i if i < 1500 else 86400 * i, i, rng.randint(1, 9) if rng.random() < 0.1 else None) for i in range(1600)] + [("b", 5, 1, None)]
+    df = spark.createDataFrame(rows, "k string, t long, seq int, v int").withColumn("ts", F.timestamp_seconds("t"))
+    out = skew.with_previous(df, ["k"], ["ts", "seq"], ["seq"], F.date_trunc("day", "ts"), known=["v"])
+    got = {(r.k, r.seq): r.prev_v for r in out.collect()}
+    last = {}
+    for k, _, seq, v in rows:
+        assert got[k, seq] == (last.get(k) if v is not None else None)
+        last[k] = v or last.get(k)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 4  # two, each in both forms of the plan
+
+
 def test_first_k_limits_groups_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     top = skew.first_k(df, ["k"], [F.desc("id")], 2)
