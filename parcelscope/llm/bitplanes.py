@@ -121,9 +121,9 @@ def write_task(batches: Iterator[pa.RecordBatch], path: str, eos: int, chunk_ids
         return pa.RecordBatch.from_arrays(row, names=["shard", "chunk", "n_docs", "n_ids", "payload"])
 
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(texts), 256):
-            for doc_id, ids in zip(doc_ids[at : at + 256], cache.encode(texts[at : at + 256]), strict=True):
+        for at in range(0, batch.num_rows, 256):
+            doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for doc_id, ids in zip(doc_ids, cache.encode(texts), strict=True):
                 held[0].append(doc_id)
                 held[1].append(ids + end)
                 size += len(ids) // 4 + 1

@@ -58,10 +58,10 @@ def fill(batches: Iterator[pa.RecordBatch], path: str, capacity: int, classes: i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(texts), 256):
+        for at in range(0, batch.num_rows, 256):
             done: list[list] = []
-            for doc_id, ids in zip(ids_of[at : at + 256], cache.encode(texts[at : at + 256]), strict=True):
+            ids_of, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for doc_id, ids in zip(ids_of, cache.encode(texts), strict=True):
                 ids += end
                 for k, start, length in cut(len(ids) // 4, capacity, classes):
                     piece = ids[4 * start : 4 * (start + length)]

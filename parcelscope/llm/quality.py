@@ -76,17 +76,19 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BITS, epochs: int = EP
     """Weights of all buckets and, last, the intercept."""
     size = (FAMILIES << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    docs: list[tuple[np.ndarray, np.ndarray, float]] = []  # buckets, counts in few bytes, weight of one
     for _, _, data, doc_off in slices(pa.array(texts, pa.string())):
         words = find_words(data, doc_off)
         table, _ = features(words, bits)
         for a, b in zip(words.off[:-1], words.off[1:], strict=True):
             ids, counts = np.unique(table[a:b], return_counts=True)
-            docs.append((np.append(ids, size - 1), np.append(counts * (SCALE / max(1, (b - a) * FAMILIES)), 1.0)))
+            few = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+            docs.append((np.append(ids, np.int32(size - 1)), few, SCALE / max(1, (b - a) * FAMILIES)))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(docs)):
-            ids, x = docs[i]
+            ids, counts, unit = docs[i]
+            x = np.append(counts * unit, 1.0)
             zi, ni = z[ids], n[ids]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             g = (1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30))) - labels[i]) * x
