@@ -110,3 +110,16 @@ def test_shards_match_the_mixture(spark):
     counts = {(r.source, r.shard): r["count"] for r in sharding.shard(rows).groupBy("source", "shard").count().collect()}
     for s, n in (("hot", 2800), ("s7", 400), ("s8", 400), ("s9", 400)):
         assert all(abs(counts[s, k] - n / 8) <= 1 for k in range(8))
+
+
+def test_rest_of_a_hot_source_ends_among_few_rows(spark):
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 10 > 0, "hot").otherwise("small").alias("source")
+    )
+    rows = mixing._sized(docs, 17, None, F.lit(0))
+    plan = mixing._plan(rows, (1.0, 2.0, 3.0), 3)
+    at_end = rows.join(plan, (F.col("source") == F.col("s")) & (F.col("cell") == F.col("end_cell"))).groupBy("source").count().collect()
+    assert all(r["count"] <= 8 for r in at_end)
+    taken = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(taken) == 2 and all(abs(r.taken - r.target) <= 0.5 for r in taken)
+    assert any(0 < r.target % r.source_size for r in taken)
