@@ -145,6 +145,18 @@ def test_base_secrets_of_any_text(texts):
     assert [secrets.joined(f).split(",") if f else [] for f in got] == [plain_secrets(t) for t in texts]
 
 
+@pytest.mark.parametrize("texts", [["0123456789abcdef" * 2] * 3, ["ends in a", "0123456789abcdef" * 2, "", "b begins"], ["0123456789abcdef" * 2, None, "", "0123456789abcdef" * 3, "0123456789abcdef", "0123456789abcdef"]])
+def test_bare_texts_in_a_row_are_each_scanned(texts):
+    got = secrets.scan(pa.array(texts), secrets.CharNet.fresh(1))
+    assert [secrets.joined(f).split(",") if f else [] for f in got] == [plain_secrets(t) for t in texts]
+
+
+def test_bare_candidates_in_a_row_are_each_asked():
+    net = secrets.CharNet.fresh(1)
+    net.threshold = 0.0  # the network passes every candidate
+    assert secrets.scan(pa.array(["Zk3/aPq9+Lm2xWv7Tb8n"] * 4), net) == [[(0, 20, "cnn")]] * 4
+
+
 def check_secrets(rows, texts):
     assert len(rows) == len(texts)
     for r in rows:
