@@ -200,6 +200,52 @@ def test_network_learns_and_keeps_its_recall(spark):
     assert abs(p.mean() - y.mean()) < 0.1
 
 
+def long_findings(n, seed):
+    """Candidates of 60 to 300 characters that begin alike; the secret of a positive one comes after character 40."""
+    draw, rows = random.Random(seed), []
+    for _ in range(n):
+        label, parts = draw.randrange(2), ["config1"]
+        while len("/".join(parts)) < draw.randint(60, 260):
+            parts.append(draw.choice(["files", "server", "example", "sample", "parts2"]))
+        if label:
+            at = next(i for i in range(len(parts) + 1) if len("/".join(parts[:i])) >= 40)
+            parts.insert(draw.randint(at, len(parts)), "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(24)))
+        run = "/".join(parts)
+        rows.append((f"see {run} and more", 4, 4 + len(run), label))
+    return rows
+
+
+def test_secret_after_the_first_characters_is_read(spark):
+    net = secrets.fit_net(spark.createDataFrame(long_findings(800, 1), "text string, start int, end int, label int"), recall=0.9)
+    test = long_findings(300, 2)
+    found = secrets.scan(pa.array([t for t, *_ in test]), net)
+    hit = np.array([(s, e, "cnn") in f for f, (_, s, e, _) in zip(found, test, strict=True)])
+    y = np.array([r[3] for r in test])
+    assert hit[y == 1].mean() >= 0.8 and hit[y == 0].mean() <= 0.05
+
+
+def test_windows_cover_the_whole_span():
+    draw = random.Random(3)
+    for n in (1, 39, 40, 41, 59, 60, 61, 100, 333):
+        run = "".join(draw.choice("abcXYZ0123456789/") for _ in range(n))
+        rows, text = secrets.windows(f"a key: {run} end", 7, 7 + n), f"a key: {run} end"
+        spans = [(s, min(n, s + 40)) for s in range(0, max(1, n - 40), 20)] if n <= 40 else [(s, s + 40) for s in [*range(0, n - 40, 20), n - 40]]
+        assert rows.tolist() == [secrets.window(text, 7 + s, 7 + e) for s, e in spans]
+        assert set().union(*(range(s, e) for s, e in spans)) == set(range(n))
+
+
+def test_window_with_the_largest_output_is_picked():
+    net, spans = secrets.CharNet.fresh(4), [(t, s, e) for t, s, e, _ in [*long_findings(20, 5), *findings(20, 6)]]
+    want = [max(net.forward(secrets.windows(*span))[0]) for span in spans]
+    assert np.allclose(net.forward(net.pick(spans))[0], want) and np.allclose(net.forward(net.pick(spans, size=3))[0], want)
+
+
+def test_long_values_are_labelled():
+    value = "0123456789abcdef" * 30
+    (batch,) = secrets.findings_task([pa.RecordBatch.from_arrays([pa.array([f"x {value} y"])], names=["text"])])
+    assert [(r["text"][r["start"] : r["end"]], r["label"]) for r in batch.to_pylist()] == [(value, 1)]
+
+
 def test_network_gradients():
     net, draw = secrets.CharNet.fresh(4), np.random.default_rng(5)
     codes, y = draw.integers(0, 40, (3, 30)), np.array([0.0, 1.0, 1.0])
