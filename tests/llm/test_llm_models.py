@@ -266,6 +266,20 @@ def test_network_gradients():
         assert np.isclose((up - down) / 2e-5, g[at], rtol=1e-2, atol=1e-4), name
 
 
+def test_threshold_keeps_the_recall_under_one_half(spark):
+    rows = [r for r in findings(1200, 3) if r[3] == 0]
+    hard = [(*r[:3], int(i % 10 == 0)) for i, r in enumerate(rows)]  # one in ten is positive, by nothing that can be seen
+    net = secrets.fit_net(spark.createDataFrame(hard, "text string, start int, end int, label int"), recall=0.9)
+    y = np.array([r[3] for r in hard])
+    assert 0 < net.threshold < 0.5 and net.recall >= 0.9 and 0 < net.precision < 0.5
+    codes = net.pick([r[:3] for r in hard])
+    net.calibrate(codes, y.astype(float), 0.95)
+    p = net.probability(codes)
+    assert net.threshold < 0.5 and (p[y == 1] >= net.threshold).mean() == net.recall >= 0.95
+    assert (y[p >= net.threshold] == 1).mean() == net.precision
+    assert secrets.CharNet.unpacked(net.packed()).recall == net.recall and np.isnan(secrets.CharNet.fresh(1).precision)
+
+
 def test_network_round_trip():
     net = secrets.CharNet.fresh(8)
     net.slope, net.shift, net.threshold = 2.0, -0.5, 0.7
