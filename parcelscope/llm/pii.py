@@ -8,8 +8,9 @@ trained by forward-backward gradients on a small table of labelled lines; by def
 sample of documents, labelled by the base patterns. Batches of lines are decoded by Viterbi, one step
 for all lines at a time. Lines without digit or @ are outside as a whole: no shape in
 them can begin personal data, and training gives such words no other label. Long lines
-are decoded in runs of ``STEPS`` words that overlap by half; a word takes the label of the
-run in which it is further from the end.
+are trained on and decoded in runs of ``STEPS`` words that overlap by half; in decoding a word
+takes the label of the run in which it is further from the end, in training no run begins
+inside a finding.
 
 CRF spans that touch no base finding and pass the kind's check are added.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +90,7 @@ def base_findings(text: str) -> list[tuple[int, int, str]]:
 
 
 def classes(word: str) -> str:
-    return "".join("d" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c if ord(c) < 128 else "u" for c in word[:60])
+    return "".join("d" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c if ord(c) < 128 else "u" for c in word)
 
 
 def bucket(name: str) -> int:
@@ -232,9 +234,9 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def tagged(words: list[tuple[int, int]], found: list[tuple[int, int, str]]) -> np.ndarray:
     """Label number of each word span: that of the finding it touches."""
     tags = np.zeros(len(words), dtype=np.int64)
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     for s, e, kind in found:
-        inside = [i for i, (a, b) in enumerate(words) if a < e and s < b]
-        for k, i in enumerate(inside):
+        for k, i in enumerate(range(bisect_right(ends, s), bisect_left(starts, e))):
             tags[i] = LABELS.index(("B-" if k == 0 else "I-") + kind)
     return tags
 
@@ -246,7 +248,7 @@ def lines_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             for line in text.split("\n"):
                 if any(c.isdigit() or c == "@" for c in line):
-                    words = [m.span() for m in WORD.finditer(line)][:STEPS]
+                    words = [m.span() for m in WORD.finditer(line)]
                     tags = tagged(words, base_findings(line))
                     rows.append(([line[s:e] for s, e in words], tags.tolist()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["words", "tags"])
@@ -257,18 +259,34 @@ def labelled_lines(docs: DataFrame, rows: int = FIT_LINES) -> DataFrame:
     return mapped(text_sample(docs, [F.col("text").rlike(r"[0-9@]")], rows), lines_task, "words array<string>, tags array<int>")
 
 
+def training_runs(tags: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, past the last) word of the runs of a line, as in decoding; one that would begin inside a finding begins with it."""
+    for first in range(0, max(1, len(tags) - STEPS // 2), STEPS // 2):
+        start = first
+        while start and LABELS[tags[start]][0] == "I":
+            start -= 1
+        yield start, min(len(tags), first + STEPS)
+
+
+def run_features(words: list[str], start: int, end: int) -> np.ndarray:
+    """Features of a run, with the line's own neighbours at its ends."""
+    low = max(0, start - 1)
+    return features(words[low : end + 1])[start - low : end - low]
+
+
 def train_task(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     chain = Chain.empty()
     rows = sorted((r["words"], r["tags"]) for b in batches for r in b.to_pylist())
-    marked, plain = [r for r in rows if any(r[1])], [r for r in rows if not any(r[1])]
+    runs = [(w, t, s, e) for w, t in rows for s, e in training_runs(t)]
+    marked, plain = [r for r in runs if any(r[1][r[2] : r[3]])], [r for r in runs if not any(r[1][r[2] : r[3]])]
     kept = [r for group in (marked, plain) for r in group[:: max(1, -(-len(group) // most))]]
     if marked:
-        chain.train([features(w) for w, _ in kept], [np.array(t) for _, t in kept])
+        chain.train([run_features(w, s, e) for w, _, s, e in kept], [np.array(t[s:e]) for _, t, s, e in kept])
     yield pa.RecordBatch.from_arrays([pa.array([chain.packed()], pa.binary())], names=["chain"])
 
 
 def fit_chain(lines: DataFrame, most: int = 600) -> Chain:
-    """A chain from labelled lines (words, tags), at most ``most`` with findings and as many without."""
+    """A chain from labelled lines (words, tags), at most ``most`` runs of them with findings and as many without."""
     row = mapped(lines.coalesce(1), train_task, "chain binary", most=most).first()
     return Chain.unpacked(row[0]) if row else Chain.empty()
 

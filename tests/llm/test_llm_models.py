@@ -400,3 +400,35 @@ def test_long_line_is_decoded_whole():
     (found,) = pii.search(pa.array([" ".join(words)]), chain)
     text = " ".join(words)
     assert [text[s:e] for s, e, k in found if k == "phone"] == ["(555) 010-4477"]
+
+
+def test_findings_late_in_long_lines_train_the_chain(spark):
+    draw = random.Random(4)
+    texts = []
+    for _ in range(120):
+        words = [draw.choice(["call", "me", "on", "house", "7", "the"]) for _ in range(140)]
+        words.insert(draw.randint(70, 130), f"{draw.choice(['ann', 'bo'])}{draw.randrange(100)}@mail{draw.randrange(9)}.example.com")
+        texts.append((" ".join(words),))
+    lines = pii.labelled_lines(spark.createDataFrame(texts, "text string"))
+    assert all(len(r.words) == len(r.tags) == 141 and any(r.tags) for r in lines.collect())
+    chain = pii.fit_chain(lines)
+    (tags,) = chain.decode([pii.features("call me on cy55@mail3.example.com the house".split())])
+    assert chain.fitted and [pii.LABELS[t] for t in tags] == ["O", "O", "O", "B-email", "O", "O"]
+
+
+def test_training_runs_cover_lines_and_cut_no_beginning():
+    draw, b, i = random.Random(5), pii.LABELS.index("B-phone"), pii.LABELS.index("I-phone")
+    for n in (0, 1, 63, 64, 65, 96, 97, 128, 300):
+        words, tags = [draw.choice(["a", "+1", "(555)", "x@y.z"]) for _ in range(n)], [0] * n
+        for at in range(30, n - 4, 32):
+            tags[at : at + 4] = [b, i, i, i]
+        runs = list(pii.training_runs(tags))
+        assert set().union(*(range(s, e) for s, e in runs)) == set(range(n))
+        assert all(e - s <= pii.STEPS + 3 and (s == e or tags[s] != i) for s, e in runs)
+        whole = pii.features(words)
+        assert all(np.array_equal(pii.run_features(words, s, e), whole[s:e]) for s, e in runs)
+
+
+def test_shape_of_the_whole_word():
+    assert pii.own_features("x" * 60 + "@mail.example.com") != pii.own_features("x" * 60 + "@")
+    assert pii.own_features("-" * 60 + "5550104477")[2] != pii.own_features("-" * 60)[2]
