@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash banding and exact verification.
 
 1. Documents with the same word shingles are one *class*; its representative stands for it.
-2. Each of ``trees`` prefix tries holds the MinHash signatures of the classes, ``depth``
-   values deep. The matched prefix is shortened, from the full depth, until the expected
-   recall of a pair at the threshold, 1 - (1 - t^k)^trees, reaches ``recall``. Classes in
-   one node at that depth are candidates.
+2. The MinHash signature of a class has ``trees`` bands of k values, each folded into one
+   hash, a *node*. k is fixed by formula before data is read: the longest, ``depth`` at
+   most, at which the expected recall of a pair at the threshold, 1 - (1 - t^k)^trees,
+   reaches ``recall``. Classes with an equal node are candidates. This is no LSH forest: no
+   sorted tries are kept and no prefix is adapted to the data.
 3. Nodes join classes to *clusters* (connected components by way of each node's smallest
    member, so no pairs are made). A cluster is cut into blocks; a task takes two blocks and
    verifies all pairs between them exactly on their shingle sets. It returns, for each
@@ -53,7 +54,7 @@ def _class_keys(sh: np.ndarray, off: np.ndarray) -> list[bytes]:
 
 
 def keys_task(batches: Iterator[pa.RecordBatch], size: int, trees: int, prefix: int, depth: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Class key and trie nodes of each document."""
+    """Class key and band hashes (nodes) of each document."""
     draw = np.random.default_rng(seed)
     masks = draw.integers(0, 2**63, size=(trees, depth), dtype=np.uint64)
     factors = draw.integers(0, 2**63, size=(trees, depth), dtype=np.uint64) | np.uint64(1)
