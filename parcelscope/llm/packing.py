@@ -3,13 +3,15 @@
 Class k (k = 1 .. ``classes`` - 1) takes pieces of exactly ``capacity // k`` ids, k to a
 sequence. A document is cut greedily into the largest such pieces; each cut leaves at most
 a 1/k part of the piece, so a document has few pieces. What is left, fewer ids than
-``capacity // (classes - 1)``, goes whole to the next class of powers of two, whose
-sequences take that many pieces too.
+``capacity // (classes - 1)``, goes whole to the class of ``capacity // rest``, whose
+sequences take that many pieces too. For 2,048 ids and 33 classes at most 2.6 % of a full
+sequence of such pieces is padding.
 
 Every input partition fills its own sequences, class by class, without a shuffle. Pieces
 left over (fewer than k of class k in a partition) are numbered over all partitions by
 prefix sums of their counts and fill sequences of their class. The final rest, fewer than
-k pieces of each class and so of a fixed largest size, is packed first-fit decreasing.
+k pieces of each class and so of a fixed largest size, is packed first-fit decreasing. For 2,048
+ids and 33 classes that is at most 465 pieces of the classes under 32 and 9,417 of the others.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as
 often as they occur; an empty table gives no pieces; other columns are ignored.
@@ -40,10 +42,7 @@ def cut(total: int, capacity: int, classes: int) -> Iterator[tuple[int, int, int
         yield k, at, capacity // k
         at, rest = at + capacity // k, rest - capacity // k
     if rest:
-        power = 1
-        while 2 * power * rest <= capacity:
-            power *= 2
-        yield power, at, rest
+        yield capacity // rest, at, rest
 
 
 def fill(batches: Iterator[pa.RecordBatch], path: str, capacity: int, classes: int, eos: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,13 @@ def test_pack_real_and_odd(docs, odd, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
+def test_short_texts_have_their_own_harmonic_class(spark):
+    for rest in range(1, 64):
+        assert list(packing.cut(rest, 2048, 33)) == [(2048 // rest, 0, rest)]
+    short = spark.createDataFrame([(i, "the " * (32 + i % 31)) for i in range(3000)], "doc_id long, text string").repartition(2)
+    assert check_packing(packing.pack(short, BYTE).collect(), short, 2048) < 1.05
+
+
 def test_pack_keeps_ids(odd):
     for r in packing.pack(odd, BYTE, keep_ids=True).collect():
         assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
