@@ -3,6 +3,10 @@
 Input is a table of captured pages: ``url`` and ``html``. Everything is a projection over
 the page: the embedded JSON is cut out with one pattern per block and parsed once with an
 explicit schema.
+
+A page without structured data and with fewer than ``short`` characters counts as denied; with
+``short=None`` length denies no page. The class is reported beside what was parsed: a page is left
+unparsed for a block marker alone, never for its length.
 """
 
 from __future__ import annotations
@@ -35,7 +39,11 @@ def marked(html: Column) -> Column:
     return _any(F.lower(F.coalesce(html, F.lit(""))), vocab.BLOCK_MARKERS)
 
 
-def page_class(html: Column) -> Column:
+def _shorter(html: Column, short: int | None) -> Column:
+    return F.lit(False) if short is None else F.length(F.coalesce(html, F.lit(""))) < short
+
+
+def page_class(html: Column, short: int | None = vocab.SHORT_PAGE_CHARS) -> Column:
     """Why a page is unusable, or ok."""
     low = F.lower(F.coalesce(html, F.lit("")))
     size = F.length(low)
@@ -44,26 +52,25 @@ def page_class(html: Column) -> Column:
         .when(_any(low, (vocab.DENIED_MARKER, *vocab.BLOCK_MARKERS)), "access_denied")
         .when(size < vocab.EMPTY_PAGE_CHARS, "browser_down")
         .when(structured(html), "empty_shell")
-        .when(size < vocab.SHORT_PAGE_CHARS, "akamai_challenge")
+        .when(_shorter(html, short), "akamai_challenge")
         .otherwise("ok")
     )
 
 
-def hard_denied(html: Column) -> Column:
+def hard_denied(html: Column, short: int | None = vocab.SHORT_PAGE_CHARS) -> Column:
     """No structured data, and marked as blocked or too short to be a page."""
-    short = F.length(F.coalesce(html, F.lit(""))) < vocab.SHORT_PAGE_CHARS
-    return ~structured(html) & (marked(html) | short)
+    return ~structured(html) & (marked(html) | _shorter(html, short))
 
 
-def classified(pages: DataFrame) -> DataFrame:
+def classified(pages: DataFrame, short: int | None = vocab.SHORT_PAGE_CHARS) -> DataFrame:
     html = F.col("html")
     return pages.select(
         "*",
         F.sha2("url", 256).alias("page_key"),
         structured(html).alias("structured"),
         marked(html).alias("marked"),
-        hard_denied(html).alias("denied"),
-        page_class(html).alias("page_class"),
+        hard_denied(html, short).alias("denied"),
+        page_class(html, short).alias("page_class"),
     )
 
 
@@ -74,14 +81,14 @@ def page_title(html: Column) -> Column:
 # ---- embedded data ----------------------------------------------------------------
 
 
-def embedded(pages: DataFrame) -> DataFrame:
-    """Add ``component``, ``digital``, ``ld`` of pages that are not denied."""
+def embedded(pages: DataFrame, short: int | None = vocab.SHORT_PAGE_CHARS) -> DataFrame:
+    """Add ``component``, ``digital``, ``ld`` of pages that are not marked as blocked, and ``denied_as``."""
     html = F.col("html")
-    usable = ~hard_denied(html)
+    usable = structured(html) | ~marked(html)
     cut = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
     rows = pages.select(
         "*",
-        F.when(~usable, page_class(html)).alias("denied_as"),
+        F.when(hard_denied(html, short), page_class(html, short)).alias("denied_as"),
         marked(html).alias("marked"),
         F.from_json(F.when(usable, cut(_NEXT)), schema.NEXT).alias("next"),
         F.from_json(F.when(usable, cut(_DIGITAL)), schema.DIGITAL).alias("inline"),
@@ -123,9 +130,9 @@ def result_count(digital: Column, component: Column) -> Column:
     return F.coalesce(counted.try_cast("bigint"), component["totalListings"])
 
 
-def search_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def search_pages(pages: DataFrame, limit: int | None = None, short: int | None = vocab.SHORT_PAGE_CHARS) -> DataFrame:
     """One row per search page: ids, counts, blocked markers, and the raw listing map."""
-    rows = embedded(pages)
+    rows = embedded(pages, short)
     ids = listing_ids(F.col("digital"), F.col("component"))
     rows = rows.withColumn("listing_ids", F.slice(ids, 1, limit) if limit else ids)
     rows = rows.withColumn("search_result_count", result_count(F.col("digital"), F.col("component")))
@@ -334,13 +341,13 @@ def detail_listing(listing_id: Column, detail: Column, fallback: Column, bare: C
     )
 
 
-def detail_pages(pages: DataFrame, wanted: str | None = None) -> DataFrame:
+def detail_pages(pages: DataFrame, wanted: str | None = None, short: int | None = vocab.SHORT_PAGE_CHARS) -> DataFrame:
     """One normalized listing per detail page.
 
     The canonical detail block comes first. Without one, the embedded card of the wanted
     id (column ``wanted``), else the first card on the page.
     """
-    rows = embedded(pages)
+    rows = embedded(pages, short)
     cmap = F.col("component.listingsMap")
     own = F.col("component.listingId")
     asked = F.col(wanted) if wanted else F.lit(None).cast("string")

@@ -57,6 +57,17 @@ def test_search_page(spark):
     assert P.search_pages(df, limit=1).orderBy("url").first().listing_ids == ["12345"]
 
 
+def test_short_page_keeps_its_linked_data(spark):
+    event = '<script type="application/ld+json">[{"@type":"Event","name":"Open"}]</script>'
+    df = pages(spark, event + "x" * 300, event + "access denied" + "x" * 300, "x" * 300)
+    rows = P.search_pages(df).orderBy("url").collect()
+    assert [(r.source_url, r.type) for r in P.page_events(P.search_pages(df)).collect()] == [("u0", "Open")]
+    assert [r.blocked_markers for r in rows] == [["akamai_challenge"], ["access_denied"], ["akamai_challenge"]]
+    rows = P.classified(df, short=None).orderBy("url").collect()
+    assert [(r.page_class, r.denied) for r in rows] == [("ok", False), ("access_denied", True), ("ok", False)]
+    assert [r.denied_as for r in P.embedded(df, short=None).orderBy("url").collect()] == [None, "access_denied", None]
+
+
 def test_detail_page(spark):
     detail = {
         "listingId": 12345, "status": "live", "priceDetails": {"rawValues": {"from": 900000, "to": 950000}}, "bedrooms": 3,
