@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, exact_dedup, jaccard, mixing, packing, pii, quality, rules, secrets, sharding
+from . import bitplanes, exact_dedup, jaccard, merkle, mixing, packing, pii, quality, repair, rules, secrets, sharding, toxicity
 from .base import documents, held_out, table
 
 
@@ -60,6 +60,19 @@ def op10_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_quality, op3_exact_dedup, op4_secrets, op5_rules, op6_jaccard, op7_mix, op8_shard, op9_personal, op10_ids)
-}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), merkle.tampering())
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(0, 5)
+    scored = toxicity.toxic_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "toxic", ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+_ALL = (op1_pack, op2_quality, op3_exact_dedup, op4_secrets, op5_rules, op6_jaccard, op7_mix, op8_shard, op9_personal, op10_ids, op11_repair, op12_manifest, op13_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

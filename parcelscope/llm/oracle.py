@@ -62,4 +62,95 @@ q AS (SELECT *, (place * 8 // n)::INTEGER AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (place - (shard * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q
 """
 
-ORACLE = {"op3_exact_dedup": OP3, "op6_jaccard": OP6, "op7_mix": OP7, "op8_shard": OP8}
+CRC_TABLE = """step AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) q(i)
+      UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM step WHERE k = 8)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text, beside ``tab``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def moved(state: str, cost: str, op: str, line: str | None = None) -> str:
+    """A way (cost, audit, lines) after one more edit."""
+    lines = f"{state}.l" if line is None else f"list_append({state}.l, {line})"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{op}', 'l': {lines}}}"
+
+
+def best(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def written(state: str, to: str, name: str) -> str:
+    """Keep or rerole a row so that it becomes one of the named role."""
+    keep = f"CASE WHEN code < 8 AND code % 4 = {to} THEN {moved(state, '(code // 4)', 'K', 'line')} ELSE {{'c': 1000000::BIGINT, 'a': '', 'l': []::VARCHAR[]}} END"
+    change = f"CASE WHEN code < 8 THEN {moved(state, '(2 + code // 4)', 'R', f"'{name}:' || text")} ELSE {{'c': 1000000::BIGINT, 'a': '', 'l': []::VARCHAR[]}} END"
+    return f"{keep}, {change}"
+
+
+NO_WAY = "{'c': 1000000::BIGINT, 'a': '', 'l': []::VARCHAR[]}"
+
+#: s0 to s3: the best way to each state (nothing, system, user, assistant last) after row i; ways compare by cost, then audit.
+OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+f AS (SELECT c.*, {crc32("key || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM c, tab),
+r AS (SELECT key, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM f, range(2) q(copy) WHERE f <> 0 AND (copy = 0 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM r),
+m AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 AS again,
+      NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, coalesce(list_position(['s', 'u', 'a'], substr(role, 1, 1)), 4) - 1 AS cls FROM o),
+n AS (SELECT *, CASE WHEN blank OR again THEN 8 ELSE cls + 4 * cut::INTEGER END AS code, role || ':' || text AS line,
+      lag(substr(role, 1, 1)) OVER (PARTITION BY key ORDER BY i) || substr(role, 1, 1) AS pair FROM m),
+w AS (SELECT DISTINCT key, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS s0, {NO_WAY} AS s1,
+      {{'c': 2::BIGINT, 'a': 'I', 'l': ['user:']}} AS s2, {{'c': 4::BIGINT, 'a': 'II', 'l': ['user:', 'assistant:']}} AS s3 FROM c
+      UNION ALL SELECT key, i, n0, n1, m2, {best("n3", moved("m2", "2", "I", "'assistant:'"))} FROM (SELECT *,
+      {best("n2", *[moved(f"n{k}", "2", "I", "'user:'") for k in (0, 1, 3)])} AS m2 FROM (SELECT n.key, n.i, {moved("s0", "3", "D")} AS n0,
+      {best(moved("s1", "3", "D"), f"CASE WHEN code < 8 AND code % 4 = 0 THEN {moved('s0', '(code // 4)', 'K', 'line')} ELSE {NO_WAY} END")} AS n1,
+      {best(moved("s2", "3", "D"), *[written(f"s{k}", "1", "user") for k in (0, 1, 3)])} AS n2,
+      {best(moved("s3", "3", "D"), written("s2", "2", "assistant"))} AS n3 FROM w JOIN n ON n.key = w.key AND n.i = w.i + 1))),
+z AS (SELECT key, arg_max({best("s0", "s3")}, i) AS z FROM w GROUP BY key),
+t AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::BIGINT) AS blank, sum((again AND NOT blank)::BIGINT) AS duplicate,
+      sum((cut AND code < 8)::BIGINT) AS truncated, sum((pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::BIGINT) AS illegal FROM n GROUP BY key)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+      coalesce(illegal, 0)::BIGINT AS illegal, z.c AS cost, z.a AS audit, sha256(coalesce(array_to_string(z.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM c) q JOIN z USING (key) LEFT JOIN t USING (key)
+"""
+
+
+def hashed_leaf(text: str) -> str:
+    parts = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+def tree_levels(name: str, start: str) -> str:
+    """All nodes (t, k, p, h) of trees whose leaves ``start`` gives, n nodes on level k; with what stands beside each one."""
+    beside = "string_agg(h, '') OVER (PARTITION BY t, k, p // 8 ORDER BY p ROWS BETWEEN"
+    return f"""{name} AS (SELECT t, 0 AS k, p, h, n FROM {start} UNION ALL
+      SELECT t, k + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (max(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY t, k, p // 8),
+{name}_sides AS (SELECT t, k, p, coalesce({beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce({beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, coalesce('+' || lang, '') AS t, {hashed_leaf("text")} AS h,
+      CASE WHEN {crc32("doc_id::VARCHAR")} % 3 = 0 THEN {hashed_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents, tab),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY t) AS n FROM d),
+{tree_levels("low", "leaf")},
+sub AS (SELECT t AS name, '' AS t, h, row_number() OVER (ORDER BY t) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1),
+{tree_levels("high", "sub")},
+root AS (SELECT h AS root FROM high WHERE n = 1),
+steps AS (SELECT leaf.t, leaf.p, s.k, s.l, s.r FROM leaf JOIN low_sides s ON s.t = leaf.t AND s.p = leaf.p // (8 ** s.k)::BIGINT
+      UNION ALL SELECT leaf.t, leaf.p, 100 + s.k, s.l, s.r FROM leaf JOIN sub ON sub.name = leaf.t JOIN high_sides s ON s.p = sub.p // (8 ** s.k)::BIGINT),
+ways AS (SELECT t, p, list({{'l': l, 'h': '', 'r': r}} ORDER BY k) AS way FROM steps GROUP BY t, p),
+folded AS (SELECT leaf.doc_id, leaf.h AS leaf, sub.h AS subroot, root, coalesce(array_to_string(list_transform(way, lambda s: s.l || s.r), ''), '') AS siblings,
+      list_reduce(list_prepend({{'l': '', 'h': coalesce(other, leaf.h), 'r': ''}}, coalesce(way, [])), lambda a, b: {{'l': '', 'h': sha256(b.l || a.h || b.r), 'r': ''}}).h AS folded_root
+      FROM leaf JOIN sub ON sub.name = leaf.t JOIN root ON true LEFT JOIN ways ON ways.t = leaf.t AND ways.p = leaf.p)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+ORACLE = {"op3_exact_dedup": OP3, "op6_jaccard": OP6, "op7_mix": OP7, "op8_shard": OP8, "op11_repair": OP11, "op12_manifest": OP12}
