@@ -172,7 +172,7 @@ def keep_one(docs: DataFrame, largest: bool = False) -> DataFrame:
     mark, given, times = "_exact_digest", "_exact_id", "_exact_times"
     kept = _judged(docs, largest, BUDGET).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     kept = kept.select(F.col("digest").alias(mark), F.col("doc_id").alias(given), F.col("times").alias(times))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_exact_row"), F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("_exact_own"), F.col("doc_id").cast("long").alias("_exact_doc"))
+    rows = docs.select(F.struct("*").alias("_exact_row"), F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("_exact_own"), F.col("doc_id").cast("long").alias("_exact_doc"))
     found = rows.join(kept, (rows["_exact_own"] == kept[mark]) & rows["_exact_doc"].eqNullSafe(kept[given]))
     once = found.where(F.col(times) == 1).select("_exact_row.*")
     more = found.where(F.col(times) > 1).dropDuplicates([mark, given]).select("_exact_row.*")

@@ -232,7 +232,7 @@ def keep_one_near(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees:
     first = (F.col("first.tie") == F.col("tie")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     stays = rows.where(bare | first).groupBy("doc_id", "tie").agg(F.when(F.max(bare), F.lit(1)).otherwise(F.count("*")).alias("_near_times"))
     stays = stays.withColumnsRenamed({"doc_id": "_near_id", "tie": "_near_tie"})
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_near_row"), F.col("doc_id").cast("long").alias("_near_own"), F.xxhash64(known()).alias("_near_key"))
+    own = docs.select(F.struct("*").alias("_near_row"), F.col("doc_id").cast("long").alias("_near_own"), F.xxhash64(known()).alias("_near_key"))
     found = own.join(stays, F.col("_near_own").eqNullSafe(F.col("_near_id")) & (F.col("_near_key") == F.col("_near_tie")))
     once = found.where("_near_times = 1").select("_near_row.*")
     more = found.where("_near_times > 1").dropDuplicates(["_near_id", "_near_tie"]).select("_near_row.*")

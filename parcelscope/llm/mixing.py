@@ -139,6 +139,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     Only the documents of the one cell in which a source's rest ends are shuffled.
     """
     plan = _plan(settle(_sized(docs, seed, weight, F.lit(0)), "mix-rows"), weights, most)
-    rows = _sized(docs, seed, weight, F.struct(*[docs[c] for c in docs.columns]))
+    rows = _sized(docs, seed, weight, F.struct("*"))
     drawn = _drawn(rows, plan, whole=True).where("taken > 0")
     return drawn.select("payload", F.explode(F.sequence(F.lit(1), F.expr("taken div size").cast("int"))).alias("n")).select("payload.*")
