@@ -30,7 +30,7 @@ from .base import ascii_lower, mapped, ready, settle
 
 FAN = 8
 SLOTS = 512  # FAN ** 3
-BLOCK_BITS = 15
+BLOCK_BITS = 12  # ids of a block: few enough that dense ids still make many blocks
 BLOCK = 1 << BLOCK_BITS
 NO_ID = -(1 << 62)  # block of null ids
 COPIES = 1 << 16  # places dealt out at once to equal rows
