@@ -121,14 +121,12 @@ def write_task(batches: Iterator[pa.RecordBatch], path: str, eos: int, chunk_ids
         return pa.RecordBatch.from_arrays(row, names=["shard", "chunk", "n_docs", "n_ids", "payload"])
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-            for doc_id, ids in zip(doc_ids, cache.encode(texts), strict=True):
-                held[0].append(doc_id)
-                held[1].append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= chunk_ids:
-                    yield flush()
+        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode_column(batch.column(1)), strict=True):
+            held[0].append(doc_id)
+            held[1].append(ids + end)
+            size += len(ids) // 4 + 1
+            if size >= chunk_ids:
+                yield flush()
     if held[0]:
         yield flush()
 

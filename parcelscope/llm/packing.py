@@ -57,24 +57,25 @@ def fill(batches: Iterator[pa.RecordBatch], path: str, capacity: int, classes: i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            done: list[list] = []
-            ids_of, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-            for doc_id, ids in zip(ids_of, cache.encode(texts), strict=True):
-                ids += end
-                for k, start, length in cut(len(ids) // 4, capacity, classes):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    group = open_groups.setdefault(k, [])
-                    group.append([doc_id, start, length, zlib.crc32(piece), len(ids) // 4, k, None, None, part, len(group)] + [piece] * keep_ids)
-                    if len(group) == k:
-                        offset = 0
-                        for row in group:
-                            row[6:8] = ((part + 1) << PART_BITS) + made, offset
-                            offset += row[2]
-                        made += 1
-                        done += open_groups.pop(k)
-            if done:
+        done: list[list] = []
+        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode_column(batch.column(1)), strict=True):
+            ids += end
+            for k, start, length in cut(len(ids) // 4, capacity, classes):
+                piece = ids[4 * start : 4 * (start + length)]
+                group = open_groups.setdefault(k, [])
+                group.append([doc_id, start, length, zlib.crc32(piece), len(ids) // 4, k, None, None, part, len(group)] + [piece] * keep_ids)
+                if len(group) == k:
+                    offset = 0
+                    for row in group:
+                        row[6:8] = ((part + 1) << PART_BITS) + made, offset
+                        offset += row[2]
+                    made += 1
+                    done += open_groups.pop(k)
+            if len(done) >= 1024:
                 yield batch_of(done)
+                done = []
+        if done:
+            yield batch_of(done)
     left = [row for group in open_groups.values() for row in group]
     if left:
         yield batch_of(left)

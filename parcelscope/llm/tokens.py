@@ -7,23 +7,31 @@ A text is cut only where no token can cross and nothing on one side changes the
 * ``word level``: at blanks, tabs and line ends, which that tokenizer drops;
 * either: before a full stop or comma after a letter or digit, if the text has these marks only there.
 
-Equal pieces are encoded once; pieces not seen yet are encoded together, and the offsets
-of their tokens say which piece each id belongs to. Ids are kept as little-endian unsigned
-32-bit bytes, so a document is a join of byte strings.
+Cutting and telling equal pieces apart is done on Arrow columns, a slice of texts at a time; texts that need care (NUL, or
+runs of white space) are cut one by one. Equal pieces are encoded once; pieces not seen yet are encoded
+together, a bar as a word of its own between them, so that its id says where one ends. Ids are kept as little-endian
+unsigned 32-bit bytes, so a document is a span of the bytes of its pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ROUGH = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S)(?=\s\S)")
-STRAY = re.compile("(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,]")  # not after a letter that stays one letter when normalised
-GROUP = 200  # pieces encoded in one call
+PLAIN_LETTERS = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters that stay one letter when normalised
+STRAY = re.compile(f"(?<![{PLAIN_LETTERS}])[.,]")
+#: The same two as patterns for columns.
+STRAY_IN = f"(?:^|[^{PLAIN_LETTERS}])[.,]"
+ROUGH_IN = "[\t-\r\x1c- \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+SLICE_BYTES = 4 << 20  # text cut at once; one longer document is cut alone
+GROUP = 100  # pieces encoded in one call
 _CACHES: dict[tuple[str, int], PieceCache] = {}
 
 
@@ -38,6 +46,7 @@ class PieceCache:
         self.older: dict[str, bytes] = {}  # the generation before; pieces met again move up
         one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a\tb"))
         self.word_level = one == two  # white space leaves no trace in the ids
+        (self.bar,) = self.tokenizer.encode(" |", add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if "\0" in text:
@@ -54,38 +63,81 @@ class PieceCache:
         """Whether a byte-level piece may stand right after another one in a joined text."""
         return len(piece) > 1 and piece[0].isspace() and not piece[1].isspace() and not piece[-1].isspace()
 
-    def _learn(self, fresh: set[str]) -> None:
-        alone = [] if self.word_level else [p for p in fresh if not self._joins(p)]
-        joint = list(fresh.difference(alone))
+    def _learn(self, fresh: list[str]) -> None:
+        joint, alone = [], []
+        for p in fresh:
+            (joint if "|" not in p and (self.word_level or self._joins(p)) else alone).append(p)
         for at in range(0, len(alone), 1000):
             part = alone[at : at + 1000]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(got.ids, dtype="<u4").tobytes()
-        gap = " " if self.word_level else ""
+        gap = " | " if self.word_level else " |"
         for at in range(0, len(joint), GROUP):
             part = joint[at : at + GROUP]
-            got = self.tokenizer.encode(gap.join(part), add_special_tokens=False)
-            starts = np.array([a for a, _ in got.offsets], dtype=np.int64)
-            ends = np.array(list(accumulate(len(p) + len(gap) for p in part)), dtype=np.int64)
-            cuts = (4 * np.searchsorted(starts, ends, side="left")).tolist()
-            raw = np.array(got.ids, dtype="<u4").tobytes()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([gap.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.bar)
+            starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, learned where they are new."""
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        got = list(map(self.known.get, pieces))
+        missing = [p for p, ids in zip(pieces, got, strict=True) if ids is None]
+        if missing:
+            again = [(p, ids) for p in missing if (ids := self.older.get(p)) is not None]
+            self.known.update(again)
+            self._learn([p for p in missing if p not in self.known] if again else missing)
+            got = list(map(self.known.__getitem__, pieces))
+        return got
+
+    def _cut(self, texts: pa.Array) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(places of texts, their pieces, where each text's pieces begin) for the kinds of texts."""
+        zero = pc.match_substring(texts, "\0")
+        odd = zero if self.word_level else pc.or_(zero, pc.match_substring_regex(texts, ROUGH_IN))
+        stray = pc.match_substring_regex(texts, STRAY_IN)
+        out = []
+        for marks in (True, False):
+            chosen = pc.and_not(pc.invert(odd), stray) if marks else pc.and_not(stray, odd)
+            at = np.flatnonzero(chosen.to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            some = texts.take(pa.array(at))
+            for sign in ",." * marks:
+                some = pc.replace_substring(some, sign, "\0" + sign)
+            for blank in "\n ":
+                some = pc.replace_substring(some, blank, "\0" if self.word_level else "\0" + blank)
+            lists = pc.split_pattern(some, "\0")
+            out.append((at, lists.flatten(), lists.offsets.to_numpy()))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(at):
+            cut = [self.pieces(t) for t in texts.take(pa.array(at)).to_pylist()]
+            out.append((at, pa.array([p for c in cut for p in c], pa.large_string()), np.concatenate([[0], np.cumsum([len(c) for c in cut])])))
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text as bytes."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cut = [self.pieces(t) for t in texts[at : at + 256]]
-            if len(self.known) > self.limit:
-                self.older, self.known = self.known, {}
-            fresh = set().union(*cut).difference(self.known)
-            again = fresh.intersection(self.older)
-            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            fresh -= again
-            if fresh:
-                self._learn(fresh)
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return out
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            past = sizes[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, past + SLICE_BYTES, side="right")))
+            out: list[bytes] = [b""] * (high - low)
+            for at, pieces, off in self._cut(texts.slice(low, high - low)):
+                coded = pieces.dictionary_encode()
+                ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+                raw = ids.buffers()[2]
+                ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[: len(ids) + 1][off].tolist() if len(ids) else [0] * len(off)
+                for i, a, b in zip(at.tolist(), ends[:-1], ends[1:], strict=True):
+                    out[i] = raw[a:b].to_pybytes() if b > a else b""
+            yield from out
+            low = high
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return list(self.encode_column(pa.array(texts, pa.large_string())))
 
 
 def piece_cache(path: str, limit: int = 300_000) -> PieceCache:
