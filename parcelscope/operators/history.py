@@ -144,6 +144,12 @@ def _intervals(inspections: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(inspections, lambda i: i["start"].isNotNull())))
 
 
+def shown_times(inspections: Column) -> Column:
+    """Known inspection times as text, NULL for none; equal texts are equal times."""
+    times = _intervals(inspections)
+    return F.when(F.size(times) > 0, F.to_json(times))
+
+
 def _interval_text(intervals: Column) -> Column:
     return F.array_join(
         F.transform(intervals, lambda i: F.concat_ws(" - ", i["start"], F.coalesce(i["end"], F.lit("")))), "; "
@@ -158,6 +164,52 @@ def _inspection_event() -> Column:
     )
 
 
+EVENT_TYPE = "struct<ord:int,event_type:string,previous_value:string,current_value:string,summary:string>"
+
+
+def _relist_event() -> Column:
+    return F.when(
+        F.col("back"),
+        _event(3, F.lit("relisted"), F.lit("withdrawn/stale"), F.coalesce("status", F.lit("active")), F.lit(vocab.RELIST_TEXT)),
+    )
+
+
+def _sold_event(prior: Column) -> Column:
+    """A sighting that leaves the market, unless the event before says so already."""
+    detail = F.coalesce(F.nullif(F.col("off.tag_text"), F.lit("")), F.col("off.status"))
+    text = F.concat(
+        F.lit("Listing left the market: "), detail,
+        F.coalesce(F.concat(F.lit(" ("), F.col("off.sale_method"), F.lit(")")), F.lit("")),
+        F.coalesce(F.concat(F.lit(" on "), F.col("off.sold_date").cast("string")), F.lit("")),
+        F.lit(". Not a live opportunity."),
+    )
+    return F.when(
+        F.coalesce("left", F.lit(False)) & ~prior.eqNullSafe(F.lit("sold")),
+        _event(1, F.lit("sold"), F.coalesce(prior, F.lit("active")), F.col("off.status"), text),
+    )
+
+
+def _stale_event(prior: Column) -> Column:
+    """A disappearance; a second one without anything in between adds nothing."""
+    return F.when(
+        (F.col("kind") == 1) & ~prior.eqNullSafe(F.lit("withdrawn_or_stale")),
+        _event(0, F.lit("withdrawn_or_stale"), F.lit("seen in previous run"), F.lit("missing from latest run"), F.lit(vocab.STALE_TEXT)),
+    )
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    """Events of rows that already know what came before them.
+
+    ``kind`` 0 is a sighting with ``prev``, ``times``, ``prev_times``, ``off``, ``left`` and ``back``, 1 a disappearance;
+    ``prior`` is the type of the event before (null for none).
+    """
+    live, known = F.col("off").isNull(), F.col("prev").isNotNull()
+    sighting = [F.when(live & known, _price_event()), F.when(live & known, _status_event()), _relist_event(), F.when(known, _inspection_event())]
+    of_sighting = [F.when(F.col("kind") == 0, e) for e in sighting]
+    every = F.array_compact(F.array(_stale_event(F.col("prior")), _sold_event(F.col("prior")), *of_sighting))
+    return rows.select("id", *ORDER, F.explode(every).alias("e")).select("id", *ORDER, "e.*")
+
+
 def price_events(observations: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Drops, rises and changes between consecutive sightings (status and tags aside)."""
     rows = with_last_sighting(observations.drop("inspections"), chunk).where(F.col("prev").isNotNull())
@@ -183,25 +235,20 @@ def lifecycle_events(
     An off-market sighting replaces price and status events by one ``sold``, unless the
     latest event already is ``sold``. A live sighting right after a disappearance adds
     ``relisted``.
-
-    An optional column ``carried`` marks the last sighting of an earlier batch: it holds
-    the latest event type so far ('' for none) and emits nothing itself.
     """
-    if "carried" not in observations.columns:
-        observations = observations.withColumn("carried", F.lit(None).cast("string"))
     seen = with_last_sighting(observations, chunk)
     live = F.col("off").isNull()
     known = F.col("prev").isNotNull()
     changes = [F.when(live & known, _price_event()), F.when(live & known, _status_event())]
     late = [F.when(known, _inspection_event())] if "inspections" in seen.columns else []
     rows = seen.select(
-        "id", *ORDER, "off", "status", "carried",
+        "id", *ORDER, "off", "status",
         F.lit(0).alias("kind"),
         (F.col("off").isNotNull() & F.col("moved")).alias("left"),
         F.array_compact(F.array(*changes)).alias("changes"),
         F.array_compact(F.array(*(late or [F.when(F.lit(False), _status_event())]))).alias("late"),
     )
-    relist = F.lit(None).cast("struct<ord:int,event_type:string,previous_value:string,current_value:string,summary:string>")
+    relist = F.lit(None).cast(EVENT_TYPE)
     order = ["observed_at", "kind", "seq"]
     grain = F.date_trunc("day", F.col("observed_at")) if chunk is None else chunk
     if stale is not None:
@@ -216,44 +263,21 @@ def lifecycle_events(
         rows = rows.withColumn(
             "back", (F.col("kind") == 0) & F.col("off").isNull() & F.coalesce(F.col("before_token") == 1, F.lit(False))
         ).drop("before", "token", "before_token")
-        relist = F.when(
-            F.col("back"),
-            _event(3, F.lit("relisted"), F.lit("withdrawn/stale"), F.coalesce("status", F.lit("active")), F.lit(vocab.RELIST_TEXT)),
-        )
+        relist = _relist_event()
     no_events = F.array().cast(rows.schema["changes"].dataType)
     rows = rows.withColumn(
         "events", F.concat(F.coalesce("changes", no_events), F.array_compact(F.array(relist)), F.coalesce("late", no_events))
     )
-    vanished = F.col("kind") == 1
-    leaving = F.coalesce("left", F.lit(False))
-    carried = F.col("carried").isNotNull()
-    rows = rows.where(vanished | leaving | carried | (F.size("events") > 0)).withColumn(
+    rows = rows.where((F.col("kind") == 1) | F.coalesce("left", F.lit(False)) | (F.size("events") > 0)).withColumn(
         "closing",
-        F.when(carried, F.nullif("carried", F.lit("")))
-        .when(vanished, "withdrawn_or_stale")
+        F.when(F.col("kind") == 1, "withdrawn_or_stale")
         .when(F.size("events") > 0, F.element_at("events", -1)["event_type"])
         .otherwise("sold"),
     )
     rows = with_previous(rows, ["id"], order, ["closing"], grain, "prior")
     prior = F.col("prior.closing")
-    detail = F.coalesce(F.nullif(F.col("off.tag_text"), F.lit("")), F.col("off.status"))
-    text = F.concat(
-        F.lit("Listing left the market: "), detail,
-        F.coalesce(F.concat(F.lit(" ("), F.col("off.sale_method"), F.lit(")")), F.lit("")),
-        F.coalesce(F.concat(F.lit(" on "), F.col("off.sold_date").cast("string")), F.lit("")),
-        F.lit(". Not a live opportunity."),
-    )
-    sold = F.when(
-        leaving & ~prior.eqNullSafe(F.lit("sold")),
-        _event(1, F.lit("sold"), F.coalesce(prior, F.lit("active")), F.col("off.status"), text),
-    )
-    # a second disappearance without anything in between adds nothing
-    stale_event = F.when(
-        vanished & ~prior.eqNullSafe(F.lit("withdrawn_or_stale")),
-        _event(0, F.lit("withdrawn_or_stale"), F.lit("seen in previous run"), F.lit("missing from latest run"), F.lit(vocab.STALE_TEXT)),
-    )
-    every = F.concat(F.array_compact(F.array(stale_event, sold)), F.coalesce("events", no_events))
-    return rows.where(~carried).select("id", *ORDER, F.explode(every).alias("e")).select("id", *ORDER, "e.*")
+    every = F.concat(F.array_compact(F.array(_stale_event(prior), _sold_event(prior))), F.coalesce("events", no_events))
+    return rows.select("id", *ORDER, F.explode(every).alias("e")).select("id", *ORDER, "e.*")
 
 
 def latest_event(events: DataFrame) -> DataFrame:

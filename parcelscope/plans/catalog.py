@@ -790,21 +790,31 @@ def _event_stream(spark, sf, columns):
     return O.file_stream(spark, sf, "events.parquet", schema, columns)
 
 
+def _change_log(spark, sf, purpose, **settings):
+    stream = _event_stream(spark, sf, T.observation_columns())
+    return O.drain(spark, O.change_log(stream, **settings), purpose)
+
+
 @query
 def stream_events(spark, sf):
-    stream = O.observation_stream(_event_stream(spark, sf, T.observation_columns()))
-    log = O.drain_changes(spark, stream, "stream-events")
-    return _event_rows(log.read(spark, "events"))
+    return _event_rows(O.logged_events(_change_log(spark, sf, "stream-events")))
 
 
 @query
 def stream_snapshots(spark, sf):
-    stream = O.observation_stream(_event_stream(spark, sf, T.observation_columns()))
-    log = O.drain_changes(spark, stream, "stream-snapshots")
-    rows = log.read(spark, "snapshots")
+    rows = O.logged_snapshots(_change_log(spark, sf, "stream-snapshots"))
     return rows.select("id", us("observed_at").alias("at_us"), *whole("seq"), "price_display", *whole("price_from", "price_to"), "status")
 
 
+@query
+def stream_lifecycle(spark, sf):
+    """Events with disappearances and returns: sightings also renew the search that saw them."""
+    seen = [*T.observation_columns(), *T.seen_by_columns()]
+    calendar = U.calendar(T.runs(spark, sf))
+    stream = _event_stream(spark, sf, seen)
+    return _event_rows(O.logged_events(O.drain(spark, O.change_log(stream, "0 seconds", calendar, "run_at"), "stream-lifecycle")))
+
+
 @query
 def stream_vanished(spark, sf):
     rows = O.drain(spark, O.vanished(_event_stream(spark, sf, T.observation_columns()), "12 hours"), "stream-vanished")

@@ -344,6 +344,7 @@ add("inspection_changes", EVENT_OUT + "insp_ev", OBSERVATIONS, INSPECTION_EVENTS
 add("lifecycle", EVENT_OUT + "ev", ALL_EVENTS)
 NO_GONE = ",".join([OBSERVATIONS, PRICE_EVENTS, STATUS_EVENTS, INSPECTION_EVENTS, "gone AS (SELECT id, ts AS run_at FROM obs WHERE false)", LIFECYCLE])
 add("stream_events", EVENT_OUT + "ev", NO_GONE)
+ORACLE["stream_lifecycle"] = ORACLE["lifecycle"]
 HISTORY = f"""
 hist AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, {whole('l_extendedprice')} AS v,
   lag({whole('l_extendedprice')}) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pv FROM lineitem),

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,11 @@ def local_session(cores: str = "*", name: str = "parcelscope") -> SparkSession:
     return spark
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """The name of a new folder, not made yet, under the shared folder the cluster names.
 

@@ -235,6 +235,12 @@ def observation_columns() -> list[Column]:
     ]
 
 
+def seen_by_columns() -> list[Column]:
+    """The search (event type) and daily run that saw an event."""
+    run_at = F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")
+    return [F.col("event_type").alias("hunt"), run_at.alias("run_at")]
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as the price history of the listings; ``seq`` is a stable row order."""
     return table(spark, sf_dir, "lineitem").select(

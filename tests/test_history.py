@@ -216,17 +216,49 @@ def test_agent_metrics(spark):
     assert (m.listings_seen, m.listings_sold, m.price_drops_observed, m.underquote_signals, m.avg_guide_vs_sold) == (1, 1, 1, 1, 0.2571)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+SHOWN = ["id", "observed_at", "seq", "event_type", "previous_value", "current_value", "summary"]
+
+
+def shown(events):
+    return sorted(map(str, events.select(*SHOWN).collect()))
+
+
+def test_stream_equals_batch_over_five_files_with_restarts(spark, tmp_path):
+    """Every call of ``drain`` is a new query that goes on from the checkpoint, so state outlives restarts."""
     rows, _ = random_case(7)
     rows.sort(key=lambda r: (r[1], r[0], r[2]))
-    source = str(tmp_path / "in")
-    for n, part in enumerate([rows[:50], rows[50:90], rows[90:]]):
-        obs(spark, part).coalesce(1).write.mode("append").parquet(source)
-    # one file per trigger, in the order written
-    stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(source)
-    log = O.drain_changes(spark, O.observation_stream(stream, "30 days"), "test-log", compact_every=2)
-    batch = H.lifecycle_events(obs(spark, rows))
-    cols = ["id", "observed_at", "seq", "event_type", "previous_value", "current_value"]
-    assert sorted(map(tuple, log.read(spark, "events").select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+    source, root = str(tmp_path / "in"), str(tmp_path / "log")
+    for n in range(5):
+        part = rows[n * len(rows) // 5 : (n + 1) * len(rows) // 5]
+        obs(spark, part + part[:3]).coalesce(1).write.mode("append").parquet(source)  # some are delivered twice
+        stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(source)
+        log = O.drain(spark, O.change_log(stream, "30 days"), "test-log", root)
+    assert shown(O.logged_events(log)) == shown(H.lifecycle_events(obs(spark, rows)))
     snaps = ["id", "observed_at", "seq"]
-    assert sorted(map(tuple, log.read(spark, "snapshots").select(*snaps).collect())) == sorted(map(tuple, H.snapshots(obs(spark, rows)).select(*snaps).collect()))
+    assert sorted(map(tuple, O.logged_snapshots(log).select(*snaps).collect())) == sorted(map(tuple, H.snapshots(obs(spark, rows)).select(*snaps).collect()))
+    assert log.where("late").count() == 15
+
+
+def test_stream_with_runs_equals_batch(spark, tmp_path):
+    """Disappearances and returns by timers; a blocked run arms none."""
+    rng = random.Random(3)
+    day = dt.timedelta(days=1)
+    runs = [(h, T0 + day * (n + 1), 5, h == "b" and n in (2, 5)) for h in ("a", "b") for n in range(9)]
+    runs = spark.createDataFrame(runs, "hunt string, run_at timestamp, total_results long, blocked boolean")
+    days = [[row(f"x{i}", 24 * n + rng.randrange(24), 1000000 + 50000 * rng.randrange(3), seq=10 * n + i, tag="Sold by auction 1 Jun 2026" if rng.random() < 0.1 else None) for i in range(8) if rng.random() < 0.6] for n in range(9)]
+    seen = OBS + ", hunt string, run_at timestamp"
+    source, root = str(tmp_path / "in"), str(tmp_path / "log")
+    wide = []
+    for n, part in enumerate(days):
+        found = [(*r, rng.choice("ab"), T0 + day * (n + 1)) for r in part]
+        wide += found
+        spark.createDataFrame(found, seen).coalesce(1).write.mode("append").parquet(source)
+        if n in (3, 8):
+            stream = spark.readStream.schema(seen).option("maxFilesPerTrigger", 1).parquet(source)
+            log = O.drain(spark, O.change_log(stream, "0 seconds", U.calendar(runs), "run_at"), "test-log", root)
+    every = spark.createDataFrame(wide, seen)
+    members = every.select("hunt", "run_at", "id", F.lit(False).alias("off_market"))
+    gone = U.vanished(members, runs).select("id", F.col("run_at").alias("observed_at")).distinct()
+    batch = H.lifecycle_events(every.drop("hunt", "run_at"), gone)
+    assert shown(O.logged_events(log)) == shown(batch)
+    assert {"relisted", "withdrawn_or_stale", "sold"} <= {r.event_type for r in batch.collect()}
