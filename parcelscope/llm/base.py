@@ -40,10 +40,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _released(batches: Iterator[pa.RecordBatch], task: Callable[..., Iterator[pa.RecordBatch]], **fixed: object) -> Iterator[pa.RecordBatch]:
+    """Run a task, then give memory that Arrow keeps for later back: workers are used again by other tasks."""
+    try:
+        yield from task(batches, **fixed)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def mapped(df: DataFrame, task: Callable[..., Iterator[pa.RecordBatch]], schema: str, **fixed: object) -> DataFrame:
     """Run ``task(batches, **fixed)`` on each partition."""
     ready(df.sparkSession)
-    return df.mapInArrow(functools.partial(task, **fixed), schema)
+    return df.mapInArrow(functools.partial(_released, task=task, **fixed), schema)
 
 
 def held_out(fold: int = 2, folds: int = 4) -> Column:

@@ -30,7 +30,7 @@ STRAY = re.compile(f"(?<![{PLAIN_LETTERS}])[.,]")
 #: The same two as patterns for columns.
 STRAY_IN = f"(?:^|[^{PLAIN_LETTERS}])[.,]"
 ROUGH_IN = "[\t-\r\x1c- \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
-SLICE_BYTES = 4 << 20  # text cut at once; one longer document is cut alone
+SLICE_BYTES = 1 << 20  # text cut at once; one longer document is cut alone
 GROUP = 100  # pieces encoded in one call
 _CACHES: dict[tuple[str, int], PieceCache] = {}
 
