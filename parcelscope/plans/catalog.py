@@ -19,7 +19,9 @@ from parcelscope.operators import (
     market as M, scoring as V, signals as S,
 )
 from parcelscope.operators.rules import exploded
+from parcelscope.operators.store import Store, newest_wins
 from parcelscope.plans import decision as D, reports as R
+from parcelscope.session import settle, shared_folder
 from parcelscope.sources import pages as P, providers, tables as T
 from parcelscope.streaming import observe as O
 
@@ -304,6 +306,55 @@ def state_merge(spark, sf):
     return merged.select("id", "mode", "status", "headline", "price_display", *whole("price_from"), us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
 
 
+CUTS = ("0001-01-01", "2024-01-11", "2024-01-21", "9999-01-01")  # instalments in which stored tables are merged
+
+
+def _instalments(rows: DataFrame, time: str) -> list[DataFrame]:
+    at = F.col(time)
+    return [rows.where((at >= F.lit(a).cast("timestamp")) & (at < F.lit(b).cast("timestamp"))) for a, b in zip(CUTS, CUTS[1:], strict=False)]
+
+
+def _stored(spark, purpose, like: DataFrame, key=("id",)) -> Store:
+    return Store(spark, shared_folder(spark, purpose), like.schema, key)
+
+
+@query
+def state_stored(spark, sf):
+    """State kept in a stored table: three instalments merged one after the other, the last one twice."""
+    folds = [H.state_fold(part) for part in _instalments(T.observations(spark, sf).drop("inspections"), "observed_at")]
+    store = _stored(spark, "state", folds[0])
+    for fold in [*folds, folds[-1]]:
+        store.merge(fold, H.merge_state)
+    return store.read().select("id", "mode", "status", "headline", "price_display", *whole("price_from"), us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
+
+
+@query
+def hunts_stored(spark, sf):
+    """Search definitions upserted run by run: the latest record stays, with the first and last run."""
+    store, rule = None, newest_wins(("hunt",), ("first_run",), ("last_run",))
+    for part in _instalments(T.runs(spark, sf), "run_at"):
+        latest = U.latest_runs(part).select("hunt", "total_results", "blocked", F.col("run_at").alias("last_run"))
+        rows = latest.join(part.groupBy("hunt").agg(F.min("run_at").alias("first_run")), "hunt")
+        store = store or _stored(spark, "hunts", rows, ("hunt",))
+        store.merge(rows, rule)
+    return store.read().select("hunt", *whole("total_results"), flag(F.col("blocked")).alias("blocked"), us("first_run").alias("first_us"), us("last_run").alias("last_us"))
+
+
+@query
+def seen_stored(spark, sf):
+    """Membership of the last instalment, marked new against the stored set of what each search saw before; that set then takes it up."""
+    *earlier, last = _instalments(T.run_listings(spark, sf), "run_at")
+    rule = newest_wins(("hunt", "id"), ("first_run",), ("last_run",))
+    spans = lambda part: part.groupBy("hunt", "id").agg(F.min("run_at").alias("first_run"), F.max("run_at").alias("last_run"))
+    store = _stored(spark, "seen", spans(last), ("hunt", "id"))
+    for part in earlier:
+        store.merge(spans(part), rule)
+    marked = settle(U.record_members(last, store.read()), "marked")
+    store.merge(spans(last), rule)
+    rows = marked.join(store.read(), ["hunt", "id"])
+    return rows.select("hunt", us("run_at").alias("run_us"), "id", flag(F.col("is_new")).alias("is_new"), us("first_run").alias("first_us"), us("last_run").alias("last_us"))
+
+
 @query
 def why_now(spark, sf):
     return H.why_now(_events(spark, sf))

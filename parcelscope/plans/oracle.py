@@ -354,7 +354,7 @@ add("latest_event", "SELECT id, epoch_us(ts) AS at_us, event_type FROM price_ev
 add("latest_changes", f"SELECT id, {TOP} AS rank, epoch_us(ts) AS at_us, event_type FROM price_ev QUALIFY rank <= 5", OBSERVATIONS, PRICE_EVENTS)
 add("state_fold", """SELECT id, arg_max(mode, (ts, seq)) AS mode, arg_max(status, (ts, seq)) AS status, arg_max(headline, (ts, seq)) FILTER (headline IS NOT NULL) AS headline,
   arg_max(disp, (ts, seq)) AS price_display, arg_max(lo, (ts, seq)) AS price_from, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM obs GROUP BY id""", OBSERVATIONS)
-ORACLE["state_merge"] = ORACLE["state_fold"]
+ORACLE["state_merge"] = ORACLE["state_stored"] = ORACLE["state_fold"]
 add("why_now", "SELECT * FROM why_now", ALL_EVENTS, WHY)
 add("lifecycle_summary", f"""SELECT id, first_us, last_us, status, snapshot_count, coalesce(drops, 0) AS price_drops, CAST(e.id IS NOT NULL AS BIGINT) AS changed FROM (
     SELECT id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, arg_max(status, (ts, seq)) AS status, count(*) FILTER (moved) AS snapshot_count FROM moves GROUP BY id) s
@@ -391,6 +391,10 @@ add("run_totals", "SELECT count(*) AS hunts, sum(new_count)::BIGINT AS total_new
 add("stale_preview", "SELECT hunt, row_number() OVER (PARTITION BY hunt ORDER BY id) AS rank, id FROM diff WHERE section = 'stale' QUALIFY rank <= 10", OBSERVATIONS, PRICE_EVENTS, RUNS, D1)
 add("run_membership", """SELECT hunt, epoch_us(run_at) AS run_us, id, CAST(id NOT IN (SELECT x.id FROM members x WHERE x.hunt = m.hunt AND x.run_at = f) AS BIGINT) AS is_new
   FROM members m JOIN (SELECT hunt, min(run_at) AS f FROM members GROUP BY hunt) USING (hunt) WHERE run_at > f""", RUNS)
+add("hunts_stored", """SELECT hunt, arg_max(total_results, run_at) AS total_results, CAST(arg_max(blocked, run_at) AS BIGINT) AS blocked, epoch_us(min(run_at)) AS first_us,
+  epoch_us(max(run_at)) AS last_us FROM runs GROUP BY hunt""", RUNS)
+add("seen_stored", """SELECT m.hunt, epoch_us(m.run_at) AS run_us, m.id, CAST(min(x.run_at) >= TIMESTAMP '2024-01-21' AS BIGINT) AS is_new, epoch_us(min(x.run_at)) AS first_us,
+  epoch_us(max(x.run_at)) AS last_us FROM members m JOIN members x ON x.hunt = m.hunt AND x.id = m.id WHERE m.run_at >= TIMESTAMP '2024-01-21' GROUP BY m.hunt, m.run_at, m.id""", RUNS)
 add("supply_trend", f"""SELECT hunt, current, previous, delta, {whole('a')} AS avg_recent, n_runs, {rounded('pct', 1)} AS pct_change, {_DIR} AS direction, history FROM (
   SELECT *, current - previous AS delta, (current - previous) / previous * 100e0 AS pct FROM (
   SELECT hunt, max(total_results) FILTER (r = 1) AS current, max(total_results) FILTER (r = 2) AS previous, avg(total_results) AS a, count(*) AS n_runs,

@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{own.toString()}/data"
 
 
+def made_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made if it is not there yet, in whatever store the path names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
