@@ -105,8 +105,9 @@ def with_viability(df: DataFrame) -> DataFrame:
     ).drop("_text", "_ask", "_likes", "_breaks", "_hard", "_budget", "_penalty", "_liked", "_gross", "_lens", "_mixed", "_score")
 
 
-def live_candidates(listings: DataFrame, beds_max: float = 2) -> DataFrame:
-    """Active sale listings: not sold or withdrawn, no projects, small enough."""
+def live_candidates(listings: DataFrame, beds_max: float | None = 2) -> DataFrame:
+    """Active sale listings: not sold or withdrawn, no projects, small enough (None: of any size)."""
     gone = F.lower(F.coalesce("status", F.lit(""))).isin("sold", "withdrawn")
     project = F.lower(F.coalesce("listing_type", F.lit(""))) == "project"
-    return listings.where((F.col("mode") == "sale") & ~gone & ~project & (F.col("beds").isNull() | (F.col("beds") <= beds_max)))
+    fits = F.lit(True) if beds_max is None else F.col("beds").isNull() | (F.col("beds") <= beds_max)
+    return listings.where((F.col("mode") == "sale") & ~gone & ~project & fits)

@@ -22,7 +22,7 @@ from parcelscope.operators.rules import exploded
 from parcelscope.operators.store import Store, newest_wins
 from parcelscope.plans import decision as D, reports as R
 from parcelscope.session import settle, shared_folder
-from parcelscope.sources import pages as P, providers, tables as T
+from parcelscope.sources import pages as P, providers, raw as W, tables as T
 from parcelscope.streaming import observe as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -686,6 +686,35 @@ def shortlist(spark, sf):
     return rows.select("brief_id", "id", "score", "band", "suburb", "fairness", "confidence", "top_risk")
 
 
+def _raw_listings(spark, sf) -> DataFrame:
+    """Every listing as stored text only: its fields as JSON, at a place that differs from listing to listing."""
+    listings = T.listings(spark, sf)
+    model = F.to_json(F.struct("*"))
+    deep = F.concat(F.lit('{"props":{"pageProps":[{"ad":1},{"componentProps":{"listingModel":'), model, F.lit('}}],"build":"x"}}'))
+    flat = F.concat(F.lit('{"listingModel":'), model, F.lit("}"))
+    inner = F.concat(F.lit('{"results":[[{"listingModel":'), model, F.lit("}]]}"))
+    place = F.col("listing_key") % 3
+    return listings.select("id", F.when(place == 0, flat).when(place == 1, deep).otherwise(inner).alias("stored"))
+
+
+@query
+def raw_models(spark, sf):
+    """Listing objects found at unknown places of stored text."""
+    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel")
+    schema = T.listings(spark, sf).select("price_from", "beds", "suburb", "images").schema
+    rows = W.typed(found, "found", schema, ("id", "depth"))
+    return rows.select("id", *whole("depth", "price_from", "beds"), "suburb", F.size("images").cast("bigint").alias("n_images"))
+
+
+@query
+def raw_shortlist(spark, sf):
+    """All active sale listings scored again from their stored text."""
+    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel", ())
+    subjects = W.typed(found, "found", T.listings(spark, sf).schema).where("mode = 'sale'")
+    rows = R.shortlist(_decisions(spark, sf, settle(subjects, "from-raw")), limit=None, beds_max=None)
+    return rows.select("brief_id", "id", "score", "band", "suburb", "fairness", "confidence", "top_risk")
+
+
 @query
 def ranked_properties(spark, sf):
     rows = R.ranked(_decisions(spark, sf, T.listings(spark, sf)), 5)

@@ -703,6 +703,10 @@ add("decision", """SELECT brief_id, id, score AS viability_score, band AS viabil
   critical_count || ' critical checks, ' || unknown_count || ' unknowns' AS due_diligence, action AS next_action, deadline AS next_action_deadline FROM dec""", DECISIONS)
 add("shortlist", """SELECT brief_id, id, score, band, suburb, fairness, conf AS confidence, CASE WHEN len(items) > 0 THEN top_risk END AS top_risk FROM dec
   WHERE mode = 'sale' AND listing_type <> 'project' AND beds <= 2 ORDER BY score DESC, id, brief_id LIMIT 20""", DECISIONS)
+add("raw_shortlist", """SELECT brief_id, id, score, band, suburb, fairness, conf AS confidence, CASE WHEN len(items) > 0 THEN top_risk END AS top_risk FROM dec
+  WHERE mode = 'sale' AND listing_type <> 'project'""", DECISIONS)
+add("raw_models", f"""SELECT id, CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 3 END AS depth, {whole('price_from')} AS price_from, {whole('beds')} AS beds, suburb,
+  1 + CAST(floorplan AS BIGINT) AS n_images FROM listings""", LISTINGS)
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, id) AS pos FROM dec QUALIFY pos <= 10)"
 add("ranked_properties", "SELECT brief_id, pos AS rank, id, score AS fit FROM ranked WHERE pos <= 5", DECISIONS, RANKED)
 add("folio", f"""SELECT brief_id, pos AS position, id, headline, address_display AS address, price_display AS price,

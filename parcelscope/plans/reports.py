@@ -24,10 +24,10 @@ def ranked(decisions: DataFrame, limit: int) -> DataFrame:
     return first_k(rows, ["brief_id"], [F.desc("fit"), F.col("id")], limit)
 
 
-def shortlist(decisions: DataFrame, limit: int = 8, beds_max: float = 2) -> DataFrame:
-    """Active sale listings over all briefs, best first."""
+def shortlist(decisions: DataFrame, limit: int | None = 8, beds_max: float | None = 2) -> DataFrame:
+    """Active sale listings over all briefs, best first; None for all of them, or for homes of any size."""
     rows = scoring.live_candidates(decisions, beds_max)
-    return (
+    rows = (
         rows.select(
             "brief_id", "id", F.col("viability.score").alias("score"), F.col("viability.band").alias("band"), "suburb",
             F.col("price_display").alias("price"), "beds", "baths", "cars", "fairness", "confidence",
@@ -35,8 +35,8 @@ def shortlist(decisions: DataFrame, limit: int = 8, beds_max: float = 2) -> Data
             "url", F.col("address_display").alias("address"),
         )
         .orderBy(F.desc("score"), "id", "brief_id")
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def doubts(confidence: Column, n: Column, critical: Column, top: Column, action: Column, overall: Column) -> Column:
