@@ -43,6 +43,11 @@ def off_market(tag_text: Column, tag_class: Column) -> Column:
     )
 
 
+def first_of(values: Column, count: int | None, start: int = 1) -> Column:
+    """At most ``count`` entries from ``start`` on; None for all that are left."""
+    return F.slice(values, start, (1 << 31) - 1 if count is None else count)
+
+
 def has_media(images: Column, *kinds: str) -> Column:
     return F.coalesce(F.exists(images, lambda i: F.lower(i["type"]).isin(*kinds)), F.lit(False))
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
+from parcelscope.functions.tags import first_of
 from parcelscope.functions.payload import area_source
 from parcelscope.operators.skew import first_k
 from parcelscope.session import settle
@@ -186,9 +187,9 @@ def comp_stats(per_profile: DataFrame) -> DataFrame:
 
 
 def price_read(
-    listings: DataFrame, subjects: DataFrame, neighbours: DataFrame, stats: DataFrame | None = None
+    listings: DataFrame, subjects: DataFrame, neighbours: DataFrame, stats: DataFrame | None = None, shown: int | None = 6
 ) -> DataFrame:
-    """Comparable-led read of each subject's asking price (sale side)."""
+    """Comparable-led read of each subject's asking price (sale side). ``shown`` of the ``n`` comparables are listed (None: all)."""
     stats = comp_stats(profile_comps(listings, subjects, neighbours, SOLD)) if stats is None else stats
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
     rows = attach(profiled(subjects), stats).withColumn("ask", ask)
@@ -200,7 +201,7 @@ def price_read(
         .withColumn("underquote", L.underquote(F.col("ask"), F.col("median"), F.col("n"), F.col("confidence")))
         .withColumn("posture", L.posture(F.col("fairness")))
         .withColumn("price_per_bed", N.per_bed(F.col("ask"), F.col("beds")))
-        .withColumn("top_comps", F.slice("comps", 1, 6))
+        .withColumn("top_comps", first_of(F.col("comps"), shown))
     )
 
 
@@ -210,8 +211,9 @@ def rent_read(
     neighbours: DataFrame,
     budget: Column | None = None,
     stats: DataFrame | None = None,
+    shown: int | None = 6,
 ) -> DataFrame:
-    """Comparable-led read of each subject's weekly rent."""
+    """Comparable-led read of each subject's weekly rent. ``shown`` of the ``n`` comparables are listed (None: all)."""
     stats = comp_stats(profile_comps(listings, subjects, neighbours, RENT)) if stats is None else stats
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
     rows = attach(profiled(subjects), stats).withColumn("ask", ask)
@@ -225,7 +227,7 @@ def rent_read(
         .withColumn("affordability", L.rent_budget_read(F.col("ask"), budget))
         .withColumn("annual_burden", F.col("ask") * 52)
         .withColumn("urgency", L.rent_urgency(F.col("fairness"), F.col("confidence")))
-        .withColumn("top_comps", F.slice("comps", 1, 6))
+        .withColumn("top_comps", first_of(F.col("comps"), shown))
     )
 
 

@@ -286,8 +286,11 @@ def latest_event(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(newest_row.alias("e")).select("id", "e.*")
 
 
-def latest_changes(events: DataFrame, limit: int = 5, since: Column | None = None) -> DataFrame:
+def latest_changes(events: DataFrame, limit: int | None = 5, since: Column | None = None) -> DataFrame:
+    """The latest events of each listing, ranked; None for all of them, without a rank."""
     rows = events if since is None else events.where(F.col("observed_at") > since)
+    if limit is None:
+        return rows
     order = [F.desc("observed_at"), F.desc_nulls_first("seq"), F.desc("ord")]
     return first_k(rows, ["id"], order, limit)
 
@@ -318,15 +321,15 @@ def why_now(events: DataFrame, since: Column | None = None) -> DataFrame:
     return top.groupBy("id").agg(ordered.alias("top")).select("id", text.alias("why_now"))
 
 
-def lifecycle_summary(observations: DataFrame, events: DataFrame, since: Column | None = None) -> DataFrame:
+def lifecycle_summary(observations: DataFrame, events: DataFrame, since: Column | None = None, latest: int | None = 5) -> DataFrame:
     """Per listing: first/last seen, status, snapshots, latest changes and why now.
 
-    ``price_drops`` counts within the latest five events only.
+    ``price_drops`` counts within the ``latest`` events only (None: all).
     """
     state = state_fold(observations, ["status"])
     snaps = snapshots(observations).groupBy("id").agg(F.count("*").alias("snapshot_count"))
     changes = (
-        latest_changes(events, 5, since)
+        latest_changes(events, latest, since)
         .groupBy("id")
         .agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "price_drop").alias("drops"))
     )

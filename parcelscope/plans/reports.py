@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope.functions import labels as L
-from parcelscope.functions.tags import grouped_media
+from parcelscope.functions.tags import first_of, grouped_media
 from parcelscope.operators import scoring
 from parcelscope.operators.skew import first_k
 
@@ -39,8 +39,8 @@ def shortlist(decisions: DataFrame, limit: int | None = 8, beds_max: float | Non
     return rows if limit is None else rows.limit(limit)
 
 
-def doubts(confidence: Column, n: Column, critical: Column, top: Column, action: Column, overall: Column) -> Column:
-    """Up to three notes on why a recommendation might be wrong."""
+def doubts(confidence: Column, n: Column, critical: Column, top: Column, action: Column, overall: Column, most: int | None = 3) -> Column:
+    """Notes on why a recommendation might be wrong, ``most`` at most."""
     thin = confidence.isNull() | confidence.isin("none", "low") | (n < 4)
     notes = F.array_compact(
         F.array(
@@ -56,11 +56,14 @@ def doubts(confidence: Column, n: Column, critical: Column, top: Column, action:
     fallback = F.when(
         overall != "high", F.array(F.lit("The pick is sound but not certain."))
     ).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.when(F.size(notes) > 0, notes).otherwise(fallback), 1, 3)
+    return first_of(F.when(F.size(notes) > 0, notes).otherwise(fallback), most)
 
 
-def recommendation(decisions: DataFrame) -> DataFrame:
-    """One row per brief: the standout, why, what to watch, what to do next, and doubts."""
+def recommendation(decisions: DataFrame, notes: int | None = 3, actions: int | None = 4) -> DataFrame:
+    """One row per brief: the standout, why, what to watch, what to do next, and doubts.
+
+    At most ``notes`` reasons and as many doubts are given, and ``actions`` next steps (None: all).
+    """
     top = F.try_element_at(F.col("risks.top"), F.lit(1))
     serious = top["severity"].isin(*SERIOUS)
     overall = L.recommendation_confidence(F.col("confidence"), F.col("fit"))
@@ -70,20 +73,20 @@ def recommendation(decisions: DataFrame) -> DataFrame:
         "brief_id", "rank",
         F.struct(
             F.col("rank"), F.col("id"), F.col("address_display").alias("address"), F.col("fit"), overall.alias("confidence"),
-            F.slice(
+            first_of(
                 F.array_compact(
                     F.array(
                         authored("verdict"),
                         F.concat(F.lit("Price read: "), F.col("fairness"), F.lit(".")),
                         F.concat(F.lit("Risk read: "), F.col("risks.summary"), F.lit(".")),
                     )
-                ), 1, 3,
+                ), notes,
             ).alias("reasons"),
             F.array_compact(
                 F.array(authored("caveat"), F.when(serious, F.concat_ws(": ", top["severity"], top["label"])))
             ).alias("watch"),
             step.alias("step"),
-            doubts(F.col("confidence"), F.col("n"), F.col("diligence.critical_count"), top, F.col("best_action.type"), overall).alias("why_wrong"),
+            doubts(F.col("confidence"), F.col("n"), F.col("diligence.critical_count"), top, F.col("best_action.type"), overall, notes).alias("why_wrong"),
         ).alias("p"),
     )
     picks = best.groupBy("brief_id").agg(F.sort_array(F.collect_list("p")).alias("p"))  # three at most
@@ -99,7 +102,7 @@ def recommendation(decisions: DataFrame) -> DataFrame:
     return picks.select(
         "brief_id", first["id"].alias("standout"), lead.alias("summary"), first["confidence"].alias("confidence"),
         first["reasons"].alias("reasons"), first["watch"].alias("watch"),
-        F.slice(F.concat(F.array(first["step"]), warm), 1, 4).alias("next_actions"), first["why_wrong"].alias("why_wrong"),
+        first_of(F.concat(F.array(first["step"]), warm), actions).alias("next_actions"), first["why_wrong"].alias("why_wrong"),
     )
 
 
@@ -121,9 +124,11 @@ def digest(diff: DataFrame, scores: DataFrame | None = None, reasons: DataFrame
     return rows
 
 
-def folio(decisions: DataFrame, agents: DataFrame | None = None, stored_visits: DataFrame | None = None, limit: int = 20) -> DataFrame:
+def folio(decisions: DataFrame, agents: DataFrame | None = None, stored_visits: DataFrame | None = None, limit: int = 20, gallery: int | None = 8) -> DataFrame:
     """Report frame: the shortlist of each brief with media, people, times and scorecard.
 
+    ``gallery`` photos are listed behind the first one (None: all), ``n_photos`` counts them all.
+
     ``agents``: id, name, mobile, landline, email of stored links, used when the listing
     itself names nobody reachable. ``stored_visits``: id, start, end, used when the
     listing carries no times.
@@ -163,7 +168,7 @@ def folio(decisions: DataFrame, agents: DataFrame | None = None, stored_visits:
         F.coalesce(F.nullif("headline", F.lit("")), "address_display").alias("headline"),
         F.col("address_display").alias("address"), "suburb", F.col("price_display").alias("price"), config.alias("config"),
         F.get("_media.photos", F.lit(0)).alias("hero"),
-        F.slice("_media.photos", 2, 8).alias("gallery"),
+        first_of(F.col("_media.photos"), gallery, 2).alias("gallery"), F.size("_media.photos").alias("n_photos"),
         F.get("_media.floorplans", F.lit(0)).alias("floorplan"),
         "people", "times", F.col("fit").alias("fit"),
         F.col("viability.hard_criteria").alias("brief_match"),

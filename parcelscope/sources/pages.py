@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope import schema, vocab
+from parcelscope.functions.tags import first_of
 
 BASE_URL = "https://listings.example"
 _NEXT = r"(?is)<script[^>]*\bid=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>"
@@ -176,18 +177,18 @@ def _set(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def with_card(rows: DataFrame, listing_id: Column, raw: Column, out: str = "c") -> DataFrame:
-    """Add the normalized search card; its model may sit under ``listingModel`` or at the top.
+def with_card(rows: DataFrame, listing_id: Column, raw: Column, out: str = "c", images: int | None = 5) -> DataFrame:
+    """Add the normalized search card; its model may sit under ``listingModel`` or at the top. ``images``: how many it keeps (None: all).
 
     The two parses are columns of their own, so that each text is parsed once.
     """
     rows = rows.withColumn("_outer", F.from_json(raw, schema.CARD)).withColumn(
         "_model", F.from_json(F.coalesce("_outer.listingModel", raw), schema.CARD_MODEL)
     )
-    return rows.withColumn(out, F.when(raw.isNotNull(), _card(listing_id, raw, F.col("_outer"), F.col("_model")))).drop("_outer", "_model")
+    return rows.withColumn(out, F.when(raw.isNotNull(), _card(listing_id, raw, F.col("_outer"), F.col("_model"), images))).drop("_outer", "_model")
 
 
-def _card(listing_id: Column, raw: Column, outer: Column, inner: Column) -> Column:
+def _card(listing_id: Column, raw: Column, outer: Column, inner: Column, images: int | None) -> Column:
     f, b = inner["features"], inner["branding"]
     people = F.transform(
         b["agents"],
@@ -199,7 +200,7 @@ def _card(listing_id: Column, raw: Column, outer: Column, inner: Column) -> Colu
         ),
     )
     pictures = F.transform(
-        F.filter(F.slice(F.coalesce(inner["images"], F.array().cast("array<string>")), 1, 5), lambda u: F.coalesce(u, F.lit("")) != ""),
+        F.filter(first_of(F.coalesce(inner["images"], F.array().cast("array<string>")), images), lambda u: F.coalesce(u, F.lit("")) != ""),
         lambda u, i: F.struct(
             u.alias("url"), F.lit("photo").alias("type"), F.lit(None).cast("string").alias("category"), i.alias("position")
         ),
