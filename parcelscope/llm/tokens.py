@@ -30,6 +30,8 @@ STRAY = re.compile(f"(?<![{PLAIN_LETTERS}])[.,]")
 #: The same two as patterns for columns.
 STRAY_IN = f"(?:^|[^{PLAIN_LETTERS}])[.,]"
 ROUGH_IN = "[\t-\r\x1c- \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+NO_BAR = re.compile(r"[^|]*")
+MAY_FOLLOW = re.compile(r"\s[^\s|](?:[^|]*[^\s|])?")  # byte-level pieces that may stand right after another one in a joined text
 SLICE_BYTES = 1 << 20  # text cut at once; one longer document is cut alone
 GROUP = 100  # pieces encoded in one call
 _CACHES: dict[tuple[str, int], PieceCache] = {}
@@ -59,14 +61,10 @@ class PieceCache:
             return [p for part in SINGLE.split(text) for p in part.split("\0")]
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
-    def _joins(self, piece: str) -> bool:
-        """Whether a byte-level piece may stand right after another one in a joined text."""
-        return len(piece) > 1 and piece[0].isspace() and not piece[1].isspace() and not piece[-1].isspace()
-
     def _learn(self, fresh: list[str]) -> None:
-        joint, alone = [], []
-        for p in fresh:
-            (joint if "|" not in p and (self.word_level or self._joins(p)) else alone).append(p)
+        fits = list(map((NO_BAR if self.word_level else MAY_FOLLOW).fullmatch, fresh))
+        joint = [p for p, fit in zip(fresh, fits, strict=True) if fit]
+        alone = [p for p, fit in zip(fresh, fits, strict=True) if not fit]
         for at in range(0, len(alone), 1000):
             part = alone[at : at + 1000]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -90,7 +88,7 @@ class PieceCache:
             again = [(p, ids) for p in missing if (ids := self.older.get(p)) is not None]
             self.known.update(again)
             self._learn([p for p in missing if p not in self.known] if again else missing)
-            got = list(map(self.known.__getitem__, pieces))
+            got = [self.known[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
         return got
 
     def _cut(self, texts: pa.Array) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
