@@ -220,7 +220,7 @@ def tag_reads(spark, sf):
 @query
 def preference_flags(spark, sf):
     rows = T.text_listings(spark, sf)
-    rows = rows.select("id", V.preference_flags(V.score_text(rows)).alias("f"))
+    rows = V.with_phrases(rows.select("id", V.score_text(rows).alias("text")), "text", likes="f")
     return rows.select("id", *[flag(F.col(f"f.{n}")).alias(n) for n, *_ in vocab.PREFERENCES])
 
 
