@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelscope.functions import numbers as N
 from parcelscope.operators.briefs import by_locality
@@ -221,3 +221,36 @@ def search_page(matches: DataFrame, sort: str = "id", page: int = 1, size: int =
     return first_k(matches, ["q_name"], order, page * size, "position").where(
         F.col("position") > (page - 1) * size
     )
+
+
+def _order_keys() -> tuple[Column, Column]:
+    """Price and time that a match is sorted by in its own search's order, smallest first; NULL comes last."""
+    asked, price = F.coalesce("q_sort", F.lit("id")), F.col("price_from").cast("double")
+    seen, sold = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("last_seen", "sold_date"))
+    by_price = F.when(asked == "price-asc", price).when(asked == "price-desc", -price)
+    return by_price, F.when(asked == "dateupdated-desc", -seen).when(asked == "solddate-desc", -sold)
+
+
+def search_own_pages(matches: DataFrame, keys: Sequence[str] = ("q_name",), page: int = 1, size: int = 20, parts: int = 32) -> DataFrame:
+    """The page each search asks for, in the search's own order; adds ``position``, counted from the first page.
+
+    ``matches`` are rows of ``search``. Per search, optional columns ``q_sort`` (an order of ``search_page``; any other
+    one, or NULL, is by id), ``q_page`` and ``q_size``; where they are missing, NULL or under 1, ``page`` and ``size`` hold. Ties
+    are by id. All orders go through the same two windows: a search's matches are dealt into ``parts`` by id, each
+    part keeps what could still be on the page, and only these rows are ranked together.
+    """
+    for name in ("q_sort", "q_page", "q_size"):
+        if name not in matches.columns:
+            matches = matches.withColumn(name, F.lit(None).cast("string" if name == "q_sort" else "int"))
+
+    def asked(name: str, default: int) -> Column:
+        return F.when(F.col(name) >= 1, F.col(name)).otherwise(default).cast("long")
+
+    number, length = asked("q_page", page), asked("q_size", size)
+    by_price, by_time = _order_keys()
+    rows = matches.withColumn("_price", by_price).withColumn("_time", by_time).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    order = [F.asc_nulls_last("_price"), F.asc_nulls_last("_time"), F.col("id")]
+    near = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    rows = rows.withColumn("position", near).where(F.col("position") <= number * length)
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows.where((F.col("position") > (number - 1) * length) & (F.col("position") <= number * length)).drop("_price", "_time", "_part")

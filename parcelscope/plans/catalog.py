@@ -144,6 +144,18 @@ def search_results(spark, sf):
     return M.search_page(rows, "price-asc", page=2, size=5).select("q_name", *whole("position"), "id", *whole("price_from"))
 
 
+@query
+def search_own_pages(spark, sf):
+    """Every search's own order, page and page size at once; buy and rent searches take theirs from the brief's number."""
+    nth = F.regexp_extract("brief_id", r"\d+", 0).cast("int")
+    orders = F.array(*[F.lit(o) for o in ("price-asc", "price-desc", "dateupdated-desc", "id")])
+    asks = B.searches(T.briefs(spark, sf)).withColumn("name", F.concat_ws("/", "brief_id", "name"))
+    asks = asks.withColumn("sort", F.when(F.col("mode") == "sold", F.col("sort")).otherwise(F.get(orders, nth % 4)))
+    asks = asks.withColumn("page", 1 + nth % 2).withColumn("size", 2 + nth % 3)
+    rows = M.search_own_pages(M.search(T.listings(spark, sf), asks))
+    return rows.select("q_name", "q_sort", *whole("position"), "id", *whole("price_from"))
+
+
 # ---- expressions ------------------------------------------------------------------
 
 

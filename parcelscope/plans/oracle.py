@@ -295,6 +295,11 @@ add("cache_latest", f"""SELECT CAST(l_orderkey AS VARCHAR) AS key, l_returnflag
   FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC, confidence DESC NULLS LAST) = 1""")
 add("search_results", """SELECT q_name, position, id, price_from FROM (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY price_from NULLS LAST, id) AS position FROM matches)
   WHERE position BETWEEN 6 AND 10""", LISTINGS_E, BRIEFS, SEARCHES)
+_OWN = SEARCHES.replace("s.name AS q_name", """s.brief_id || '/' || s.name AS q_name, CAST(regexp_extract(s.brief_id, '\\d+') AS INT) AS nth,
+  CASE WHEN s.mode = 'sold' THEN s.sort ELSE ['price-asc', 'price-desc', 'dateupdated-desc', 'id'][CAST(regexp_extract(s.brief_id, '\\d+') AS INT) % 4 + 1] END AS q_sort""")
+add("search_own_pages", """SELECT q_name, q_sort, position, id, price_from FROM (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY CASE WHEN q_sort = 'price-asc' THEN price_from END NULLS LAST,
+  CASE WHEN q_sort = 'price-desc' THEN price_from END DESC NULLS LAST, CASE q_sort WHEN 'dateupdated-desc' THEN last_seen WHEN 'solddate-desc' THEN sold_date END DESC NULLS LAST, id) AS position FROM matches)
+  WHERE position > (nth % 2) * (2 + nth % 3) AND position <= (1 + nth % 2) * (2 + nth % 3)""", LISTINGS_E, BRIEFS, _OWN)
 
 # ---- expressions ------------------------------------------------------------------
 
