@@ -13,28 +13,74 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOT_WIDTH = 1024.0
+CELLS = 1024  # slots that a group's range is cut into
+SALTS = 16  # parts that a group's distinct values are dealt into where they meet its range
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def group_profile(
-    df: DataFrame,
-    keys: Sequence[str],
-    measures: dict[str, Column],
-    slot_width: float = SLOT_WIDTH,
-) -> DataFrame:
+def middle_range(counts: DataFrame, grain: Sequence[str], levels: int = 2, cells: int = CELLS) -> DataFrame:
+    """Per group of ``counts`` (``grain``, value, c; values distinct): a range that holds both middle values.
+
+    ``n``, ``low`` and ``high`` describe the whole group, ``first`` and ``last`` the range, ``before`` counts the rows below it.
+    Each level cuts the range into ``cells`` equal slots and keeps what lies between the least and the greatest value of
+    the middle slot, so that the width follows the group's own values: an outlier is gone after one level, and cents or
+    shares are split as well as millions. If the two middle values lie in two slots, the range is just these two.
+    """
+    grain = list(grain)
+    ranges = counts.groupBy(*grain).agg(F.sum("c").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ranges = ranges.withColumns({"first": F.col("low"), "last": F.col("high"), "before": F.lit(0).cast("bigint")})
+    by_key = Window.partitionBy(*grain).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    left_mid, right_mid = middle_positions()
+    known = ["n", "low", "high"]
+    for _ in range(levels):
+        width = F.col("last") - F.col("first")
+        place = F.when(width > 0, F.floor((F.col("value") - F.col("first")) / width * cells)).otherwise(0)
+        slots = (
+            within_range(counts, ranges, grain)
+            .groupBy(*grain, F.least(place, F.lit(cells - 1)).alias("slot"))
+            .agg(
+                F.sum("c").alias("c"), F.min("value").alias("least"), F.max("value").alias("greatest"),
+                F.max_by("c", "value").alias("c_greatest"), *[F.first(x).alias(x) for x in (*known, "before")],
+            )
+            .withColumn("upto", F.col("before") + F.sum("c").over(by_key))
+        )
+        middle = slots.where((F.col("upto") - F.col("c") <= right_mid) & (F.col("upto") > left_mid))
+        two = F.count("*") == 2
+        ranges = middle.groupBy(*grain).agg(
+            *[F.first(x).alias(x) for x in known],
+            F.when(two, F.min("greatest")).otherwise(F.min("least")).alias("first"),
+            F.when(two, F.max("least")).otherwise(F.max("greatest")).alias("last"),
+            F.when(two, F.min("upto") - F.min_by("c_greatest", "slot")).otherwise(F.min(F.col("upto") - F.col("c"))).alias("before"),
+        )
+    return ranges
+
+
+def middle_positions() -> tuple[Column, Column]:
+    """Zero-based positions of the two middle rows of ``n``."""
+    return F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+
+
+def within_range(counts: DataFrame, ranges: DataFrame, grain: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Rows of ``counts`` inside their group's range. A hot group's values are dealt over ``salts`` parts, each with a copy of the range."""
+    part = F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
+    dealt = counts.withColumn("_part", part)
+    copies = ranges.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = same(dealt, copies, [*grain, "_part"]) & dealt["value"].between(copies["first"], copies["last"])
+    return dealt.join(copies, on).select(*[dealt[k] for k in grain], *[copies[c] for c in ranges.columns if c not in grain], "value", "c")
+
+
+def group_profile(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], levels: int = 2, cells: int = CELLS) -> DataFrame:
     """Per group: ``<m>_n``, ``<m>_min``, ``<m>_median``, ``<m>_max`` of each measure.
 
     The median is exact. Rows are first reduced to one count per distinct value, which
-    combines map-side and spreads a hot group over its values. The counts per value slot
-    (``slot_width`` wide) say which slot holds the middle; only the values of that slot
-    are ordered. No task ever sees a whole group: at most its slots, or one slot.
+    combines map-side and spreads a hot group over its values. ``middle_range`` then narrows each group to the values
+    around its middle, and only those are ordered: about a ``cells ** levels``-th of its distinct values, if they lie evenly.
     """
     keys = list(keys)
-    cells = F.explode(
+    shown = F.explode(
         F.array(*[
             F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"))
             for name, value in measures.items()
@@ -42,41 +88,16 @@ def group_profile(
     )
     grain = [*keys, "measure"]
     counts = (
-        df.select(*keys, cells.alias("cell"))
+        df.select(*keys, shown.alias("cell"))
         .select(*keys, "cell.measure", "cell.value")
         .where(F.col("value").isNotNull())
         .groupBy(*grain, "value")
         .agg(F.count("*").alias("c"))
-        .withColumn("slot", F.floor(F.col("value") / slot_width))
-    )
-    by_key = Window.partitionBy(*grain)
-    running = by_key.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots = (
-        counts.groupBy(*grain, "slot")
-        .agg(F.sum("c").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .select(
-            *grain,
-            "slot",
-            (F.sum("c").over(running) - F.col("c")).alias("before"),
-            F.col("c").alias("here"),
-            F.sum("c").over(by_key).alias("n"),
-            F.min("lo").over(by_key).alias("low"),
-            F.max("hi").over(by_key).alias("high"),
-        )
-    )
-    # zero-based positions of the two middle values
-    left_mid, right_mid = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    middle = slots.where(
-        (F.col("before") <= right_mid) & (F.col("before") + F.col("here") > left_mid)
-    )
-    inside = (
-        counts.alias("v")
-        .join(middle.alias("m"), same(counts, middle, [*grain, "slot"]))
-        .select(*[F.col(f"m.{k}") for k in [*grain, "slot", "before", "n", "low", "high"]], "v.value", "v.c")
     )
-    in_slot = Window.partitionBy(*grain, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("c").over(in_slot)
-    picked = inside.withColumn("upto", upto).where(
+    inside = within_range(counts, middle_range(counts, grain, levels, cells), grain)
+    running = Window.partitionBy(*grain).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    left_mid, right_mid = middle_positions()
+    picked = inside.withColumn("upto", F.col("before") + F.sum("c").over(running)).where(
         (F.col("upto") > left_mid) & (F.col("upto") - F.col("c") <= right_mid)
     )
     stats = []

@@ -25,6 +25,30 @@ def test_group_profile_matches_statistics(spark):
         assert r.w_median == statistics.median([2 * v for v in vs])
 
 
+def test_middle_range_follows_each_groups_own_values(spark):
+    """Shares, cents, millions and a far outlier: each group's middle is a few values, whatever their width."""
+    n = 60000
+    wide = {"share": F.col("id") / n, "narrow": 5e6 + F.col("id") / 1e6, "large": F.col("id") * 977.0, "outlier": F.when(F.col("id") == 7, 1e15).otherwise(F.col("id") / 7)}
+    df = spark.range(n)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("value")) for k, v in wide.items()]))
+    counts = df.select(cells.alias("x")).select("x.*").groupBy("k", "value").agg(F.count("*").alias("c"))
+    inside = skew.within_range(counts, skew.middle_range(counts, ["k"]), ["k"]).groupBy("k").count()
+    left = {r["k"]: r["count"] for r in inside.collect()}
+    assert set(left) == set(wide) and max(left.values()) <= 60  # one level leaves an outlier's group whole, the second splits it
+    got = {r.k: r for r in skew.group_profile(counts, ["k"], {"v": F.col("value")}).collect()}
+    for k, v in wide.items():
+        values = [r[0] for r in df.select(v.cast("double")).collect()]
+        assert (got[k].v_n, got[k].v_median, got[k].v_max) == (n, statistics.median(values), max(values))
+
+
+def test_group_profile_of_repeats_and_odd_values(spark):
+    rows = [("two", 1.0)] * 3 + [("two", 9.0)] * 3 + [("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)] + [("same", 4.0)] * 5 + [("tiny", 5e-324), ("tiny", 0.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for levels in (0, 1, 3):
+        got = {r.k: (r.v_n, r.v_min, r.v_median, r.v_max) for r in skew.group_profile(df, ["k"], {"v": F.col("v")}, levels, 4).collect()}
+        assert got == {"two": (6, 1.0, 5.0, 9.0), "inf": (3, 1.0, 2.0, float("inf")), "same": (5, 4.0, 4.0, 4.0), "tiny": (2, 0.0, 0.0, 5e-324)}
+
+
 def test_with_previous_crosses_chunks(spark):
     rng = random.Random(9)
     rows, seq = [], 0
