@@ -26,6 +26,8 @@ from parcelscope.operators.skew import first_k
 from parcelscope.session import settle
 
 PROFILE = ("area", "kind", "beds")
+HOT_PROFILES = 64  # profiles that may be split; any other one holds less than a 64th of the subjects
+SPLIT_ROWS = 1_000_000  # subjects of one profile that one task may join
 
 
 @dataclass(frozen=True)
@@ -112,8 +114,8 @@ def _score(c: Column) -> Column:
 def profile_comps(
     listings: DataFrame, subjects: DataFrame, neighbours: DataFrame, rule: CompRule, exclude_self: bool = False
 ) -> DataFrame:
-    """One row per distinct profile with ``comps``: the best entries, best first."""
-    profiles = profiled(subjects).select(*PROFILE).distinct()
+    """One row per distinct profile with ``comps``: the best entries, best first, and ``subjects``, how many share it."""
+    profiles = profiled(subjects).groupBy(*PROFILE).agg(F.count("*").alias("subjects"))
     pools = pool(listings, profiles.select("area").distinct(), neighbours, rule)
     rows = profiles.join(pools, profiles["area"].eqNullSafe(pools["area"])).drop(pools["area"])
 
@@ -137,17 +139,39 @@ def profile_comps(
 
     scored = F.filter(F.transform(F.filter("pool", fits), ranked), lambda c: c["score"] >= rule.min_score)
     keep = rule.keep + 1 if exclude_self else rule.keep  # one spare entry per subject
-    best = rows.select(*PROFILE, F.slice(F.sort_array(scored), 1, keep).alias("comps"))
+    best = rows.select(*PROFILE, "subjects", F.slice(F.sort_array(scored), 1, keep).alias("comps"))
     return settle(best, f"{rule.mode}-profiles")
 
 
-def attach(subjects: DataFrame, per_profile: DataFrame) -> DataFrame:
-    """Left join of per-profile columns onto subjects carrying the profile columns."""
-    right = per_profile.select([F.col(c).alias(f"_{c}") if c in PROFILE else F.col(c) for c in per_profile.columns])
+def hot_profiles(per_profile: DataFrame, split: int = SPLIT_ROWS) -> DataFrame:
+    """Profiles shared by more than ``split`` subjects, the ``HOT_PROFILES`` largest at most, and the parts to deal each into."""
+    parts = F.ceil(F.col("subjects") / split).cast("int")
+    return per_profile.where(F.col("subjects") > split).orderBy(F.desc("subjects"), *PROFILE).limit(HOT_PROFILES).select(*PROFILE, parts.alias("parts"))
+
+
+def _meets(rows: DataFrame, right: DataFrame, keys: tuple[str, ...] = PROFILE) -> DataFrame:
+    """Left join on columns of the same names, NULL equal to NULL."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in keys})
     on = F.lit(True)
-    for c in PROFILE:
+    for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return subjects.join(right, on, "left").drop(*[f"_{c}" for c in PROFILE])
+    return rows.join(right, on, "left").drop(*[f"_{c}" for c in keys])
+
+
+def attach(subjects: DataFrame, per_profile: DataFrame, split: int = SPLIT_ROWS) -> DataFrame:
+    """Left join of per-profile columns onto subjects carrying the profile columns.
+
+    If the profiles know how many ``subjects`` share them, hot ones are dealt: their subjects go to parts by a hash of the
+    id, and their row is copied into these parts only. The list of hot profiles is at most ``HOT_PROFILES`` rows and
+    is broadcast to both sides. The counts steer the balance only; any counts give the same rows.
+    """
+    if "subjects" not in per_profile.columns:
+        return _meets(subjects, per_profile)
+    hot = F.broadcast(hot_profiles(per_profile, split))
+    parts = F.coalesce("parts", F.lit(1))
+    left = _meets(subjects, hot).withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    right = _meets(per_profile, hot).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "subjects")
+    return _meets(left, right, (*PROFILE, "_part")).drop("_part")
 
 
 def comparables(

@@ -45,6 +45,7 @@ def sold_evidence(per_profile: DataFrame) -> DataFrame:
     rows = rows.withColumn("per_bed", per_bed).withColumn("per_sqm", per_sqm)
     return rows.select(
         *C.PROFILE,
+        "subjects",
         F.size("basis").alias("basis_n"),
         use_same.alias("same_bed"),
         N.array_median(F.col("basis")).alias("basis_median"),
@@ -65,7 +66,7 @@ def _rates(name: str) -> list[Column]:
 
 def rent_evidence(per_profile: DataFrame) -> DataFrame:
     rents = F.transform("comps", lambda c: c["price"])
-    return per_profile.select(*C.PROFILE, F.size(rents).alias("rents_n"), N.array_median(rents).alias("rents_median"))
+    return per_profile.select(*C.PROFILE, "subjects", F.size(rents).alias("rents_n"), N.array_median(rents).alias("rents_median"))
 
 
 def comparable_signal() -> Column:

@@ -23,7 +23,7 @@ def decide(
     rent = C.profile_comps(listings, subjects, neighbours, C.RENT)
     rows = C.attach(C.profiled(paired), S.sold_evidence(sold))
     rows = C.attach(rows, S.rent_evidence(rent))
-    prefix = lambda df, p: df.select(*C.PROFILE, *[F.col(c).alias(f"{p}_{c}") for c in READ])
+    prefix = lambda df, p: df.select(*C.PROFILE, "subjects", *[F.col(c).alias(f"{p}_{c}") for c in READ])
     rows = C.attach(rows, prefix(C.comp_stats(sold), "sold"))
     rows = C.attach(rows, prefix(C.comp_stats(rent), "rent"))
 

@@ -35,6 +35,31 @@ def test_enum_and_display_types_match(spark):
     assert len(comp_ids(spark, pool, listing(id="t", property_type="APARTMENT_UNIT_FLAT"))) == 3
 
 
+def test_hot_profile_is_dealt_over_tasks(spark):
+    """Nine subjects in ten share one profile (another one has NULLs); without broadcasts of tables the largest join task stays near the median."""
+    n = 20000
+    subjects = spark.range(n).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, F.concat(F.lit("a"), (F.col("id") % 70).cast("string"))).alias("area"),
+        F.when(F.col("id") % 10 > 0, "house").alias("kind"), F.lit(2.0).alias("beds"),
+    )
+    counted = subjects.groupBy(*C.PROFILE).agg(F.count("*").alias("subjects"))
+    profiles = counted.withColumn("value", F.concat_ws("/", "area", "kind", "beds")).withColumn("shared", F.col("subjects"))
+    assert [tuple(r) for r in C.hot_profiles(profiles, 1500).collect()] == [("hot", "house", 2.0, 12)]
+    keys = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keys, ("-1", "false", "6"), strict=True):
+            spark.conf.set(k, v)
+        rows = C.attach(subjects, profiles, 250).withColumn("task", F.spark_partition_id())
+        sizes = sorted(r["count"] for r in rows.groupBy("task").count().collect())
+        assert sum(sizes) == n and len(sizes) == 6 and sizes[-1] <= 1.6 * sizes[3]
+        plain = C.attach(subjects, profiles.drop("subjects")).collect()
+        assert {(r.id, r.value, r.shared) for r in rows.collect()} == {(r.id, r.value, r.shared) for r in plain}
+    finally:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+
+
 def test_subject_without_area_sees_everything(spark):
     pool = [sold("a", 900000, "2026-06-01", suburb="Manly"), sold("b", 900000, "2026-06-02", beds=5.0)]
     # type alone scores 2, which is not enough; equal beds add 3
