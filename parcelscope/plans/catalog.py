@@ -20,9 +20,10 @@ from parcelscope.operators import (
 )
 from parcelscope.operators.rules import exploded
 from parcelscope.operators.store import Store, newest_wins
+from parcelscope.operators.versions import Version, read_versions, write_version
 from parcelscope.plans import decision as D, reports as R
 from parcelscope.session import settle, shared_folder
-from parcelscope.sources import pages as P, providers, raw as W, tables as T
+from parcelscope.sources import connectors, pages as P, providers, raw as W, tables as T
 from parcelscope.streaming import observe as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +368,26 @@ def seen_stored(spark, sf):
     return rows.select("hunt", us("run_at").alias("run_us"), "id", flag(F.col("is_new")).alias("is_new"), us("first_run").alias("first_us"), us("last_run").alias("last_us"))
 
 
+@query
+def stored_versions(spark, sf):
+    """Listings written by three generations of a table: columns added with defaults, whole numbers that became wider."""
+    listings, folder = T.listings(spark, sf), shared_folder(spark, "versions")
+    some = lambda c: F.when(F.col("listing_key") % 5 > 0, F.col(c)).alias(c)
+    base = [F.col("id"), F.col("suburb")]
+    generations = {
+        1: [*base, F.col("price_from").cast("int"), F.col("beds").cast("smallint")],
+        2: [*base, F.col("price_from").cast("int"), F.col("beds").cast("int"), some("listing_type")],
+        3: [*base, F.col("price_from").cast("bigint"), F.col("beds").cast("double"), some("listing_type"), some("status")],
+    }
+    defaults = {2: {"listing_type": "listing"}, 3: {"status": "unknown"}}
+    versions = []
+    for number, columns in generations.items():
+        rows = listings.where(F.col("listing_key") % 3 == number - 1).select(*columns)
+        write_version(rows, folder, number)
+        versions.append(Version(number, rows.schema, defaults.get(number, {})))
+    return read_versions(spark, folder, versions).withColumn("version", F.col("version").cast("bigint"))
+
+
 @query
 def why_now(spark, sf):
     return H.why_now(_events(spark, sf))
@@ -849,6 +870,42 @@ def page_cards(spark, sf):
     )
 
 
+def _text_files(rows: DataFrame, purpose: str) -> str:
+    """Rows as text files of one JSON object a line; their folder."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.select(F.to_json(F.struct("*"))).write.text(path)
+    return path
+
+
+@query
+def source_cards(spark, sf):
+    """Cards of captured pages that lie in a folder of text files, read by the source's name."""
+    connectors.register(spark)
+    folder = _text_files(T.captured_search_pages(spark, sf), "captures")
+    rows = providers.search("captured_search_pages", settle(spark.read.format("captured_folder").load(folder), "captured"))
+    return rows.select("source_url", *whole("position"), "id", "listing_type", "url", "price_display", "suburb", "beds", "source_provider")
+
+
+@query
+def source_searches(spark, sf):
+    """Enabled searches of definition files, one search for each customer, and what they would match by area and size."""
+    connectors.register(spark)
+    key, areas = F.col("c_custkey"), T.nation_areas(spark, sf)
+    customers = T.table(spark, sf, "customer").join(areas, F.col("c_nationkey") == F.col("n_nationkey"))
+    filters = F.struct(F.lit("sale").alias("mode"), F.array(F.col("n_name")).alias("suburbs"), (key % 4).cast("int").alias("beds_min"))
+    hunt = F.struct(
+        F.concat(F.lit("search-"), key.cast("string")).alias("name"), F.when(key % 5 == 0, False).when(key % 5 > 2, True).alias("enabled"),
+        (key % 50).cast("int").alias("max_items"), filters.alias("filters"),
+    )
+    folder = _text_files(customers.select(F.array(hunt).alias("hunts")), "definitions")
+    asks = spark.read.format("saved_searches").load(folder)
+    asked = asks.select("name", "max_items", F.col("filters.mode").alias("mode"), F.explode("filters.suburbs").alias("suburb"), F.col("filters.beds_min").alias("beds_min"))
+    supply = T.listings(spark, sf).groupBy("mode", "suburb", "beds").agg(F.count("*").alias("c"))  # searches meet counts, not listings
+    found = asked.join(supply, ["mode", "suburb"], "left")
+    n = F.coalesce(F.sum(F.when(F.col("beds") >= F.col("beds_min"), F.col("c"))), F.lit(0))
+    return found.groupBy("name", "max_items", "suburb", "beds_min").agg(n.alias("n")).select("name", "suburb", *whole("max_items", "beds_min", "n"))
+
+
 @query
 def page_details(spark, sf):
     rows = providers.search("captured_detail_pages", T.captured_detail_pages(spark, sf))

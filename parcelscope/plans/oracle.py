@@ -790,6 +790,16 @@ add("page_cards", """SELECT 'https://listings.example/sale/page-' || (k // 20) A
   CAST(k + 10000 AS VARCHAR) AS id, 'listing' AS listing_type, 'https://listings.example/' || (k + 10000) AS url, price_display, suburb, postcode, beds, CASE WHEN cars = 0 THEN 1e0 ELSE cars END AS cars, property_type,
   CASE WHEN floorplan THEN 2 ELSE 1 END AS images, CAST(has_agent AS BIGINT) AS agents, CASE WHEN mode = 'sold' THEN CAST(last_seen AS VARCHAR) END AS off_date, 'captured_search_pages' AS source_provider, 1 AS sources
   FROM listings WINDOW w AS (PARTITION BY k // 20 ORDER BY k)""", LISTINGS)
+add("source_cards", """SELECT 'https://listings.example/sale/page-' || (k // 20) AS source_url,
+  CASE WHEN (k // 20) % 3 = 0 THEN count(*) OVER (PARTITION BY k // 20) - row_number() OVER w ELSE row_number() OVER w - 1 END AS position,
+  CAST(k + 10000 AS VARCHAR) AS id, 'listing' AS listing_type, 'https://listings.example/' || (k + 10000) AS url, price_display, suburb, beds, 'captured_search_pages' AS source_provider
+  FROM listings WINDOW w AS (PARTITION BY k // 20 ORDER BY k)""", LISTINGS)
+add("source_searches", """SELECT 'search-' || c_custkey AS name, n_name AS suburb, CAST(c_custkey % 50 AS BIGINT) AS max_items, CAST(c_custkey % 4 AS BIGINT) AS beds_min,
+  CAST(coalesce(sum(s.c), 0) AS BIGINT) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN (SELECT suburb, beds, count(*) AS c FROM listings WHERE mode = 'sale' GROUP BY suburb, beds) s ON s.suburb = n_name AND s.beds >= c_custkey % 4
+  WHERE c_custkey % 5 <> 0 GROUP BY c_custkey, n_name""", LISTINGS)
+add("stored_versions", """SELECT id, suburb, price_from, CAST(beds AS DOUBLE) AS beds, CASE WHEN k % 3 = 0 THEN 'listing' WHEN k % 5 > 0 THEN listing_type END AS listing_type,
+  CASE WHEN k % 3 < 2 THEN 'unknown' WHEN k % 5 > 0 THEN status END AS status, CAST(k % 3 + 1 AS BIGINT) AS version FROM listings""", LISTINGS)
 add("page_details", """SELECT CAST(k + 10000 AS VARCHAR) AS id, status, 'https://listings.example/' || (k + 10000) AS url, headline, price_display, price_from, price_to, suburb, beds,
   CASE WHEN cars = 0 THEN 1e0 ELSE cars END AS cars, property_type, sold_price, CASE WHEN sold_price IS NOT NULL THEN CAST(sold_date AS VARCHAR) END AS sold_date,
   CASE WHEN sold_price IS NOT NULL THEN sale_method END AS sale_method, CAST(floorplan AS BIGINT) AS floorplan,
