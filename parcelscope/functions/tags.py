@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope import vocab
 
@@ -48,8 +48,15 @@ def first_of(values: Column, count: int | None, start: int = 1) -> Column:
     return F.slice(values, start, (1 << 31) - 1 if count is None else count)
 
 
-def has_media(images: Column, *kinds: str) -> Column:
-    return F.coalesce(F.exists(images, lambda i: F.lower(i["type"]).isin(*kinds)), F.lit(False))
+def has_media(df: DataFrame, *kinds: str, column: str = "images") -> Column:
+    """Whether an image of these kinds is there. An image's kind is its type, or its category where the type is missing or empty."""
+    fields = df.schema[column].dataType.elementType.names
+
+    def kind(image: Column) -> Column:
+        named = [F.nullif(image[c], F.lit("")) for c in ("type", "category") if c in fields]
+        return F.lower(F.coalesce(*named, F.lit("")))
+
+    return F.coalesce(F.exists(column, lambda i: kind(i).isin(*kinds)), F.lit(False))
 
 
 def grouped_media(images: Column) -> Column:

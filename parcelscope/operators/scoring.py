@@ -38,6 +38,44 @@ def _weighted(flags: str, weights: list[float]) -> Column:
     return got / sum(weights)
 
 
+def _explained(ratio: Column, investor: Column, bare: Column) -> tuple[Column, Column]:
+    """What speaks against the brief (``violations``), and what else there is to know (``signals``), in words."""
+
+    def lacks(value: str, bound: str, what: str) -> Column:
+        have, want = F.coalesce(F.col(value), F.lit(0.0)), F.col(bound)
+        words = F.concat(have.cast("int").cast("string"), F.lit(f" {what}, "), want.cast("int").cast("string"), F.lit(" or more asked"))
+        return F.when(N.present(want).isNotNull() & (have < want), words)
+
+    def percent(value: Column) -> Column:
+        return N.whole(value * 100).cast("string")
+
+    road, floor = F.col("_breaks.main_road"), F.col("_breaks.ground_floor")
+    top = F.coalesce(F.try_element_at(F.col("risks.top"), F.lit(1))["label"], F.lit("unresolved risk"))
+    against = F.array(
+        lacks("beds", "beds_min", "beds"), lacks("baths", "baths_min", "baths"), lacks("cars", "cars_min", "car spaces"),
+        F.when(ratio > 1.08, F.concat(percent(ratio - 1), F.lit("% over the buy ceiling"))),
+        F.when(F.col("_breaks.overlay"), "The text names a flood or fire overlay; check it"),
+        F.when(floor & road, "Ground floor on a main road"),
+        F.when(bare & N.present(F.col("cars_min")).isNotNull(), "The brief asks for parking and none is in sight"),
+        F.when(F.col("risks.has_dealbreaker"), F.concat(F.lit("Deal-breaker: "), top)),
+    )
+    rent = F.format_number(N.present(F.col("weekly_rent")), 0)
+    known = F.array(
+        F.when(ratio <= 0.85, F.concat(percent(1 - ratio), F.lit("% under the buy ceiling")))
+        .when(ratio <= 1.0, "In the upper part of the budget")
+        .when(ratio <= 1.08, "Just over the budget at the middle of the guide"),
+        F.when(road & ~floor, "A main road may be near; listen for noise"),
+        F.when(
+            investor,
+            F.when(
+                F.col("_gross").isNotNull(),
+                F.concat(F.lit("Gross yield "), F.format_string("%.1f", N.rounded(F.col("_gross"), 1)), F.lit("% at a rent of $"), rent, F.lit(" a week")),
+            ).otherwise("No rents are known to read a yield from"),
+        ),
+    )
+    return F.array_compact(against), F.array_compact(known)
+
+
 def with_viability(df: DataFrame) -> DataFrame:
     """Add ``viability``; needs brief columns, ``risks`` and ``weekly_rent`` (may be NULL).
 
@@ -97,6 +135,7 @@ def with_viability(df: DataFrame) -> DataFrame:
         F.when(F.col(f"_likes.{n}"), n.replace("_", " ")) for n, *_ in vocab.PREFERENCES
     ]
     misses = [F.when(~F.col(f"_likes.{n}"), n.replace("_", " ")) for n, *_ in vocab.PREFERENCES]
+    violations, signals = _explained(ratio, investor, bare)
     return rows.withColumn(
         "viability",
         F.struct(
@@ -112,6 +151,8 @@ def with_viability(df: DataFrame) -> DataFrame:
             F.col("_gross").alias("gross_yield_pct"),
             F.array_compact(F.array(*likes)).alias("matched"),
             F.array_compact(F.array(*misses)).alias("missing"),
+            violations.alias("violations"),
+            signals.alias("signals"),
         ),
     ).drop("_text", "_ask", "_likes", "_breaks", "_hard", "_budget", "_penalty", "_liked", "_gross", "_lens", "_mixed", "_score")
 

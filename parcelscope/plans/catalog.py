@@ -619,6 +619,22 @@ def signal_captured(spark, sf):
     return _signal(spark, sf, "avm")
 
 
+@query
+def signal_provided(spark, sf):
+    """Signals of a value provider that a caller adds: here what a listing's line items add up to, in thousands."""
+    listings, near = _market(spark, sf)
+
+    def priced(subjects: DataFrame) -> DataFrame:
+        parts = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("top"))
+        point = N.whole(F.col("top") * 3)
+        given = S.signal(F.col("n") > 3, "provided", point, point - 1000, point + 1000, F.lit("medium"), F.col("n"), "line items")
+        return subjects.select("id").join(parts, "id").select("id", given.alias("value"))
+
+    rows = S.signals(listings, listings.where("mode = 'sale'"), near, T.avm_cache(spark, sf), [priced])
+    rows = S.signal_rows(rows).where("method = 'provided'")
+    return rows.select("id", "point", "low", "high", "confidence", *whole("n"))
+
+
 @query
 def signal_hedonic(spark, sf):
     return _signal(spark, sf, "hedonic")
@@ -707,6 +723,17 @@ def viability(spark, sf):
     )
 
 
+@query
+def viability_notes(spark, sf):
+    """What speaks against each listing, what else there is to know, and which wishes it meets."""
+    listings = T.listings(spark, sf)
+    rows = K.with_risks(_paired(spark, sf)).withColumn("area", F.lower("suburb"))
+    rents = C.weekly_rent(listings, rows.select("suburb", "beds")).select("area", "beds", "weekly_rent")
+    rows = V.with_viability(rows.join(rents, ["area", "beds"], "left"))
+    v = lambda c: listed(F.col(f"viability.{c}")).alias(c)
+    return rows.select("brief_id", "id", v("violations"), v("signals"), v("matched"), v("missing"))
+
+
 @query
 def decision(spark, sf):
     rows = D.summary(_decisions(spark, sf, T.listings(spark, sf)))
@@ -769,6 +796,28 @@ def folio(spark, sf):
     )
 
 
+@query
+def folio_people(spark, sf):
+    """The report frame with stored agents and times, for listings that name nobody reachable or no times."""
+    decisions = _decisions(spark, sf, T.listings(spark, sf))
+    rows = R.folio(decisions, T.reachable_agents(spark, sf), H.inspection_table(T.observations(spark, sf)), limit=10)
+    people = F.transform("people", lambda a: F.concat_ws(":", a["name"], a["mobile"]))
+    return rows.select(
+        "brief_id", *whole("position"), "id", listed(F.array_sort(people)).alias("people"), *whole("n_photos"),
+        F.size("times").cast("bigint").alias("n_times"), F.get("times", F.lit(0))["start"].alias("first_time"),
+    )
+
+
+@query
+def digest_scored(spark, sf):
+    """New, changed and stale orders of quarterly searches; new ones by the score of the listing. Only new ones are scored."""
+    members = T.shipment_members(spark, sf)
+    diff = settle(U.latest_diff(members, T.runs_of(members), H.price_events(T.price_history(spark, sf))), "diff")
+    fresh = diff.where("section = 'new'").select("id").distinct()
+    scores = D.summary(_decisions(spark, sf, T.listings(spark, sf).join(fresh, "id", "left_semi")))
+    return R.digest(diff, scores, top=20).select("section", *whole("rank"), "hunt", "id", "score")
+
+
 @query
 def digest(spark, sf):
     members, runs = _runs(spark, sf)

@@ -546,6 +546,8 @@ _VERDICT = "CASE WHEN side = 'below' AND (point - ask) / point >= 0.07e0 THEN 'u
 CASES = ",".join([LISTINGS, NEIGHBOURS, SOLD, RENT, _signal_views(SUBJ.format(mode="sale"))])
 for _name, _method in (("signal_median", "comparable_median"), ("signal_per_bed", "per_bed"), ("signal_per_sqm", "per_sqm"), ("signal_yield", "yield_implied"), ("signal_captured", "avm"), ("signal_hedonic", "hedonic")):
     add(_name, f"SELECT id, point, low, high, confidence, CAST(n AS BIGINT) AS n FROM sig WHERE method = '{_method}'", CASES)
+add("signal_provided", f"""SELECT s.id, {whole('top * 3')}::DOUBLE AS point, ({whole('top * 3')} - 1000)::DOUBLE AS low, ({whole('top * 3')} + 1000)::DOUBLE AS high, 'medium' AS confidence, n
+  FROM listings s JOIN (SELECT l_orderkey AS lk, count(*) AS n, max(l_extendedprice) AS top FROM lineitem GROUP BY l_orderkey) ON lk = s.k WHERE s.mode = 'sale' AND n > 3""", LISTINGS)
 add("signal_order", f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY weight DESC, pos) AS rank, method, {rounded('weight', 4)} AS weight FROM sig", CASES)
 add("reconcile", f"SELECT id, point, low, high, signal_count, confidence, {rounded('agr', 3)} AS agreement FROM rec", CASES)
 add("ask_position", f"""SELECT id, {whole('ask')} AS asking, {whole('point - ask')} AS negotiation_headroom, side || ' independent range' AS position, {_VERDICT} AS verdict FROM asks""", CASES)
@@ -673,6 +675,31 @@ SCORES = ",".join([RISKS, RENTS, _score_views("risks")])
 add("viability", f"""SELECT brief_id, id, score, band, buyer_type AS lens, {rounded('hard', 2)} AS hard_criteria, {rounded('budget', 2)} AS budget_fit, {rounded('lens', 2)} AS yield_or_lifestyle,
   {rounded('liked', 2)} AS preference_match, {rounded('pen', 2)} AS dealbreaker_penalty, gross AS gross_yield_pct FROM scored""", SCORES)
 
+
+
+def _noted(*cases: str) -> str:
+    return f"coalesce(list_aggregate(list_filter([{', '.join(f'CASE {c} END' for c in cases)}], lambda x: x IS NOT NULL), 'string_agg', '|'), '')"
+
+
+def _lacks(have: str, bound: str, what: str) -> str:
+    return f"WHEN {bound} > 0 AND coalesce({have}, 0) < {bound} THEN CAST(coalesce({have}, 0) AS INT) || ' {what}, ' || CAST({bound} AS INT) || ' or more asked'"
+
+
+_AGAINST = _noted(
+    _lacks("beds", "beds_min", "beds"), _lacks("baths", "baths_min", "baths"), _lacks("cars", "cars_min", "car spaces"),
+    f"WHEN ratio > 1.08e0 THEN {whole('(ratio - 1) * 100')} || '% over the buy ceiling'", "WHEN break_overlay THEN 'The text names a flood or fire overlay; check it'",
+    "WHEN break_ground_floor AND break_main_road THEN 'Ground floor on a main road'",
+    "WHEN cars = 0 AND NOT like_secure_parking AND cars_min > 0 THEN 'The brief asks for parking and none is in sight'", "WHEN breaker THEN 'Deal-breaker: ' || top_risk",
+)
+_KNOWN = _noted(
+    f"WHEN ratio <= 0.85e0 THEN {whole('(1 - ratio) * 100')} || '% under the buy ceiling' WHEN ratio <= 1e0 THEN 'In the upper part of the budget' WHEN ratio <= 1.08e0 THEN 'Just over the budget at the middle of the guide'",
+    "WHEN break_main_road AND NOT break_ground_floor THEN 'A main road may be near; listen for noise'",
+    f"WHEN buyer_type <> 'investor' THEN NULL WHEN gross IS NOT NULL THEN 'Gross yield ' || printf('%.1f', {rounded('gross', 1)}) || '% at a rent of $' || format('{{:,}}', CAST(weekly_rent AS BIGINT)) || ' a week' ELSE 'No rents are known to read a yield from'",
+)
+_LIKES = [(f"like_{n}", n.replace("_", " ")) for n, *_ in vocab.PREFERENCES]
+add("viability_notes", f"""SELECT brief_id, id, {_AGAINST} AS violations, {_KNOWN} AS signals, {_noted(*[f"WHEN {c} THEN '{t}'" for c, t in _LIKES])} AS matched,
+  {_noted(*[f"WHEN NOT {c} THEN '{t}'" for c, t in _LIKES])} AS missing FROM scored""", SCORES)
+
 # ---- decisions --------------------------------------------------------------------
 
 
@@ -718,6 +745,14 @@ add("folio", f"""SELECT brief_id, pos AS position, id, headline, address_display
   CAST(beds AS INT) || ' bed · ' || CAST(baths AS INT) || ' bath · ' || CAST(cars AS INT) || ' car · ' || property_type AS config, 'photo.jpg' AS hero,
   CASE WHEN floorplan THEN 'floorplan.jpg' END AS floorplan, score AS fit, {rounded('hard', 2)} AS brief_match, {rounded('budget', 2)} AS budget_fit, {rounded('lens', 2)} AS lens_fit,
   {rounded('liked', 2)} AS preference_match, {rounded('pen', 2)} AS penalty, fairness, conf AS confidence, top_risk, action AS next_action FROM ranked""", DECISIONS, RANKED)
+FOLIO_PEOPLE = """
+stored AS (SELECT id, list_aggregate(list_sort(list(name || coalesce(':' || tel, ''))), 'string_agg', '|') AS names, bool_or(TRUE) AS any_stored FROM (
+  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS id, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN '04' || s_suppkey WHEN 1 THEN '02' || s_suppkey END AS tel
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY id),
+stored_times AS (SELECT CAST(user_id AS VARCHAR) AS id, count(DISTINCT strftime(ts, '%Y-%m-%dT%H:00:00')) AS n, min(strftime(ts, '%Y-%m-%dT%H:00:00')) AS first FROM events WHERE event_id % 2 = 0 GROUP BY 1)"""
+add("folio_people", """SELECT brief_id, pos AS position, r.id, CASE WHEN has_agent AND has_contact THEN 'Agent ' || (k % 50) || ':0400000000' WHEN s.id IS NOT NULL THEN names
+    WHEN has_agent THEN 'Agent ' || (k % 50) ELSE '' END AS people, 1::BIGINT AS n_photos, CASE WHEN has_visit THEN 1 ELSE coalesce(t.n, 0) END AS n_times,
+  CASE WHEN has_visit THEN last_seen || 'T10:00:00' ELSE t.first END AS first_time FROM ranked r LEFT JOIN stored s ON s.id = r.id LEFT JOIN stored_times t ON t.id = r.id""", DECISIONS, RANKED, FOLIO_PEOPLE)
 _SERIOUS = "top_severity IN ('dealbreaker', 'major')"
 RECOMMEND = f"""
 notes AS (SELECT *, CASE WHEN conf = 'none' THEN 'low' ELSE conf END AS overall, list_filter([
@@ -739,6 +774,20 @@ add("actions", """SELECT brief_id, id, list_aggregate(list_filter([CASE WHEN bre
   lambda x: x IS NOT NULL), 'string_agg', '|') AS actions, action AS best FROM dec""", TEXT_DECISIONS)
 add("digest", """SELECT section, row_number() OVER (PARTITION BY section ORDER BY hunt, id) AS rank, hunt, id, coalesce(why_now, '') AS why_now FROM diff LEFT JOIN why_now USING (id)
   WHERE section IS NOT NULL QUALIFY rank <= 3""", ALL_EVENTS, DIFF.format(events="ev"), WHY)
+SHIPMENTS = """
+smembers AS (SELECT 'search-' || (l_suppkey % 5) AS hunt, date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH AS run_at, CAST(l_orderkey AS VARCHAR) AS id, max(l_quantity) > 48 AS off
+  FROM lineitem GROUP BY ALL),
+slast AS (SELECT hunt, run_at, prev_at FROM (SELECT hunt, run_at, lag(run_at) OVER w AS prev_at, row_number() OVER (PARTITION BY hunt ORDER BY run_at DESC) AS r
+  FROM (SELECT DISTINCT hunt, run_at FROM smembers) WINDOW w AS (PARTITION BY hunt ORDER BY run_at)) WHERE r = 1),
+smoved AS (SELECT id, max(ts) AS moved_at FROM (SELECT CAST(l_orderkey AS VARCHAR) AS id, l_shipdate AS ts, round_even(l_extendedprice, 0) AS v,
+  lag(round_even(l_extendedprice, 0)) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pv FROM lineitem) WHERE v <> pv GROUP BY id),
+sspans AS (SELECT hunt, id, min(run_at) AS f, max(run_at) AS l, arg_max(off, run_at) AS off FROM smembers GROUP BY ALL),
+sdiff AS (SELECT hunt, id, CASE WHEN l < run_at THEN 'stale' WHEN f = run_at AND NOT off THEN 'new' WHEN f < run_at AND NOT off AND moved_at > prev_at THEN 'changed' END AS section
+  FROM sspans JOIN slast USING (hunt) LEFT JOIN smoved USING (id))"""
+add("digest_scored", """SELECT section, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'new' THEN score ELSE 0 END DESC, hunt, id) AS rank, hunt, id, score FROM (
+  SELECT section, hunt, d.id, CASE WHEN section = 'new' THEN coalesce(b.score, 0e0) ELSE coalesce(n.score, 0e0) END AS score FROM sdiff d LEFT JOIN (SELECT id, max(score) AS score FROM dec GROUP BY id) b ON b.id = d.id
+  LEFT JOIN (SELECT id, max(score) AS score FROM dec WHERE id IN (SELECT id FROM sdiff WHERE section = 'new') GROUP BY id) n ON n.id = d.id WHERE section IS NOT NULL)
+  QUALIFY rank <= 20""", DECISIONS, SHIPMENTS)
 add("card_summaries", "SELECT id, price_display AS price, address_display AS address, beds, baths, cars, url FROM listings", LISTINGS)
 
 # ---- inspections and facts --------------------------------------------------------

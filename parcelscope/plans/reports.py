@@ -39,17 +39,21 @@ def shortlist(decisions: DataFrame, limit: int | None = 8, beds_max: float | Non
     return rows if limit is None else rows.limit(limit)
 
 
-def doubts(confidence: Column, n: Column, critical: Column, top: Column, action: Column, overall: Column, most: int | None = 3) -> Column:
-    """Notes on why a recommendation might be wrong, ``most`` at most."""
+def doubts(
+    confidence: Column, n: Column, critical: Column, top: Column, action: Column, overall: Column, most: int | None = 3,
+    priced: Column | None = None, scanned: Column | None = None,
+) -> Column:
+    """Notes on why a recommendation might be wrong, ``most`` at most. ``priced``, ``scanned``: whether there is a price read, a risk scan."""
+    yes = F.lit(True)
     thin = confidence.isNull() | confidence.isin("none", "low") | (n < 4)
     notes = F.array_compact(
         F.array(
-            F.when(thin, "The comparables are thin; the price read may change."),
+            F.when(~(yes if priced is None else priced), "There is no price read.").when(thin, "The comparables are thin; the price read may change."),
             F.when(critical > 0, "Critical checks are still open."),
             F.when(
                 top["severity"].isin(*SERIOUS),
                 F.concat(F.lit("One risk may outweigh the rest: "), top["label"], F.lit(".")),
-            ),
+            ).when(~(yes if scanned is None else scanned), "There is no risk scan."),
             F.when(action == "pass", "The advice is to pass unless new facts turn up."),
         )
     )
@@ -69,10 +73,12 @@ def recommendation(decisions: DataFrame, notes: int | None = 3, actions: int | N
     overall = L.recommendation_confidence(F.col("confidence"), F.col("fit"))
     authored = lambda c: F.col(c) if c in decisions.columns else F.lit(None).cast("string")
     step = F.concat_ws(" · ", F.col("best_action.label"), F.col("best_action.deadline"), F.col("best_action.detail"))
+    priced, scanned = F.col("confidence").isNotNull() | F.col("n").isNotNull(), F.col("risks").isNotNull()
+    named = F.coalesce(F.nullif("address_display", F.lit("")), F.nullif("headline", F.lit("")))
     best = ranked(decisions, 3).select(
         "brief_id", "rank",
         F.struct(
-            F.col("rank"), F.col("id"), F.col("address_display").alias("address"), F.col("fit"), overall.alias("confidence"),
+            F.col("rank"), F.col("id"), F.col("address_display").alias("address"), named.alias("named"), F.col("fit"), overall.alias("confidence"),
             first_of(
                 F.array_compact(
                     F.array(
@@ -86,7 +92,7 @@ def recommendation(decisions: DataFrame, notes: int | None = 3, actions: int | N
                 F.array(authored("caveat"), F.when(serious, F.concat_ws(": ", top["severity"], top["label"])))
             ).alias("watch"),
             step.alias("step"),
-            doubts(F.col("confidence"), F.col("n"), F.col("diligence.critical_count"), top, F.col("best_action.type"), overall, notes).alias("why_wrong"),
+            doubts(F.col("confidence"), F.col("n"), F.col("diligence.critical_count"), top, F.col("best_action.type"), overall, notes, priced, scanned).alias("why_wrong"),
         ).alias("p"),
     )
     picks = best.groupBy("brief_id").agg(F.sort_array(F.collect_list("p")).alias("p"))  # three at most
@@ -96,7 +102,7 @@ def recommendation(decisions: DataFrame, notes: int | None = 3, actions: int | N
         lambda x: F.concat(F.lit("Keep warm: "), x["address"], F.lit(" in case the first choice falls through.")),
     )
     lead = F.concat(
-        F.lit("Lead with "), F.coalesce(F.nullif(first["address"], F.lit("")), F.lit("the standout property")),
+        F.lit("Lead with "), F.coalesce(first["named"], F.lit("the standout property")),
         F.lit(". Its fit is the best at "), F.format_string("%.1f", first["fit"]), F.lit("/10."),
     )
     return picks.select(

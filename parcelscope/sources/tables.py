@@ -290,6 +290,29 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as quarterly runs of searches (the supplier's key, modulo 5) that saw the order; the latest run sees new ones."""
+    quarter = F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")) + F.expr("INTERVAL 3 MONTHS")
+    return table(spark, sf_dir, "lineitem").groupBy(
+        F.concat(F.lit("search-"), (F.col("l_suppkey") % 5).cast("string")).alias("hunt"), quarter.alias("run_at"), F.col("l_orderkey").cast("string").alias("id")
+    ).agg((F.max("l_quantity") > 48).alias("off_market"))
+
+
+def runs_of(members: DataFrame) -> DataFrame:
+    """Run records of memberships; none of them blocked."""
+    return members.groupBy("hunt", "run_at").agg(F.count("*").alias("total_results")).withColumn("blocked", F.lit(False))
+
+
+def reachable_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored agents of each listing, some with a mobile or a landline."""
+    key = F.col("agent_id")
+    rows = agent_links(spark, sf_dir).join(agents(spark, sf_dir), "agent_id")
+    return rows.select(
+        "id", "name", F.when(key % 3 == 0, F.concat(F.lit("04"), key.cast("string"))).alias("mobile"),
+        F.when(key % 3 == 1, F.concat(F.lit("02"), key.cast("string"))).alias("landline"), F.lit(None).cast("string").alias("email"),
+    )
+
+
 def avm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured estimates keyed by listing id (from lineitem) or by address (from customer)."""
     by_id = (

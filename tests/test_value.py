@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from samples import brief, frame, listing, rent, sold
 
+from parcelscope.functions.tags import has_media
 from parcelscope.operators import briefs as B, checks as K, comps as C, inspections as I, market as M, scoring as V, signals as S
 from parcelscope.plans import decision as D, reports as R
 
@@ -201,3 +202,51 @@ def test_a_repeated_cache_key_gives_one_estimate(spark):
     cache = spark.createDataFrame([("1", "p", "avm", 5.0, 4.0, 6.0, "high", day(1)), ("1", "q", "avm", 7.0, 6.0, 8.0, "high", day(2))], kind)
     (got,) = S.captured_estimates(subjects, cache).collect()
     assert got.avm.point == 7.0
+
+
+def test_score_says_why(spark):
+    rows = spark.createDataFrame(
+        [
+            ("a", 1.0, 1.0, 0.0, 2.0, 2.0, 1.0, 1_200_000, 1_000_000, "Ground floor on a main road", "owner_occupier", None),
+            ("b", 3.0, 2.0, 2.0, 2.0, None, None, 840_000, 1_000_000, "Set on a busy road", "investor", 700.0),
+            ("c", None, None, None, 2.0, 0.0, 0.0, None, 1_000_000, "Quiet", "investor", 700.0),
+            ("d", 2.0, 1.0, 1.0, 2.0, 1.0, 1.0, 1_050_000, 1_000_000, "Quiet", "", None),
+        ],
+        "id string, beds double, baths double, cars double, beds_min double, baths_min double, cars_min double, price_exact bigint, buy_max bigint, description string, buyer_type string, weekly_rent double",
+    ).select("*", F.lit(None).cast("bigint").alias("price_from"), F.lit(None).cast("bigint").alias("price_to"), F.lit("").alias("headline"), F.array().cast("array<string>").alias("features"))
+    label = F.struct(F.lit("Overlay").alias("label"))
+    risks = F.struct((F.col("id") == "a").alias("has_dealbreaker"), F.lit(0.1).alias("penalty"), F.array(label).alias("top"))
+    got = {r.id: r.viability for r in V.with_viability(rows.withColumn("risks", risks)).collect()}
+    assert got["a"].violations == [
+        "1 beds, 2 or more asked", "1 baths, 2 or more asked", "0 car spaces, 1 or more asked", "20% over the buy ceiling", "Ground floor on a main road",
+        "The brief asks for parking and none is in sight", "Deal-breaker: Overlay",
+    ]
+    assert got["a"].signals == [] and got["b"].violations == []
+    assert got["b"].signals == ["16% under the buy ceiling", "A main road may be near; listen for noise", "Gross yield 4.3% at a rent of $700 a week"]
+    assert got["c"].violations == ["0 beds, 2 or more asked"] and got["c"].signals == ["No rents are known to read a yield from"]
+    assert got["d"].signals == ["Just over the budget at the middle of the guide"]
+    assert all(len(v.matched) + len(v.missing) == 10 for v in got.values())
+
+
+def test_media_kind_falls_back_to_the_category(spark):
+    images = "array<struct<url:string,type:string,category:string>>"
+    rows = spark.createDataFrame(
+        [("type", [("u", "FloorPlan", None)]), ("category", [("u", None, "floorplan")]), ("empty", [("u", "", "Floorplan")]), ("other", [("u", "photo", "floorplan")]), ("none", [("u", None, None)]), ("no list", None)],
+        f"id string, images {images}",
+    )
+    assert {r.id for r in rows.where(has_media(rows, "floorplan")).collect()} == {"type", "category", "empty"}
+    plain = rows.withColumn("images", F.transform("images", lambda i: F.struct(i["url"].alias("url"), i["type"].alias("type"))))
+    assert {r.id for r in plain.where(has_media(plain, "floorplan")).collect()} == {"type"}
+
+
+def test_doubts_name_what_is_missing(spark):
+    rows = spark.createDataFrame(
+        [("nothing", None, None, None), ("read", "high", 9, "minor"), ("thin", "low", 2, "major"), ("unscanned", "high", 9, None)], "id string, confidence string, n int, severity string"
+    )
+    risk = F.when(F.col("severity").isNotNull(), F.struct("severity", F.lit("Noise").alias("label")))
+    notes = R.doubts(F.col("confidence"), F.col("n"), F.lit(0), risk, F.lit("inspect"), F.col("confidence"), None, F.col("confidence").isNotNull(), F.col("severity").isNotNull())
+    got = {r.id: r.notes for r in rows.select("id", notes.alias("notes")).collect()}
+    assert got == {
+        "nothing": ["There is no price read.", "There is no risk scan."], "read": [],
+        "thin": ["The comparables are thin; the price read may change.", "One risk may outweigh the rest: Noise."], "unscanned": ["There is no risk scan."],
+    }
