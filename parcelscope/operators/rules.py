@@ -35,5 +35,6 @@ class RuleSet:
 def exploded(df: DataFrame, items: str, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Long form of a rule array: one row per hit, ranked."""
     fields = [f for f in df.schema[items].dataType.elementType.fieldNames() if f not in ("order", "ordinal")]
-    rows = df.select(*keys, F.posexplode(items).alias("p", "i"))
+    # the outer form, as the other one adds a size test of its own, which repeats every step behind the array
+    rows = df.select(*keys, F.posexplode_outer(items).alias("p", "i")).where(F.col("p").isNotNull())
     return rows.select(*keys, (F.col("p") + 1).alias("rank"), *[f"i.{f}" for f in fields])
