@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from parcelscope import schema
 PART_BYTES = 32 * 1024 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
 SEARCH = schema.HUNTS[schema.HUNTS.index("struct<"):-1]  # one definition
+SPACE = re.compile(r"\s*")
 LINES = (".jsonl", ".json", ".txt")  # files of one JSON page a line, cut anywhere; every other file is one page
 
 
@@ -159,10 +161,11 @@ class SearchReader(DataSourceReader):
         decoder = json.JSONDecoder()
         for name, _, _ in partition.ranges:
             with store.open_input_file(name) as file:
-                text = file.read().decode("utf-8").strip()
-            while text:
-                found, end = decoder.raw_decode(text)
-                text = text[end:].lstrip()
+                text = file.read().decode("utf-8")
+            at = SPACE.match(text).end()
+            while at < len(text):
+                found, end = decoder.raw_decode(text, at)
+                at = SPACE.match(text, end).end()
                 for hunt in found.get("hunts") or ():
                     if self.every or hunt.get("enabled") is not False:
                         yield ordered(hunt, self.columns)

@@ -57,3 +57,19 @@ def test_missing_and_empty_folders(spark, tmp_path):
     assert spark.read.format("captured_folder").load(empty).count() == 0
     with pytest.raises(Exception, match="nowhere"):
         spark.read.format("saved_searches").load(str(tmp_path / "nowhere")).count()
+
+
+def test_a_large_file_of_definitions_is_read_in_one_pass(tmp_path):
+    """The text that is left must not be copied for each definition."""
+    import time
+
+    def seconds(n):
+        lines = [json.dumps({"hunts": [{"name": f"s{i}", "filters": {"mode": "sale", "suburbs": ["X"]}}]}) for i in range(n)]
+        folder = written(tmp_path / f"n{n}", "one.json", [" ", *lines, ""])
+        reader = C.SearchReader(folder, C.StructType.fromDDL("name string"), False, 10**9)
+        began = time.perf_counter()
+        assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [f"s{i}" for i in range(n)]
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * seconds(10_000)
