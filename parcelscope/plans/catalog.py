@@ -22,7 +22,7 @@ from parcelscope.operators.rules import exploded
 from parcelscope.operators.store import Store, newest_wins
 from parcelscope.operators.versions import Version, read_versions, write_version
 from parcelscope.plans import decision as D, reports as R
-from parcelscope.session import settle, shared_folder
+from parcelscope.session import settle, shared_folder, spread
 from parcelscope.sources import connectors, pages as P, providers, raw as W, tables as T
 from parcelscope.streaming import observe as O
 
@@ -748,7 +748,7 @@ def shortlist(spark, sf):
 
 def _raw_listings(spark, sf) -> DataFrame:
     """Every listing as stored text only: its fields as JSON, at a place that differs from listing to listing."""
-    listings = T.listings(spark, sf)
+    listings = spread(T.listings(spark, sf), "listing_key")
     model = F.to_json(F.struct("*"))
     deep = F.concat(F.lit('{"props":{"pageProps":[{"ad":1},{"componentProps":{"listingModel":'), model, F.lit('}}],"build":"x"}}'))
     flat = F.concat(F.lit('{"listingModel":'), model, F.lit("}"))

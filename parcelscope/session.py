@@ -68,6 +68,16 @@ def made_folder(spark: SparkSession, path: str) -> str:
     return path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by a hash of ``keys`` over enough tasks for costly steps, however few row groups their files have.
+
+    The number is given, as adaptive execution would else merge small partitions: it goes by bytes, not by the work a row takes.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

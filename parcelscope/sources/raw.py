@@ -23,6 +23,12 @@ def _children(node: Column) -> Column:
     return F.coalesce(F.map_values(fields(node)), F.try_variant_get(node, "$", "array<variant>"))
 
 
+def _holds_values(node: Column) -> Column:
+    """Whether a node is an object or a list; all others end here and are not written."""
+    kind = F.schema_of_variant(node)
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
 def find_objects(payloads: DataFrame, raw: str, key: str, keep: tuple[str, ...] = ("id",), levels: int | None = None) -> DataFrame:
     """(keep, depth, found): every object that is the value of ``key`` anywhere in the text ``raw``, nested ones too.
 
@@ -37,7 +43,7 @@ def find_objects(payloads: DataFrame, raw: str, key: str, keep: tuple[str, ...]
         depth += 1
         if levels is not None and depth >= levels:
             break
-        open_nodes = open_nodes.select(*keep, F.explode(_children(node)).alias("_node")).where(_children(node).isNotNull())
+        open_nodes = open_nodes.select(*keep, F.explode_outer(_children(node)).alias("_node")).where(_holds_values(node))
         if open_nodes.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

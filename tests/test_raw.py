@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parcelscope.sources import raw as W
@@ -50,3 +51,16 @@ def test_fields_of_other_types_are_null(spark):
     one, two = sorted(W.typed(found, "found", schema, ("id",)).collect())
     assert (one.a, one.b, one.c, str(one.d), one.e[0].u) == (12, None, ["x"], "2026-01-02", "v")
     assert (two.a, two.b, two.c, two.d, two.e) == (7, 3.5, None, None, None)
+
+
+def test_plain_values_are_not_written_level_by_level(spark, monkeypatch):
+    """Only objects and lists can hold what is looked for; empty ones, nulls and plain values end where they stand."""
+    written = []
+    monkeypatch.setattr(W, "settle", lambda df, purpose: written.append(df.cache()) or written[-1])
+    text = '{"a":1,"b":"x","c":null,"d":[1,2,{"m":{"v":1,"m":{"v":2}}}],"e":{},"f":[],"m":{"v":3}}'
+    rows = spark.createDataFrame([("p", text), ("q", "[]"), ("r", "7"), ("s", "no json")], "id string, t string")
+    found = W.find_objects(rows, "t", "m")
+    got = found.select("id", "depth", F.try_variant_get("found", "$.v", "int").alias("v")).collect()
+    assert sorted(tuple(r) for r in got) == [("p", 0, 3), ("p", 2, 1), ("p", 3, 2)]
+    # d, e, f, m; then the object in d; then m in it; then m in that
+    assert [level.count() for level in written] == [3, 4, 1, 1, 1]
