@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelscope.functions.numbers import whole
-from parcelscope.session import settle
+from parcelscope.session import settle, spread
 
 # Short listing phrases; a listing takes a few of them by its key.
 PHRASES = (
@@ -169,7 +169,7 @@ def _raw_area(key: Column) -> Column:
 def text_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All listings; where a document has the listing's number, its whole text leads the description."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_key"), "text")
-    rows = listings(spark, sf_dir).join(docs, "listing_key", "left")
+    rows = spread(listings(spark, sf_dir), "listing_key").join(docs, "listing_key", "left")
     return rows.withColumn("description", F.concat_ws(". ", "text", "description")).drop("text")
 
 
