@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}  # folder of a local session that names none
@@ -78,6 +78,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row, however many later columns and filters read them.
+
+    The optimizer copies a costly expression into each filter that it moves below a projection, and interpreted ones into each
+    reader. It does neither across a generator, so the columns leave one as the fields of a single entry. They are worked
+    out even if nothing reads them.
+    """
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select("*", made.alias("_once")).select(*kept, *[F.col(f"_once.{n}") for n in columns])
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

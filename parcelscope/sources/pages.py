@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelscope import schema, vocab
 from parcelscope.functions.tags import first_of
+from parcelscope.session import once
 
 BASE_URL = "https://listings.example"
 _NEXT = r"(?is)<script[^>]*\bid=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>"
@@ -32,12 +33,16 @@ def _any(low: Column, markers) -> Column:
     return hit
 
 
+def lowered(html: Column) -> Column:
+    return F.lower(F.coalesce(html, F.lit("")))
+
+
 def structured(html: Column) -> Column:
-    return _any(F.lower(F.coalesce(html, F.lit(""))), vocab.STRUCTURED_MARKERS)
+    return _any(lowered(html), vocab.STRUCTURED_MARKERS)
 
 
 def marked(html: Column) -> Column:
-    return _any(F.lower(F.coalesce(html, F.lit(""))), vocab.BLOCK_MARKERS)
+    return _any(lowered(html), vocab.BLOCK_MARKERS)
 
 
 def _shorter(html: Column, short: int | None) -> Column:
@@ -84,32 +89,30 @@ def page_title(html: Column) -> Column:
 
 def embedded(pages: DataFrame, short: int | None = vocab.SHORT_PAGE_CHARS) -> DataFrame:
     """Add ``component``, ``digital``, ``ld`` of pages that are not marked as blocked, and ``denied_as``."""
-    html = F.col("html")
-    usable = structured(html) | ~marked(html)
-    cut = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    rows = pages.select(
-        "*",
-        F.when(hard_denied(html, short), page_class(html, short)).alias("denied_as"),
-        marked(html).alias("marked"),
-        F.from_json(F.when(usable, cut(_NEXT)), schema.NEXT).alias("next"),
-        F.from_json(F.when(usable, cut(_DIGITAL)), schema.DIGITAL).alias("inline"),
-        F.flatten(
-            F.transform(
-                F.when(usable, F.regexp_extract_all("html", F.lit(_LD), F.lit(1))),
-                lambda t: F.coalesce(F.from_json(t, schema.LD_ITEM), F.array().cast(schema.LD_ITEM)),
-            )
-        ).alias("ld"),
-    ).drop("html")
-    return (
-        rows.withColumn("component", F.col("next.props.pageProps.componentProps"))
-        .withColumn(
-            "digital",
-            F.coalesce(
-                "inline", F.col("next.props.pageProps.componentProps.digitalData"),
-                F.col("next.props.pageProps.layoutProps.digitalData"),
-            ),
+    rows = once(pages, _low=lowered(F.col("html")))
+    html, low = F.col("html"), F.col("_low")
+    data, block = _any(low, vocab.STRUCTURED_MARKERS), _any(low, vocab.BLOCK_MARKERS)
+    rows = once(rows, _data=data, marked=block)
+    data, block = F.col("_data"), F.col("marked")
+    usable = data | ~block
+    denied = ~data & (block | _shorter(html, short))
+    rows = once(rows, denied_as=F.when(denied, page_class(html, short))).drop("_low")
+    cut = lambda p: F.when(usable, F.regexp_extract(html, p, 1))
+    rows = once(rows, _next=cut(_NEXT), _inline=cut(_DIGITAL))
+    rows = once(rows, next=F.from_json(_set(F.col("_next")), schema.NEXT), inline=F.from_json(_set(F.col("_inline")), schema.DIGITAL))
+    ld = F.flatten(
+        F.transform(
+            F.when(usable, F.regexp_extract_all("html", F.lit(_LD), F.lit(1))),
+            lambda t: F.coalesce(F.from_json(t, schema.LD_ITEM), F.array().cast(schema.LD_ITEM)),
         )
-        .drop("next", "inline")
+    )
+    layout = F.col("next.props.pageProps.layoutProps.digitalData")
+    component = F.col("next.props.pageProps.componentProps")
+    return (
+        rows.withColumn("ld", ld)
+        .withColumn("component", component)
+        .withColumn("digital", F.coalesce("inline", component["digitalData"], layout))
+        .drop("html", "next", "inline", "_next", "_inline", "_data")
     )
 
 
@@ -135,7 +138,7 @@ def search_pages(pages: DataFrame, limit: int | None = None, short: int | None =
     """One row per search page: ids, counts, blocked markers, and the raw listing map."""
     rows = embedded(pages, short)
     ids = listing_ids(F.col("digital"), F.col("component"))
-    rows = rows.withColumn("listing_ids", F.slice(ids, 1, limit) if limit else ids)
+    rows = once(rows, listing_ids=F.slice(ids, 1, limit) if limit else ids)
     rows = rows.withColumn("search_result_count", result_count(F.col("digital"), F.col("component")))
     rows = rows.withColumn("listings_map", F.col("component.listingsMap"))
     shell = (
@@ -180,11 +183,10 @@ def _set(text: Column) -> Column:
 def with_card(rows: DataFrame, listing_id: Column, raw: Column, out: str = "c", images: int | None = 5) -> DataFrame:
     """Add the normalized search card; its model may sit under ``listingModel`` or at the top. ``images``: how many it keeps (None: all).
 
-    The two parses are columns of their own, so that each text is parsed once.
+    Each of the two texts is parsed once.
     """
-    rows = rows.withColumn("_outer", F.from_json(raw, schema.CARD)).withColumn(
-        "_model", F.from_json(F.coalesce("_outer.listingModel", raw), schema.CARD_MODEL)
-    )
+    rows = once(rows, _outer=F.from_json(raw, schema.CARD))
+    rows = once(rows, _model=F.from_json(F.coalesce("_outer.listingModel", raw), schema.CARD_MODEL))
     return rows.withColumn(out, F.when(raw.isNotNull(), _card(listing_id, raw, F.col("_outer"), F.col("_model"), images))).drop("_outer", "_model")
 
 
@@ -242,8 +244,10 @@ def _card(listing_id: Column, raw: Column, outer: Column, inner: Column, images:
 def search_cards(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """One normalized row per listing on each search page, in page order."""
     rows = search_pages(pages, limit)
-    rows = rows.select("url", F.posexplode("listing_ids").alias("position", "_id"), "listings_map")
-    rows = rows.withColumn("_raw", F.try_element_at("listings_map", "_id")).where(F.col("_raw").startswith("{"))
+    # looked up before the rows are multiplied, as each would carry the whole map
+    card = lambda x, i: F.struct(i.alias("position"), x.alias("_id"), F.try_element_at("listings_map", x).alias("_raw"))
+    rows = once(rows, _cards=F.filter(F.transform("listing_ids", card), lambda c: c["_raw"].startswith("{")))
+    rows = rows.select("url", F.explode("_cards").alias("_c")).select("url", "_c.*")
     found = with_card(rows, F.col("_id"), F.col("_raw"))
     return found.select(F.col("url").alias("source_url"), "position", "c.*")
 
@@ -358,19 +362,19 @@ def detail_pages(pages: DataFrame, wanted: str | None = None, short: int | None
         entries, lambda e: F.coalesce(F.get_json_object(e["value"], "$.id"), F.lit("")) == F.coalesce(asked, F.lit("-"))
     )
     chosen = F.coalesce(F.get(by_id, F.lit(0)), F.get(entries, F.lit(0)))["value"]
-    rows = rows.select(
-        F.col("url").alias("source_url"),
-        (F.col("denied_as").isNotNull() | F.col("marked")).alias("blocked"),
-        F.from_json(detail_text, schema.DETAIL).alias("d"),
-        F.coalesce(asked, own, F.lit("")).alias("_id"),
-        F.when(detail_text.isNotNull(), F.try_element_at(cmap, own)).otherwise(chosen).alias("_raw"),
+    rows = once(
+        rows,
+        d=F.from_json(detail_text, schema.DETAIL),
+        _raw=F.when(detail_text.isNotNull(), F.try_element_at(cmap, own)).otherwise(chosen),
+    ).select(
+        F.col("url").alias("source_url"), (F.col("denied_as").isNotNull() | F.col("marked")).alias("blocked"),
+        "d", F.coalesce(asked, own, F.lit("")).alias("_id"), "_raw",
     )
     rows = with_card(rows, F.col("_id"), F.col("_raw"))
     bare = F.col("d").isNull()
     own_id = F.when(bare, F.col("c.id")).otherwise(F.col("_id"))
     found = F.when(~bare | F.col("c").isNotNull(), detail_listing(own_id, F.col("d"), F.col("c"), bare))
-    # exploding drops pages without a listing; a filter would be pushed below the parses and repeat them
-    rows = rows.select("source_url", "blocked", F.explode(F.array_compact(F.array(found))).alias("l"))
+    rows = once(rows.drop("_raw"), l=found).where(F.col("l").isNotNull())
     return rows.select("source_url", "blocked", "l.*")
 
 

@@ -442,10 +442,8 @@ def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captured_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search result pages of ``PAGE_SIZE`` listings with their embedded data."""
-    rows = page_listings(spark, sf_dir).select(
-        F.floor(F.col("listing_key") / PAGE_SIZE).alias("page_no"),
-        F.struct("listing_key", "id", _card_json().alias("card")).alias("c"),
-    )
+    paged = page_listings(spark, sf_dir).withColumn("page_no", F.floor(F.col("listing_key") / PAGE_SIZE))
+    rows = spread(paged, "page_no").select("page_no", F.struct("listing_key", "id", _card_json().alias("card")).alias("c"))
     pages = rows.groupBy("page_no").agg(F.sort_array(F.collect_list("c")).alias("cards"))  # PAGE_SIZE at most
     ids = F.transform("cards", lambda c: c["id"])
     # the map's values are JSON texts already, so the object is put together as text
@@ -504,4 +502,4 @@ def captured_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     html = F.concat(F.lit("<html><body>"), _script('id="__NEXT_DATA__" type="application/json"', nexts), F.lit("</body></html>"))
     url = F.concat(F.lit("https://listings.example/"), F.col("id"))
-    return settle(page_listings(spark, sf_dir).select(url.alias("url"), html.alias("html")), "detail-pages")
+    return settle(spread(page_listings(spark, sf_dir), "listing_key").select(url.alias("url"), html.alias("html")), "detail-pages")

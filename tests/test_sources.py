@@ -114,3 +114,12 @@ def test_facts_from_text(spark):
     got = FX.facts_from_text(pages(spark, "CPI rose\n 3.1 % this year", "nothing"), [{"key": "cpi", "label": "CPI", "pattern": r"rose\s+([0-9.]+\s*%)"}])
     rows = got.orderBy("url").collect()
     assert (rows[0].value, rows[0].notes, rows[1].value, rows[1].notes) == ("3.1 %", None, None, vocab.FACT_NOT_FOUND)
+
+
+def test_no_filter_repeats_the_parsing_of_a_page(spark):
+    pages = spark.createDataFrame([("u", "<html></html>")], "url string, html string")
+    for rows in (P.search_cards(pages), P.detail_pages(pages)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and not [line for line in filters if "from_json" in line or "regexp_extract" in line or "html" in line]
+        assert plan.count("regexp_extract(html") == 2
