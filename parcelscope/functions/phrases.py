@@ -52,6 +52,33 @@ def bounded(pattern: str) -> bool:
     return not optional and all(WORD.match(c) and not c[1:].startswith("?") for c in _choices(inner))
 
 
+def _literal(choice: str) -> str:
+    """The longest text that every match of a choice contains; empty if none is known."""
+    runs, units = [""], UNIT.findall(choice)
+    if "|" in units or any(u.startswith("(") for u in units):
+        return ""
+    for unit, after in zip(units, [*units[1:], ""], strict=True):
+        if len(unit) > 1 or unit == "?" or after == "?":
+            runs.append("")
+        else:
+            runs[-1] += unit
+    return max(runs, key=len)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """As ``rlike`` of the pattern with Unicode word characters; its choices are first looked for by their fixed text."""
+    if not re.fullmatch(f"(?:{PART})+", pattern):
+        return text.rlike("(?U)" + pattern)
+    hit = F.lit(False)
+    for choice in _choices(pattern):
+        fixed = _literal(choice)
+        if fixed == choice and fixed:
+            hit = hit | text.contains(fixed)
+        else:
+            hit = hit | (text.contains(fixed) & text.rlike("(?U)" + choice))
+    return hit
+
+
 class Phrases:
     """Named patterns over lower-case text; ``excerpts`` once a text, then ``has`` and ``evidence`` by name."""
 
@@ -78,10 +105,13 @@ class Phrases:
             return X.has(text, self.patterns[name])
         return F.coalesce(F.exists(excerpts, lambda e: e.rlike(start)), F.lit(False))
 
-    def evidence(self, name: str, text: Column, excerpts: Column) -> Column:
-        """As ``text.evidence``: the first words that match, or NULL."""
+    def words(self, name: str, text: Column, excerpts: Column) -> Column:
+        """The first words that match; empty or NULL for none."""
         start = self._first(name)
         if start is None:
-            return X.evidence(text, self.patterns[name])
-        first = F.get(F.filter(excerpts, lambda e: e.rlike(start)), F.lit(0))
-        return X.truthy(F.regexp_extract(first, start, 0))
+            return F.regexp_extract(text, "(?U)" + self.patterns[name], 0)
+        return F.regexp_extract(F.get(F.filter(excerpts, lambda e: e.rlike(start)), F.lit(0)), start, 0)
+
+    def evidence(self, name: str, text: Column, excerpts: Column) -> Column:
+        """As ``text.evidence``: the first words that match, or NULL."""
+        return X.truthy(self.words(name, text, excerpts))

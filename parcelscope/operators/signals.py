@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
 from parcelscope.functions.payload import area_source
+from parcelscope.functions.phrases import found
 from parcelscope.operators import comps as C
+from parcelscope.session import once
 
 SIGNAL = "struct<method:string,point:double,low:double,high:double,confidence:string,n:int,provider:string,source:string>"
 
@@ -98,12 +100,12 @@ def per_sqm_signal(area: Column) -> Column:
 def hedonic_adjustment(text: Column, terms=vocab.HEDONIC, cap: float = vocab.HEDONIC_CAP) -> Column:
     total = F.lit(0.0)
     for pattern, weight, _ in terms:
-        total = total + F.when(text.rlike("(?U)" + pattern), weight).otherwise(0.0)
+        total = total + F.when(found(text, pattern), weight).otherwise(0.0)
     return F.greatest(F.lit(-cap), F.least(F.lit(cap), total))
 
 
 def hedonic_reasons(text: Column, terms=vocab.HEDONIC) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), label) for p, _, label in terms]))
+    return F.array_compact(F.array(*[F.when(found(text, p), label) for p, _, label in terms]))
 
 
 def hedonic_text() -> Column:
@@ -189,13 +191,9 @@ def with_signals(
     """
     band = F.col("yield_band") if "yield_band" in rows.columns else F.lit(None).cast("array<double>")
     two = F.when(F.size(band) == 2, band)
-    rows = (
-        rows.withColumn("own_area", area_source(rows)[1])
-        .withColumn("_text", hedonic_text())
-        .withColumn("adjustment", hedonic_adjustment(F.col("_text")))
-        .drop("_text")
-        .withColumn("band", L.yield_band(F.get(two, F.lit(0)), F.get(two, F.lit(1))))
-    )
+    rows = once(rows, own_area=area_source(rows)[1], _text=hedonic_text())
+    rows = once(rows, adjustment=hedonic_adjustment(F.col("_text"))).drop("_text")
+    rows = rows.withColumn("band", L.yield_band(F.get(two, F.lit(0)), F.get(two, F.lit(1))))
     parts = [
         comparable_signal(),
         per_bed_signal(),

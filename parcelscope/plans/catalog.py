@@ -22,7 +22,7 @@ from parcelscope.operators.rules import exploded
 from parcelscope.operators.store import Store, newest_wins
 from parcelscope.operators.versions import Version, read_versions, write_version
 from parcelscope.plans import decision as D, reports as R
-from parcelscope.session import settle, shared_folder, spread
+from parcelscope.session import once, settle, shared_folder, spread
 from parcelscope.sources import connectors, pages as P, providers, raw as W, tables as T
 from parcelscope.streaming import observe as O
 
@@ -233,7 +233,7 @@ def tag_reads(spark, sf):
 @query
 def preference_flags(spark, sf):
     rows = T.text_listings(spark, sf)
-    rows = V.with_phrases(rows.select("id", V.score_text(rows).alias("text")), "text", likes="f")
+    rows = V.with_phrases(once(rows, text=V.score_text(rows)).select("id", "text"), "text", likes="f")
     return rows.select("id", *[flag(F.col(f"f.{n}")).alias(n) for n, *_ in vocab.PREFERENCES])
 
 
@@ -642,8 +642,8 @@ def signal_hedonic(spark, sf):
 
 @query
 def hedonic_texts(spark, sf):
-    rows = T.text_listings(spark, sf)
-    text = S.hedonic_text()
+    rows = once(T.text_listings(spark, sf), _text=S.hedonic_text())
+    text = F.col("_text")
     return rows.select("id", N.rounded(S.hedonic_adjustment(text), 4).alias("adjustment"), listed(S.hedonic_reasons(text)).alias("reasons"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelscope import vocab
 from parcelscope.functions import text as X
-from parcelscope.functions.phrases import Phrases, bounded
+from parcelscope.functions.phrases import Phrases, bounded, found
 
 PATTERNS = vocab.RISK_PATTERNS | {n: p for n, p, _, _ in vocab.PREFERENCES} | {f"b_{n}": p for n, p in vocab.BREAKERS.items()}
 WORDS = (
@@ -45,3 +45,15 @@ def test_only_patterns_that_do_not_fit(spark):
     phrases = Phrases({"any": r"a|b"})
     row = spark.createDataFrame([("xxb",)], "t string").select(phrases.has("any", F.col("t"), phrases.excerpts(F.col("t"))).alias("h"))
     assert row.first().h is True
+
+
+def test_patterns_are_found_by_their_fixed_text_as_by_rlike(spark):
+    texts = ["", None, "walk up", "walkup", "walk-down", "a lift", "lifts", "forklift", "elevator", "northeast", "north facing", "due north", "waterfront", "by the water.",
+             "double lock-up", "double lockup", "study", "main road", "ab", "b", "a(b", "x|y", "écran water", "wateré"]
+    patterns = [p for p, *_ in vocab.HEDONIC] + [r"a?b", r"(a|b)c|lift", r"wal\w+", r"\bb\b", r"stud(y|io)"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = F.col("t")
+    rows = df.select(F.struct(*[found(text, p) for p in patterns]).alias("a"), F.struct(*[text.rlike("(?U)" + p) for p in patterns]).alias("b")).collect()
+    assert all(tuple(r.a) == tuple(r.b) for r in rows)
+    plan = df.select(found(text, "garden|terrace").alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
