@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
 from parcelscope.functions.phrases import Phrases
+from parcelscope.session import once
 
 
 def score_text(df: DataFrame) -> Column:
@@ -21,14 +22,14 @@ PHRASES = Phrases({n: p for n, p, _, _ in vocab.PREFERENCES} | {f"breaks_{n}": p
 
 def with_phrases(rows: DataFrame, text: str, likes: str = "_likes", breaks: str = "_breaks") -> DataFrame:
     """Add a struct of preferences and one of deal-breakers that the text names."""
-    rows = rows.withColumn("_excerpts", PHRASES.excerpts(F.col(text)))
+    rows = once(rows, _excerpts=PHRASES.excerpts(F.col(text)))
 
     def found(name: str) -> Column:
         return PHRASES.has(name, F.col(text), F.col("_excerpts"))
 
     liked = F.struct(*[found(n).alias(n) for n, *_ in vocab.PREFERENCES])
     broken = F.struct(*[found(f"breaks_{n}").alias(n) for n in vocab.BREAKERS])
-    return rows.withColumn(likes, liked).withColumn(breaks, broken).drop("_excerpts")
+    return once(rows, **{likes: liked, breaks: broken}).drop("_excerpts")
 
 
 def _weighted(flags: str, weights: list[float]) -> Column:
@@ -84,7 +85,7 @@ def with_viability(df: DataFrame) -> DataFrame:
     """
     text = score_text(df)
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
-    rows = df.withColumn("_text", text).withColumn("_ask", ask)
+    rows = once(df, _text=text, _ask=ask)
     rows = with_phrases(rows, "_text")
     investor = F.lower(F.coalesce(F.nullif("buyer_type", F.lit("")), F.lit("owner_occupier"))) == "investor"
 

@@ -700,14 +700,14 @@ def diligence(spark, sf):
     )
 
 
-def _decisions(spark, sf, subjects: DataFrame) -> DataFrame:
+def _decisions(spark, sf, subjects: DataFrame, deal: bool = True) -> DataFrame:
     listings, near = _market(spark, sf)
-    return D.decide(subjects, listings, T.briefs(spark, sf), near, T.avm_cache(spark, sf))
+    return D.decide(subjects, listings, T.briefs(spark, sf), near, T.avm_cache(spark, sf), deal)
 
 
 @query
 def actions(spark, sf):
-    rows = _decisions(spark, sf, T.text_listings(spark, sf))
+    rows = _decisions(spark, sf, T.text_listings(spark, sf), deal=False)
     return rows.select("brief_id", "id", listed(F.transform("actions", lambda a: a["type"])).alias("actions"), F.col("best_action.label").alias("best"))
 
 

@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from parcelscope.functions import labels as L, numbers as N
 from parcelscope.operators import checks, comps as C, scoring, signals as S
 from parcelscope.operators.briefs import with_brief
+from parcelscope.session import spread
 
 
 def decide(
-    subjects: DataFrame, listings: DataFrame, briefs: DataFrame, neighbours: DataFrame, cache: DataFrame | None = None
+    subjects: DataFrame, listings: DataFrame, briefs: DataFrame, neighbours: DataFrame, cache: DataFrame | None = None, deal: bool = True
 ) -> DataFrame:
     """One row per (brief, listing): risks, diligence, price read, estimate, score, actions.
 
     ``subjects`` are paired with the briefs naming their area. Both comparable profile
     tables are built once and written out; every read after that is a projection or an
-    equi join against one row per profile.
+    equi join against one row per profile. ``deal``: subjects are dealt over tasks by id, unless they are already.
     """
-    paired = with_brief(subjects, briefs)
+    paired = with_brief(spread(subjects, "id") if deal else subjects, briefs)
     sold = C.profile_comps(listings, subjects, neighbours, C.SOLD)
     rent = C.profile_comps(listings, subjects, neighbours, C.RENT)
     rows = C.attach(C.profiled(paired), S.sold_evidence(sold))
