@@ -760,7 +760,7 @@ def _raw_listings(spark, sf) -> DataFrame:
 @query
 def raw_models(spark, sf):
     """Listing objects found at unknown places of stored text."""
-    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel")
+    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel", narrow=True)
     schema = T.listings(spark, sf).select("price_from", "beds", "suburb", "images").schema
     rows = W.typed(found, "found", schema, ("id", "depth"))
     return rows.select("id", *whole("depth", "price_from", "beds"), "suburb", F.size("images").cast("bigint").alias("n_images"))
@@ -769,7 +769,7 @@ def raw_models(spark, sf):
 @query
 def raw_shortlist(spark, sf):
     """All active sale listings scored again from their stored text."""
-    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel", ())
+    found = W.find_objects(_raw_listings(spark, sf), "stored", "listingModel", (), narrow=True)
     subjects = W.typed(found, "found", T.listings(spark, sf).schema).where("mode = 'sale'")
     rows = R.shortlist(_decisions(spark, sf, settle(subjects, "from-raw")), limit=None, beds_max=None)
     return rows.select("brief_id", "id", "score", "band", "suburb", "fairness", "confidence", "top_risk")

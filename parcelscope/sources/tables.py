@@ -121,7 +121,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("region"),
         (F.lit(2000) + F.col("n_regionkey")).cast("string").alias("postcode"),
         F.to_date(seen).alias("last_seen"),
-        F.array(phrase(key * 7 + 3), phrase(key * 5 + 1)).alias("features"),
+        # a lambda keeps this long projection out of whole-stage code: as one method it would be too large for the JVM to compile
+        F.transform(F.array(key * 7 + 3, key * 5 + 1), phrase).alias("features"),
         F.array(F.struct(F.lit("Feature").alias("category"), phrase(key * 11 + 1).alias("name"))).alias("structured_features"),
         F.when(key % 3 == 0, F.array(_media("photo", 0), _media("floorplan", 1))).otherwise(F.array(_media("photo", 0))).alias("images"),
         F.when(key % 4 == 0, F.array().cast("array<struct<name:string,mobile:string,email:string,landline:string>>"))

@@ -64,3 +64,29 @@ def test_plain_values_are_not_written_level_by_level(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == [("p", 0, 3), ("p", 2, 1), ("p", 3, 2)]
     # d, e, f, m; then the object in d; then m in it; then m in that
     assert [level.count() for level in written] == [3, 4, 1, 1, 1]
+
+
+def test_a_narrow_search_finds_the_same(spark):
+    docs = [
+        '{"m":{"a":1}}', '{"x":[{"y":{"m":{"a":2,"m":{"a":3}}}},{"m":{}}],"m":"m"}', '{"x":{"\\u006d":{"a":4}},"m":{"n":{"\\u006d":{}}}}',
+        '{"t":"\\"m\\": and \\"m\\"","u":[[{"m":[{"m":{"a":5}}]}]]}', '{"m":null,"v":{"m":{"m":{"m":{"a":6}}}}}', '{"n":{"m":7}}', "[]", '"m"', "{broken", None,
+    ]
+    rows = payloads(spark, *docs)
+
+    def shown(found):
+        return sorted((r.id, r.depth, r.found.toJson()) for r in found.collect())
+
+    every = shown(W.find_objects(rows, "stored", "m"))
+    assert len(every) == 11
+    assert shown(W.find_objects(rows, "stored", "m", narrow=True)) == every
+
+
+def test_a_narrow_search_ends_with_the_last_named_object(spark, monkeypatch):
+    """Nodes stand in lists, as a column of VARIANT is taken apart when written."""
+    written = []
+    monkeypatch.setattr(W, "settle", lambda df, purpose: written.append(df.cache()) or written[-1])
+    text = '{"p":{"m":{"a":{"b":{"c":[1,[2]]}},"d":[{"e":{}}]}}}'
+    found = W.find_objects(payloads(spark, text, '{"m":{"f":{"g":{}}}}', '{"f":{"g":{}}}'), "stored", "m", narrow=True)
+    assert sorted((r.id, r.depth) for r in found.collect()) == [(0, 1), (1, 0)]
+    assert [level.count() for level in written] == [2, 1]
+    assert {level.schema["_node"].dataType.simpleString() for level in written} == {"array<variant>"}
