@@ -9,7 +9,8 @@ A text is cut only where no token can cross and nothing on one side changes the
 
 Cutting and telling equal pieces apart is done on Arrow columns, a slice of texts at a time; texts that need care (NUL, or
 runs of white space) are cut one by one. Equal pieces are encoded once; pieces not seen yet are encoded
-together, a bar as a word of its own between them, so that its id says where one ends. Ids are kept as little-endian
+together, a bar as a word of its own between them, so that its id says where one ends. Words of common letters need no bar if the
+tokenizer marks the last id of each word. Ids are kept as little-endian
 unsigned 32-bit bytes, so a document is a span of the bytes of its pieces.
 """
 
@@ -25,7 +26,9 @@ import pyarrow.compute as pc
 
 ROUGH = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S)(?=\s\S)")
-PLAIN_LETTERS = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters that stay one letter when normalised
+WORD_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters that stay one letter when normalised
+PLAIN_LETTERS = "0-9" + WORD_LETTERS
+PLAIN_WORD = re.compile(f"[{WORD_LETTERS}]+")
 STRAY = re.compile(f"(?<![{PLAIN_LETTERS}])[.,]")
 #: The same two as patterns for columns.
 STRAY_IN = f"(?:^|[^{PLAIN_LETTERS}])[.,]"
@@ -49,6 +52,19 @@ class PieceCache:
         one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a\tb"))
         self.word_level = one == two  # white space leaves no trace in the ids
         (self.bar,) = self.tokenizer.encode(" |", add_special_tokens=False).ids
+        self.last = self._last_ids() if self.word_level else None
+
+    def _last_ids(self) -> np.ndarray | None:
+        """Which ids stand at the end of a word, if every word of common letters ends with such an id and has no other."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        letters = [c for c in map(chr, range(0x250)) if PLAIN_WORD.fullmatch(c)]
+        each = [last[e.ids].tolist() for e in self.tokenizer.encode_batch_fast(letters, add_special_tokens=False)]
+        return last if all(marks[-1:] == [True] and sum(marks) == 1 for marks in each) else None
 
     def pieces(self, text: str) -> list[str]:
         if "\0" in text:
@@ -62,6 +78,15 @@ class PieceCache:
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def _learn(self, fresh: list[str]) -> None:
+        if self.last is not None:
+            kinds = list(map(PLAIN_WORD.fullmatch, fresh))
+            plain = [p for p, kind in zip(fresh, kinds, strict=True) if kind]
+            fresh = [p for p, kind in zip(fresh, kinds, strict=True) if not kind]
+            for at in range(0, len(plain), GROUP):
+                part = plain[at : at + GROUP]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                self._keep(part, ids.tobytes(), ends, [0, *ends[:-1]])
         fits = list(map((NO_BAR if self.word_level else MAY_FOLLOW).fullmatch, fresh))
         joint = [p for p, fit in zip(fresh, fits, strict=True) if fit]
         alone = [p for p, fit in zip(fresh, fits, strict=True) if not fit]
@@ -74,9 +99,10 @@ class PieceCache:
             part = joint[at : at + GROUP]
             ids = np.array(self.tokenizer.encode_batch_fast([gap.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             marks = np.flatnonzero(ids == self.bar)
-            starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+            self._keep(part, ids.tobytes(), [*(4 * marks).tolist(), 4 * len(ids)], [0, *(4 * marks + 4).tolist()])
+
+    def _keep(self, pieces: list[str], raw: bytes, ends: list[int], starts: list[int]) -> None:
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces, learned where they are new."""
@@ -126,7 +152,7 @@ class PieceCache:
             out: list[bytes] = [b""] * (high - low)
             for at, pieces, off in self._cut(texts.slice(low, high - low)):
                 coded = pieces.dictionary_encode()
-                ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+                ids = pa.array(self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
                 raw = ids.buffers()[2]
                 ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[: len(ids) + 1][off].tolist() if len(ids) else [0] * len(off)
                 for i, a, b in zip(at.tolist(), ends[:-1], ends[1:], strict=True):
