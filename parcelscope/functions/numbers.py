@@ -42,8 +42,9 @@ def rounded(value: Column, digits: int) -> Column:
         high = x * 134217729.0 - (x * 134217729.0 - x)  # upper half of the mantissa (2**27 + 1)
         error = (high * scale - y) + (x - high) * scale
         floor = F.floor(y)
-        up = F.when(error > 0, floor + 1).when(error < 0, floor).otherwise(F.bround(y))
-        return F.when(y - floor == 0.5, up).otherwise(F.bround(y)) / scale
+        even = F.rint(y) + 0.0  # as bround to a whole number, without its detour over decimals; no negative zero
+        up = F.when(error > 0, floor + 1).when(error < 0, floor).otherwise(even)
+        return F.when(y - floor == 0.5, up).otherwise(even) / scale
 
     return let(value.cast("double"), near)
 

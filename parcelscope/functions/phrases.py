@@ -7,11 +7,15 @@ phrases of several patterns at one place are all kept.
 That holds for patterns of the form ``\\b(...)`` made of literals, groups, choices, optional parts and sets of
 characters: they begin with a word and cannot match more characters than they are written with. Any other
 pattern is matched on the text itself, with the same result.
+
+Where most patterns are not in a text, ``met`` and ``first`` are cheaper: a pattern is looked for only in texts that
+contain one of the fixed texts which every match of it has, and a text is searched for these byte by byte.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -79,6 +83,119 @@ def found(text: Column, pattern: str) -> Column:
     return hit
 
 
+TOKEN = re.compile(r"\\.|\[[^\]]*\]|\((?:\?:)?|\)|\||[?*+]|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+ANCHORS = (r"\b", r"\B")
+CLASSES = (r"\s", r"\S", r"\d", r"\D", r"\w", r"\W")
+
+
+def _parsed(pattern: str) -> list[list[tuple]] | None:
+    """The alternatives of a pattern, each a list of (kind, content, least number of times); None if it has other syntax."""
+    tokens, at = TOKEN.findall(pattern), 0
+
+    def read(inside: bool) -> list[list[tuple]] | None:
+        nonlocal at
+        out: list[list[tuple]] = [[]]
+        while at < len(tokens):
+            token = tokens[at]
+            at += 1
+            if token == ")":
+                return out if inside else None
+            if token == "|":
+                out.append([])
+            elif token[0] == "(":
+                if tokens[at : at + 1] == ["?"] or (body := read(True)) is None:
+                    return None
+                out[-1].append(("group", body, 1))
+            elif token[0] == "[" and len(token) > 1:
+                if "[" in token[1:] or "&&" in token:
+                    return None
+                out[-1].append(("gap", token, 1))
+            elif token in ANCHORS:
+                out[-1].append(("anchor", token, 1))
+            elif token in CLASSES or token == ".":
+                out[-1].append(("gap", token, 1))
+            elif token[0] in "?*+{" and out[-1] and out[-1][-1][0] in ("text", "gap", "group"):
+                kind, content, _ = out[-1].pop()
+                if tokens[at : at + 1] and tokens[at][0] in "?*+{":
+                    return None
+                least = 0 if token[0] in "?*" or token.startswith(("{0,", "{0}")) else 1
+                out[-1].append(("gap" if kind == "text" else kind, content, least))
+            elif len(token) == 1 and token not in "\\[](){}*+?.^$":
+                out[-1].append(("text", token, 1))
+            else:
+                return None
+        return None if inside else out
+
+    return read(False)
+
+
+def _fixed(choices: list[list[tuple]]) -> set[str] | None:
+    """Texts of which each match of any of the choices contains one: of each choice the longest run, or those of a group in it."""
+    out: set[str] = set()
+    for items in choices:
+        runs, known = [""], []
+        for kind, content, least in items:
+            if kind == "text":
+                runs[-1] += content
+            elif kind != "anchor":
+                runs.append("")
+                if kind == "group" and least and (inner := _fixed(content)):
+                    known.append(inner)
+        known += [{run} for run in runs if len(run) > 1]
+        if not known:
+            return None
+        out |= max(known, key=lambda k: (min(map(len, k)), -len(k)))
+    return out
+
+
+def fixed_texts(pattern: str) -> list[str]:
+    """Texts of which every match of a pattern contains one; empty if none are known."""
+    choices = _parsed(pattern)
+    texts = (_fixed(choices) if choices else None) or set()
+    return sorted(t for t in texts if not any(o != t and o in t for o in texts))
+
+
+def _initials(choices: list[list[tuple]]) -> set[str] | None:
+    """The characters that a match of the choices may begin with; None if they are not known."""
+    out: set[str] = set()
+    for items in choices:
+        kind, content, least = next((i for i in items if i[0] != "anchor"), ("", "", 0))
+        if kind == "text":
+            out.add(content)
+        elif kind == "group" and least and (inner := _initials(content)):
+            out |= inner
+        else:
+            return None
+    return out
+
+
+def quick(pattern: str) -> str:
+    """The pattern with Unicode word characters, tried only where one of its first letters is."""
+    choices = _parsed(pattern)
+    initials = _initials(choices) if choices else None
+    if not initials or not all(WORD.match(c) for c in initials):
+        return "(?U)" + pattern
+    return f"(?U)(?=[{''.join(sorted(initials))}])(?:{pattern})"
+
+
+def _split(pattern: str) -> tuple[list[str], str]:
+    """The choices of a ``bounded`` pattern's group, and what follows the group."""
+    depth, units = 0, UNIT.findall(pattern)
+    for at, unit in enumerate(units[1:], 1):
+        depth += unit.startswith("(") - (unit == ")")
+        if not depth:
+            break
+    return _choices(re.sub(r"^\((\?:)?", "", "".join(units[1:at]))), "".join(units[at + 1 :])
+
+
+def _led(choice: str, rest: str) -> str:
+    """A choice after a word boundary, its literal beginning put first, as Java looks for that by skipping."""
+    head = re.match(r"[a-z0-9 ]*", choice).group()
+    if choice[len(head) :].startswith("?"):
+        head = head[:-1]
+    return rf"(?U){head}(?<=\b{head}){choice[len(head):]}{rest}" if head else rf"(?U)\b(?:{choice}){rest}"
+
+
 class Phrases:
     """Named patterns over lower-case text; ``excerpts`` once a text, then ``has`` and ``evidence`` by name."""
 
@@ -115,3 +232,23 @@ class Phrases:
     def evidence(self, name: str, text: Column, excerpts: Column) -> Column:
         """As ``text.evidence``: the first words that match, or NULL."""
         return X.truthy(self.words(name, text, excerpts))
+
+    def met(self, name: str, text: Column) -> Column:
+        """As ``text.has``; the pattern is looked for only in texts that contain a fixed text of it."""
+        pattern = self.patterns[name]
+        if bounded(pattern):
+            choices, rest = _split(pattern)
+            hits = []
+            for choice in choices:
+                fixed = fixed_texts(choice)
+                there = [text.contains(t) for t in fixed] or [F.lit(True)]
+                hits.append(reduce(lambda a, b: a | b, there) & text.rlike(_led(choice, rest)))
+            return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+        hit = text.rlike(quick(pattern))
+        if texts := fixed_texts(pattern):
+            hit = reduce(lambda a, b: a | b, [text.contains(t) for t in texts]) & hit
+        return F.coalesce(hit, F.lit(False))
+
+    def first(self, name: str, text: Column) -> Column:
+        """The first words that match, in texts that the pattern is in; empty for none."""
+        return F.regexp_extract(text, quick(self.patterns[name]), 0)

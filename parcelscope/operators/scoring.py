@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelscope import vocab
 from parcelscope.functions import labels as L, numbers as N, text as X
 from parcelscope.functions.phrases import Phrases
-from parcelscope.session import once
+from parcelscope.session import apart
 
 
 def score_text(df: DataFrame) -> Column:
@@ -22,14 +22,9 @@ PHRASES = Phrases({n: p for n, p, _, _ in vocab.PREFERENCES} | {f"breaks_{n}": p
 
 def with_phrases(rows: DataFrame, text: str, likes: str = "_likes", breaks: str = "_breaks") -> DataFrame:
     """Add a struct of preferences and one of deal-breakers that the text names."""
-    rows = once(rows, _excerpts=PHRASES.excerpts(F.col(text)))
-
-    def found(name: str) -> Column:
-        return PHRASES.has(name, F.col(text), F.col("_excerpts"))
-
-    liked = F.struct(*[found(n).alias(n) for n, *_ in vocab.PREFERENCES])
-    broken = F.struct(*[found(f"breaks_{n}").alias(n) for n in vocab.BREAKERS])
-    return once(rows, **{likes: liked, breaks: broken}).drop("_excerpts")
+    liked = F.struct(*[PHRASES.met(n, F.col(text)).alias(n) for n, *_ in vocab.PREFERENCES])
+    broken = F.struct(*[PHRASES.met(f"breaks_{n}", F.col(text)).alias(n) for n in vocab.BREAKERS])
+    return apart(rows, **{likes: liked, breaks: broken})
 
 
 def _weighted(flags: str, weights: list[float]) -> Column:
@@ -51,14 +46,14 @@ def _explained(ratio: Column, investor: Column, bare: Column) -> tuple[Column, C
         return N.whole(value * 100).cast("string")
 
     road, floor = F.col("_breaks.main_road"), F.col("_breaks.ground_floor")
-    top = F.coalesce(F.try_element_at(F.col("risks.top"), F.lit(1))["label"], F.lit("unresolved risk"))
+    top = F.coalesce("_risk", F.lit("unresolved risk"))
     against = F.array(
         lacks("beds", "beds_min", "beds"), lacks("baths", "baths_min", "baths"), lacks("cars", "cars_min", "car spaces"),
         F.when(ratio > 1.08, F.concat(percent(ratio - 1), F.lit("% over the buy ceiling"))),
         F.when(F.col("_breaks.overlay"), "The text names a flood or fire overlay; check it"),
         F.when(floor & road, "Ground floor on a main road"),
         F.when(bare & N.present(F.col("cars_min")).isNotNull(), "The brief asks for parking and none is in sight"),
-        F.when(F.col("risks.has_dealbreaker"), F.concat(F.lit("Deal-breaker: "), top)),
+        F.when(F.col("_dealbreaker"), F.concat(F.lit("Deal-breaker: "), top)),
     )
     rent = F.format_number(N.present(F.col("weekly_rent")), 0)
     known = F.array(
@@ -85,7 +80,13 @@ def with_viability(df: DataFrame) -> DataFrame:
     """
     text = score_text(df)
     ask = N.ask_price(F.col("price_exact"), F.col("price_from"), F.col("price_to"))
-    rows = once(df, _text=text, _ask=ask)
+    # read here, beside the risks, so that none are listed for a score
+    rows = df.withColumns({
+        "_dealbreaker": F.col("risks.has_dealbreaker"),
+        "_load": F.coalesce(F.col("risks.penalty"), F.lit(0.0)),
+        "_risk": F.try_element_at(F.col("risks.top"), F.lit(1))["label"],
+    })
+    rows = apart(rows, _text=text, _ask=ask)
     rows = with_phrases(rows, "_text")
     investor = F.lower(F.coalesce(F.nullif("buyer_type", F.lit("")), F.lit("owner_occupier"))) == "investor"
 
@@ -103,9 +104,7 @@ def with_viability(df: DataFrame) -> DataFrame:
     )
     on_road = F.col("_breaks.main_road")
     bare = (F.coalesce("cars", F.lit(0.0)) == 0) & ~F.col("_likes.secure_parking")
-    risk = F.when(F.col("risks.has_dealbreaker"), 0.7).otherwise(
-        F.least(F.lit(0.25), F.coalesce(F.col("risks.penalty"), F.lit(0.0)) * 0.5)
-    )
+    risk = F.when(F.col("_dealbreaker"), 0.7).otherwise(F.least(F.lit(0.25), F.col("_load") * 0.5))
     penalty = (
         F.when(F.col("_breaks.overlay"), 0.6).otherwise(0.0)
         + F.when(F.col("_breaks.ground_floor") & on_road, 0.5).when(on_road, 0.2).otherwise(0.0)
@@ -130,8 +129,14 @@ def with_viability(df: DataFrame) -> DataFrame:
         return a * F.col("_hard") + b * F.col("_budget") + c * F.col("_lens")
 
     mixed = F.when(investor, blend(0.28, 0.22, 0.50)).otherwise(blend(0.30, 0.25, 0.45))
-    rows = rows.withColumn("_mixed", F.greatest(F.lit(0.0), mixed - F.col("_penalty")) * 10)
-    rows = rows.withColumn("_score", N.rounded(F.col("_mixed"), 1))
+    mixed = F.greatest(F.lit(0.0), mixed - F.col("_penalty")) * 10
+    # columns of their own, so that whoever reads only numbers needs no words
+    rows = apart(
+        rows, _score=N.rounded(mixed, 1),
+        **{f"_{n}_2": N.rounded(F.col(f"_{n}"), 2) for n in ("hard", "budget", "lens", "liked", "penalty")},
+        _as=F.when(investor, "investor").otherwise(F.lower(F.coalesce(F.nullif("buyer_type", F.lit("")), F.lit("owner_occupier")))),
+    )
+    rows = apart(rows, _band=L.score_band(F.col("_score")))
     likes = [
         F.when(F.col(f"_likes.{n}"), n.replace("_", " ")) for n, *_ in vocab.PREFERENCES
     ]
@@ -141,13 +146,13 @@ def with_viability(df: DataFrame) -> DataFrame:
         "viability",
         F.struct(
             F.col("_score").alias("score"),
-            L.score_band(F.col("_score")).alias("band"),
-            F.when(investor, "investor").otherwise(F.lower(F.coalesce(F.nullif("buyer_type", F.lit("")), F.lit("owner_occupier")))).alias("lens"),
-            N.rounded(F.col("_hard"), 2).alias("hard_criteria"),
-            N.rounded(F.col("_budget"), 2).alias("budget_fit"),
-            N.rounded(F.col("_lens"), 2).alias("yield_or_lifestyle"),
-            N.rounded(F.col("_liked"), 2).alias("preference_match"),
-            N.rounded(F.col("_penalty"), 2).alias("dealbreaker_penalty"),
+            F.col("_band").alias("band"),
+            F.col("_as").alias("lens"),
+            F.col("_hard_2").alias("hard_criteria"),
+            F.col("_budget_2").alias("budget_fit"),
+            F.col("_lens_2").alias("yield_or_lifestyle"),
+            F.col("_liked_2").alias("preference_match"),
+            F.col("_penalty_2").alias("dealbreaker_penalty"),
             F.col("_ask").alias("price_used"),
             F.col("_gross").alias("gross_yield_pct"),
             F.array_compact(F.array(*likes)).alias("matched"),
@@ -155,7 +160,7 @@ def with_viability(df: DataFrame) -> DataFrame:
             violations.alias("violations"),
             signals.alias("signals"),
         ),
-    ).drop("_text", "_ask", "_likes", "_breaks", "_hard", "_budget", "_penalty", "_liked", "_gross", "_lens", "_mixed", "_score")
+    ).drop(*[c for c in rows.columns if c not in df.columns])
 
 
 def live_candidates(listings: DataFrame, beds_max: float | None = 2) -> DataFrame:

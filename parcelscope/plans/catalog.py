@@ -711,12 +711,16 @@ def actions(spark, sf):
     return rows.select("brief_id", "id", listed(F.transform("actions", lambda a: a["type"])).alias("actions"), F.col("best_action.label").alias("best"))
 
 
+def _scored(spark, sf, paired: DataFrame) -> DataFrame:
+    """Listings scored for their briefs. The rents asked for are those of all listings, so that no text is read for them."""
+    listings = T.listings(spark, sf)
+    rents = settle(C.weekly_rent(listings, listings).select("area", "beds", "weekly_rent"), "rents")
+    return V.with_viability(K.with_risks(paired.withColumn("area", F.lower("suburb")).join(rents, ["area", "beds"], "left")))
+
+
 @query
 def viability(spark, sf):
-    listings = T.listings(spark, sf)
-    rows = K.with_risks(_paired(spark, sf)).withColumn("area", F.lower("suburb"))
-    rents = C.weekly_rent(listings, rows.select("suburb", "beds")).select("area", "beds", "weekly_rent")
-    rows = V.with_viability(rows.join(rents, ["area", "beds"], "left"))
+    rows = _scored(spark, sf, _paired(spark, sf))
     v = lambda c: F.col(f"viability.{c}").alias(c)
     return rows.select(
         "brief_id", "id", *map(v, ("score", "band", "lens", "hard_criteria", "budget_fit", "yield_or_lifestyle", "preference_match", "dealbreaker_penalty", "gross_yield_pct"))
@@ -726,10 +730,7 @@ def viability(spark, sf):
 @query
 def viability_notes(spark, sf):
     """What speaks against each listing, what else there is to know, and which wishes it meets."""
-    listings = T.listings(spark, sf)
-    rows = K.with_risks(_paired(spark, sf)).withColumn("area", F.lower("suburb"))
-    rents = C.weekly_rent(listings, rows.select("suburb", "beds")).select("area", "beds", "weekly_rent")
-    rows = V.with_viability(rows.join(rents, ["area", "beds"], "left"))
+    rows = _scored(spark, sf, _paired(spark, sf))
     v = lambda c: listed(F.col(f"viability.{c}")).alias(c)
     return rows.select("brief_id", "id", v("violations"), v("signals"), v("matched"), v("missing"))
 

@@ -90,6 +90,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made.alias("_once")).select(*kept, *[F.col(f"_once.{n}") for n in columns])
 
 
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns worked out in a projection outside whole-stage code, for later columns that read them more than once.
+
+    Whole-stage code makes a projection one method, and the JVM compiles none of over 8,000 bytes; outside, it is cut into
+    small ones and terms that recur are worked out once. A lambda keeps it there, as one struct's field, so that it stays.
+    """
+    outside = F.transform(F.array(df.columns[0]), lambda v: v).alias("_outside")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    made = F.struct(*[c.alias(n) for n, c in columns.items()], outside)
+    return df.select("*", made.alias("_apart")).select(*kept, *[F.col(f"_apart.{n}") for n in columns])
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

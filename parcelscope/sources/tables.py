@@ -65,18 +65,28 @@ def nation_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listing_columns(_order_rows(spark, sf_dir))
+
+
+def dealt_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings, dealt over tasks by id while their rows are still short."""
+    return _listing_columns(spread(_order_rows(spark, sf_dir), "id"))
+
+
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a listing is made of."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation_areas(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.withColumn("id", F.col("o_orderkey").cast("string"))
+
+
+def _listing_columns(rows: DataFrame) -> DataFrame:
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     mode = F.when(F.col("o_orderstatus") == "F", "sold").when(F.col("o_orderstatus") == "O", "sale").otherwise("rent")
     kind = F.lit(None).cast("string")
     for segment, name in KINDS.items():
         kind = F.when(F.col("c_mktsegment") == segment, name).otherwise(kind)
-    rows = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation_areas(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-        .withColumn("mode", mode)
-        .withColumn("guide", price * (F.lit(0.80) + F.lit(0.05) * (key % 9)))
-    )
+    rows = rows.withColumn("mode", mode).withColumn("guide", price * (F.lit(0.80) + F.lit(0.05) * (key % 9)))
 
     def by_mode(sale: Column, sold: Column, rent: Column) -> Column:
         return F.when(F.col("mode") == "sale", sale).when(F.col("mode") == "sold", sold).otherwise(rent)
@@ -96,14 +106,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     seen = F.col("o_orderdate")
     return rows.select(
-        key.cast("string").alias("id"),
+        "id",
         key.alias("listing_key"),
         "mode",
         F.when(key % 19 == 0, "project").otherwise("property").alias("listing_type"),
         F.when(F.col("mode") == "sold", "sold").when(key % 7 == 0, "under offer").otherwise("active").alias("status"),
         F.concat(F.lit("https://listings.example/"), key.cast("string")).alias("url"),
         phrase(key).alias("headline"),
-        F.concat_ws(". ", phrase(key * 5 + 11), phrase(key * 7 + 2)).alias("description"),
+        F.concat_ws(". ", *["text"] * ("text" in rows.columns), phrase(key * 5 + 11), phrase(key * 7 + 2)).alias("description"),
         F.when(key % 11 == 0, F.lit(None)).otherwise(display).alias("price_display"),
         F.when(~unpriced, low).alias("price_from"),
         F.when(~unpriced, high).alias("price_to"),
@@ -168,10 +178,10 @@ def _raw_area(key: Column) -> Column:
 
 
 def text_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All listings; where a document has the listing's number, its whole text leads the description."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_key"), "text")
-    rows = spread(listings(spark, sf_dir), "listing_key").join(docs, "listing_key", "left")
-    return rows.withColumn("description", F.concat_ws(". ", "text", "description")).drop("text")
+    """All listings, dealt as ``dealt_listings``; where a document has the listing's number, its whole text leads the description."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    rows = spread(_order_rows(spark, sf_dir), "id").join(docs, "id", "left")
+    return _listing_columns(rows)
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

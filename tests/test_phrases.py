@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelscope import vocab
 from parcelscope.functions import text as X
-from parcelscope.functions.phrases import Phrases, bounded, found
+from parcelscope.functions.phrases import Phrases, bounded, fixed_texts, found
 
 PATTERNS = vocab.RISK_PATTERNS | {n: p for n, p, _, _ in vocab.PREFERENCES} | {f"b_{n}": p for n, p in vocab.BREAKERS.items()}
 WORDS = (
@@ -57,3 +57,22 @@ def test_patterns_are_found_by_their_fixed_text_as_by_rlike(spark):
     assert all(tuple(r.a) == tuple(r.b) for r in rows)
     plan = df.select(found(text, "garden|terrace").alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper()
+
+
+def test_met_and_first_are_as_a_scan_for_each(spark):
+    odd = {"any": r"a|b", "group": r"\b(wal\w+|stud(y|io))\b", "optional": r"\b(rooft?op|a/c|lock[- ]?up)\b", "repeat": r"\b(no+ ?park)", "back": r"\b(f)\1?lood", "look": r"(?=a)a/c", "class": r"[m]ain road"}
+    patterns = PATTERNS | odd
+    phrases = Phrases(patterns)
+    rows = spark.createDataFrame([(t,) for t in texts(400)], "t string").repartition(4)
+    t = F.col("t")
+    wrong = [(X.has(t, p) != phrases.met(n, t)) | (F.regexp_extract(t, "(?U)" + p, 0).eqNullSafe(phrases.first(n, t)) != F.lit(True)) for n, p in patterns.items()]
+    names = [F.when(w, F.lit(n)) for n, w in zip(patterns, wrong, strict=True)]
+    assert rows.select("t", F.array_compact(F.array(*names)).alias("wrong")).where("size(wrong) > 0").collect() == []
+
+
+def test_fixed_texts_are_in_every_match():
+    assert fixed_texts(r"\b(secure (car|park)|lock[- ]?up garage|garage)\b") == ["garage", "secure "]
+    assert fixed_texts(r"\b(flood|fire)\s+(zone|prone)\b") in (["prone", "zone"], ["fire", "flood"])
+    for open_ended in (r"a|b", r"\b(cd)?", r"(?=ab)", r"a{2,9}", r"(ab)\1", r"\b(ab", r"\Qab\E", r"(?i)ab", r"ab)", r"ab??", r"[a-z&&[b]]xx", r"]ab", r"(ab|c)"):
+        assert fixed_texts(open_ended) == [], open_ended
+    assert fixed_texts(r"abc?d") == ["ab"] and fixed_texts(r"(abc){0,2}de") == ["de"]
