@@ -59,14 +59,6 @@ class RuleSet:
         at = list(self.fields).index(name)
         return F.coalesce(*[F.when(when & (cells[at] == value), True) for when, cells, _ in self.rules], F.lit(False))
 
-    def count_of(self, name: str, value: str) -> Column:
-        """How many rules hold whose field is this value."""
-        at = list(self.fields).index(name)
-        total = F.lit(0)
-        for when, cells, _ in self.rules:
-            total = total + F.when(when & (cells[at] == value), 1).otherwise(0)
-        return total
-
     def first(self, name: str) -> Column:
         """A field of the first rule that holds, NULL if none does."""
         at = list(self.fields).index(name)

@@ -737,7 +737,7 @@ def viability_notes(spark, sf):
 
 @query
 def decision(spark, sf):
-    rows = D.summary(_decisions(spark, sf, T.listings(spark, sf)))
+    rows = D.summary(_decisions(spark, sf, T.dealt_listings(spark, sf), deal=False))
     return rows.select("*").withColumn("independent_estimate", F.col("independent_estimate").cast("bigint"))
 
 
